@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest_tree, mixing
+from . import archive, chat, digest_tree, mixing, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_legacy_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archive_pages(_table(spark, sf_dir, "pages")).drop("url")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_tree.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -51,6 +59,15 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+SQL4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS first_id FROM p)
+SELECT page_id, payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND first_id <> page_id THEN first_id END AS refers_to
+FROM g
+"""
+
 SQL9 = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -74,9 +91,11 @@ FROM lost
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
+    "op4_legacy_archive": op4_legacy_archive,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_chat_format": op9_chat_format,
 }
 
-ORACLES: dict[str, str] = {"op7_exact_dedup": SQL7, "op9_chat_format": SQL9}
+ORACLES: dict[str, str] = {"op4_legacy_archive": SQL4, "op7_exact_dedup": SQL7, "op9_chat_format": SQL9}
