@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, chat, digest_tree, mixing, rules
+from . import archive, chat, digest_tree, minmax, mixing, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_legacy_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.archive_pages(_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op6_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_tree.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -93,6 +97,7 @@ FROM lost
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_legacy_archive": op4_legacy_archive,
+    "op6_minmax_dedup": op6_minmax_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_chat_format": op9_chat_format,
