@@ -98,14 +98,16 @@ def exact_dedup(
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
 
-    Rows are matched by id and text digest, so ids that several texts share do
-    no harm; of rows that repeat both, one stays.
+    Rows are matched by id and digest, so an id that several texts share does no
+    harm. Only where rows repeat both (which the marks tell) is one of them picked.
     """
-    marks = exact_dedup(docs, id_col, text_col, keep).where("kept").select(
-        F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")
-    )
-    numbered = docs.withColumn("__sha2", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    joined = numbered.join(
-        marks, F.col("__sha2").eqNullSafe(F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi"
-    )
-    return joined.dropDuplicates([id_col, "__sha2"]).select(*docs.columns)
+    marks = materialize(exact_dedup(docs, id_col, text_col, keep), "copy-marks")
+    pairs = marks.groupBy(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha"))
+    pairs = pairs.agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    gone = pairs.where("not stays").select("__id", "__sha")
+    own = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (own == F.col("__sha"))
+    left = docs.join(gone, same, "left_anti")
+    if pairs.where("n > 1").isEmpty():
+        return left
+    return left.withColumn("__own", own).dropDuplicates([id_col, "__own"]).select(*docs.columns)

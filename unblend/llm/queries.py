@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, bpe, chat, digest_tree, minmax, mixing, rules
+from . import archive, bpe, chat, density, digest_tree, minmax, mixing, rules, toxicity, weak
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = density.extract_main_text(_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak.classify_quality(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -109,8 +122,11 @@ FROM lost
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_chain": op1_toxicity_chain,
+    "op2_main_text": op2_main_text,
     "op3_quality_rules": op3_quality_rules,
     "op4_legacy_archive": op4_legacy_archive,
+    "op5_weak_quality": op5_weak_quality,
     "op6_minmax_dedup": op6_minmax_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix_sources": op8_mix_sources,
