@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -55,8 +56,9 @@ def _file_system(uri: str):
 
 def _read(uri: str) -> bytes:
     fs, path = _file_system(uri)
-    with fs.open_input_stream(path, compression=None) as f:
-        return gzip.decompress(f.read())
+    # member by member from a stream: gzip.decompress copies all that is left for each member
+    with fs.open_input_stream(path, compression=None) as f, gzip.GzipFile(fileobj=io.BytesIO(f.read())) as members:
+        return members.read()
 
 
 class _Writer:
@@ -250,11 +252,12 @@ def _digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def write_warc(plan: DataFrame, folder: str) -> DataFrame:
+def write_warc(plan: DataFrame, folder: str, archives: int) -> DataFrame:
     """Convert the ARC files of a plan: one WARC file each; returns their names.
 
     A record keeps its HTTP head; a revisit's payload is left out. What is
-    not HTTP becomes a resource record.
+    not HTTP becomes a resource record. The plan is small beside what it names, so
+    the number of tasks is set by ``archives``, how many files there are.
     """
 
     def convert(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -284,7 +287,7 @@ def write_warc(plan: DataFrame, folder: str) -> DataFrame:
             out.add("\r\n".join(lines).encode() + body + b"\r\n\r\n")
         return pd.DataFrame({"name": [out.close()]})
 
-    parts = plan.select("archive", "offset", "refers_to_id").groupBy("archive")
+    parts = plan.select("archive", "offset", "refers_to_id").repartition(max(1, archives), "archive").groupBy("archive")
     return materialize(parts.applyInPandas(convert, "name string"), "warc-names")
 
 
@@ -352,7 +355,7 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
 def convert_arc(spark: SparkSession, arc_folder: str, warc_folder: str, min_bytes: int = 1000) -> DataFrame:
     """ARC files to WARC files; returns the names written. No files: no names."""
     index = materialize(index_arc(spark, arc_folder), "arc-index")
-    return write_warc(revisit_plan(index, min_bytes), warc_folder)
+    return write_warc(revisit_plan(index, min_bytes), warc_folder, _archives(spark, arc_folder, ".arc.gz").count())
 
 
 def archive_pages(
