@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import fresh, materialize
 
 #: Texts count as equal when all three agree: SHA-256, length in bytes and a second hash.
 KEY = ["sha", "bytes", "check"]
@@ -102,12 +102,12 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     harm. Only where rows repeat both (which the marks tell) is one of them picked.
     """
     marks = materialize(exact_dedup(docs, id_col, text_col, keep), "copy-marks")
-    pairs = marks.groupBy(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha"))
+    key, sha, digest = fresh(docs, "gone_id", "gone_sha", "own_sha")
+    pairs = marks.groupBy(F.col(id_col).alias(key), F.unhex("text_sha256").alias(sha))
     pairs = pairs.agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
-    gone = pairs.where("not stays").select("__id", "__sha")
+    gone = pairs.where("not stays").select(key, sha)
     own = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (own == F.col("__sha"))
-    left = docs.join(gone, same, "left_anti")
+    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (own == F.col(sha)), "left_anti")
     if pairs.where("n > 1").isEmpty():
         return left
-    return left.withColumn("__own", own).dropDuplicates([id_col, "__own"]).select(*docs.columns)
+    return left.withColumn(digest, own).dropDuplicates([id_col, digest]).select(*docs.columns)

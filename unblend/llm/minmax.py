@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .components import components
-from .shared import materialize
+from .shared import fresh, materialize
 
 #: Odd multipliers that mix 64-bit hashes (fixed values).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -256,6 +256,7 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id names its group, with all their columns."""
+    (key,) = fresh(docs, "gone_id")
     marks = near_duplicates(docs, id_col, text_col, **options).where("not kept")
-    marks = marks.select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(marks, F.col(id_col) == F.col("__id"), "left_anti")
+    marks = marks.select(F.col(id_col).alias(key)).distinct()
+    return docs.join(marks, F.col(id_col) == F.col(key), "left_anti")

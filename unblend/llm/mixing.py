@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, words
+from .shared import fresh, materialize, words
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -117,6 +117,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mix itself: the rows of ``docs``, each as often as ``mix`` takes it, and
     no others. ``id_col`` must tell rows apart; rows with a null id are left out of
     the mix."""
+    key, copy = fresh(docs, "mixed_id", "mixed_copy")
     plan = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    plan = plan.select(F.col(id_col).alias("__id"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
-    return docs.join(plan, F.col(id_col) == F.col("__id")).select(*docs.columns)
+    plan = plan.select(F.col(id_col).alias(key), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy))
+    return docs.join(plan, F.col(id_col) == F.col(key)).select(*docs.columns)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialize, new_dir, shared_dir
 
-__all__ = ["SPACES", "SPACE_RUN", "materialize", "new_dir", "shared_dir", "words"]
+__all__ = ["SPACES", "SPACE_RUN", "fresh", "materialize", "new_dir", "shared_dir", "words"]
 
 #: ASCII white space: space and U+0009 to U+000D. A word is a run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
@@ -18,3 +18,14 @@ def words(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
