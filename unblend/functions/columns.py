@@ -14,8 +14,8 @@ def positive_or_fail(total: Column, what: str) -> Column:
 
 def guarded_corr(x: str, y: str) -> Column:
     """Pearson correlation; null (never NaN) for under two rows or no spread."""
-    spread = (F.count(F.lit(1)) > 1) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return F.when(spread, F.corr(x, y))
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((F.count(F.lit(1)) > 1) & (sx > 0) & (sy > 0), F.covar_pop(x, y) / (sx * sy))
 
 
 def number_or_zero(value: Column) -> Column:

@@ -333,7 +333,7 @@ ORACLES: dict[str, str] = {
       avg((meta_weight > 1)::INT) AS share_above_1, max(meta_weight) <= 1 + 1e-9 AS at_floor FROM wts GROUP BY ALL""", "mean_weight median_weight std_weight share_above_1"),
     "value_counts": sql("SELECT * FROM dist", "value"),
     "detection_and_fold_change": sql("SELECT * FROM de", "mean_in mean_out pct_in pct_out log2fc pct_diff", longs="n_in n_out"),
-    "rank_sum_test": sql("SELECT tissue, gene, cell_type, u, u_variance, z FROM rst", "u u_variance z"),
+    "rank_sum_test": sql("SELECT tissue, gene, cell_type, u, sqrt(u_variance) AS u_sd, z FROM rst", "u u_sd z"),
     "bh_fdr": sql("SELECT tissue, cell_type, gene, p, fdr FROM fdr", "p fdr"),
     "call_markers": sql("SELECT tissue, cell_type, gene, is_marker, in_list FROM call"),
     "primary_marker": sql("SELECT * FROM prim", "log2fc pct_diff"),

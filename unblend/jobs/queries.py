@@ -553,7 +553,7 @@ def detection_and_fold_change(r: Roles) -> DataFrame:
 
 @query
 def rank_sum_test(r: Roles) -> DataFrame:
-    return markers.rank_sum_test(_dist(r)).drop("p")
+    return markers.rank_sum_test(_dist(r)).withColumn("u_sd", F.sqrt("u_variance")).drop("p", "u_variance")
 
 
 @query

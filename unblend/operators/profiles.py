@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import guarded_corr
 from .normalize import KEYS, log1p_counts, normalize_columns
 
 
@@ -103,5 +104,5 @@ def profile_correlation(profiles: DataFrame, name: str = "cell_type", keys: list
     left = profiles.select(*keys, "gene", F.col(name).alias("name_1"), F.col("value").alias("x"))
     right = profiles.select(*keys, "gene", F.col(name).alias("name_2"), F.col("value").alias("y"))
     pairs = left.join(right, [*keys, "gene"]).where("name_1 < name_2").groupBy(*keys, "name_1", "name_2")
-    r = F.when((F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0), F.corr("x", "y")).otherwise(0.0)
+    r = F.coalesce(guarded_corr("x", "y"), F.lit(0.0))
     return pairs.agg(F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - r)).alias("distance"))
