@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..functions.storage import materialize
 from ..operators import anchor, evaluate, markers, normalize, profiles, solve, summarize, tree, weighted
 from ..sources.roles import PRIORITIES, Roles
 
@@ -210,7 +211,7 @@ def build_hierarchy(r: Roles) -> DataFrame:
 
 @query
 def gram_stats(r: Roles) -> DataFrame:
-    g = solve.gram_stats(normalize.prepared(r.signature(), r.bulk()), ["tissue", "mixture"])
+    g = solve.gram_stats(_three_rows(r), ["tissue", "mixture"])
     return g.select("tissue", "mixture", *[F.col("h")[i].alias(f"h{i}") for i in (0, 1, 2, 4, 5, 8)], *[F.col("l")[i].alias(f"l{i}") for i in range(3)], "bb", "n_genes")
 
 
@@ -220,7 +221,12 @@ def _two(r: Roles) -> tuple[DataFrame, DataFrame]:
 
 
 def _two_rows(r: Roles) -> DataFrame:
-    return normalize.prepared(*_two(r))
+    return materialize(normalize.prepared(*_two(r)), "prepared")
+
+
+def _three_rows(r: Roles) -> DataFrame:
+    """Solver rows, written once: the solves read them several times."""
+    return materialize(normalize.prepared(r.signature(), r.bulk()), "prepared")
 
 
 @query
@@ -240,8 +246,7 @@ def simplex_ls_weighted(r: Roles) -> DataFrame:
 @query
 def simplex_ls_three(r: Roles) -> DataFrame:
     by = ["tissue", "mixture"]
-    rows = normalize.prepared(r.signature(), r.bulk())
-    return solve.named(solve.simplex_ls(solve.gram_stats(rows, by)), r.signature(), by)
+    return solve.named(solve.simplex_ls(solve.gram_stats(_three_rows(r), by)), r.signature(), by)
 
 
 @query
@@ -650,7 +655,7 @@ def top_markers(r: Roles) -> DataFrame:
 def batch_evaluation(r: Roles) -> DataFrame:
     """Prepare, solve by two methods, score against the truth, sum up."""
     by = ["tissue", "mixture"]
-    gram = solve.gram_stats(normalize.prepared(r.signature(), r.bulk()), by)
+    gram = materialize(solve.gram_stats(_three_rows(r), by), "gram")
     solved = [
         solve.named(f(gram), r.signature(), by).withColumn("method", F.lit(name))
         for name, f in (("simplex", solve.simplex_ls), ("nnls", solve.nnls_solve))

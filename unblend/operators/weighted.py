@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.learn import Config, deconvolve
+from ..functions.storage import materialize
 from .normalize import KEYS, prepared
 from .solve import gram_stats, nnls_solve
 
@@ -81,7 +82,7 @@ def long_weights(results: DataFrame, by: list[str]) -> DataFrame:
 def deconvolve_batch(signature: DataFrame, bulk: DataFrame, cfg: Config = Config(), keys: list[str] = KEYS) -> DataFrame:
     """Every mixture by learned weights and by NNLS: (keys, mixture, method, proportions, iterations, converged, error)."""
     by = [*keys, "mixture"]
-    rows = prepared(signature, bulk, keys)
+    rows = materialize(prepared(signature, bulk, keys), "prepared")
     learned = weighted_deconvolve(rows, by, cfg).select(
         *by, F.lit("weighted").alias("method"), "proportions", "iterations", "converged", "error"
     )
