@@ -22,53 +22,82 @@ encoded with work in proportion to it.
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Longest match that is encoded at once, in bytes, and longest leaf of a text, in characters.
-PIECE, LEAF = 64, 2048
+PIECE, LEAF = 64, 8192
+#: Rank of a pair that doesn't merge.
+NEVER = 1 << 60
+#: Rows that a task encodes or decodes at a time, so a batch's results are never all in memory.
+SLICE = 256
 #: The split pattern looks at most so many characters ahead from a match's start before the match is decided.
 AHEAD = 3
 
 
+class _Known(dict):
+    """Encodings of short matches, packed as 32-bit ids; those it lacks are made on the way.
+    It starts anew when full, so a worker's memory has a bound."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size = make, size
+
+    def __missing__(self, match: str) -> bytes:
+        got = self.make(match)
+        got = pack(f"<{len(got)}i", *got)
+        if len(match) <= PIECE:
+            if len(self) >= self.size:
+                self.clear()
+            self[match] = got
+        return got
+
+
 class Tokenizer:
     """Ranks of byte strings and the pattern that splits text before merging."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 1 << 19):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 1 << 20):
         import regex
 
-        self.ranks, self.cache_size = ranks, cache
-        self.find = regex.compile(pattern).finditer
+        compiled = regex.compile(pattern)
+        self.ranks, self.find_all = ranks, compiled.findall
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self.encode_match, cache)
 
     # ------------------------------------------------ one match
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """BPE of a short byte string: the pair of lowest rank, leftmost first, merges until none can."""
-        ranks = self.ranks
-        whole = ranks.get(data)
+        get = self.ranks.get
+        whole = get(data)
         if whole is not None:
             return (whole,)
-        if len(data) > PIECE:
+        n = len(data)
+        if n > PIECE:
             return self._merge_long(data)
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        parts = [data[i : i + 1] for i in range(n)]
+        pair = [get(x + y, NEVER) for x, y in zip(parts, parts[1:])]
+        while pair:
+            low = min(pair)
+            if low == NEVER:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
+            i = pair.index(low)
+            parts[i] += parts[i + 1]
+            del parts[i + 1], pair[i]
+            if i < len(pair):
+                pair[i] = get(parts[i] + parts[i + 1], NEVER)
+            if i:
+                pair[i - 1] = get(parts[i - 1] + parts[i], NEVER)
+        return tuple([self.ranks[x] for x in parts])
 
     def _merge_long(self, data: bytes) -> tuple[int, ...]:
         """The same with a queue of pairs, for windows that have grown long."""
@@ -130,68 +159,55 @@ class Tokenizer:
         return self.join(self._halves(data[:half]), self._halves(data[half:]))
 
     def encode_match(self, match: str) -> tuple[int, ...]:
-        got = self.cache.get(match)
-        if got is None:
-            data = match.encode("utf-8", "replace")
-            got = self.merge(data) if len(data) <= PIECE else tuple(self._halves(data))
-            if len(match) <= PIECE:
-                if len(self.cache) >= self.cache_size:
-                    self.cache.clear()
-                self.cache[match] = got
-        return got
+        data = match.encode("utf-8", "replace")
+        return self.merge(data) if len(data) <= PIECE else tuple(self._halves(data))
 
     # ------------------------------------------------ a text
 
-    def ends(self, text: str, start: int, stop: int) -> list[int]:
-        """Where the matches end in ``text[start:stop]``, taken as a text of its own."""
-        return [start + m.end() for m in self.find(text[start:stop])]
-
-    def join_ends(self, text: str, start: int, middle: int, stop: int, left: list[int], right: list[int]) -> list[int]:
-        """Match ends of ``text[start:stop]`` from those of its two parts."""
-        # matches before the first unsettled one stay
-        k = 0
-        while k < len(left) and left[k] < middle and (left[k - 1] if k else start) + AHEAD <= middle:
-            k += 1
-        begin = left[k - 1] if k else start
-        known = set(right)
-        window = 64
+    def join_matches(self, left: list[str], right: list[str]) -> list[str]:
+        """Matches of a text from those of its two parts. Only what lies near the boundary is matched again."""
+        keep, back = len(left), 0
+        # unsettled: a match that ends at the boundary, or starts too near to it
+        while keep and (not back or back + len(left[keep - 1]) < AHEAD):
+            keep -= 1
+            back += len(left[keep])
+        tail, count = "".join(left[keep:]), 8
         while True:
-            end = min(stop, middle + window)
-            found, before = [], begin
-            for m in self.find(text[begin:end]):
-                at = begin + m.end()
-                if end < stop and (at >= end or before + AHEAD > end):
+            taken = right[:count]
+            window, all_in = tail + "".join(taken), count >= len(right)
+            ends, at = set(), len(tail)
+            for m in taken:
+                at += len(m)
+                ends.add(at)
+            begin = 0
+            for k, m in enumerate(found := self.find_all(window)):
+                end = begin + len(m)
+                if not all_in and (end >= len(window) or begin + AHEAD > len(window)):
                     break
-                found.append(at)
-                if at > middle and at in known:
-                    return left[:k] + found + [x for x in right if x > at]
-                before = at
-            if end == stop:
-                return left[:k] + found
-            window *= 2
-
-    def split(self, text: str) -> list[int]:
-        """Match ends of the whole text, by halves."""
-
-        def part(a: int, b: int) -> list[int]:
-            if b - a <= LEAF:
-                return self.ends(text, a, b)
-            m = (a + b) // 2
-            return self.join_ends(text, a, m, b, part(a, m), part(m, b))
+                if end in ends:
+                    at, n = len(tail), 0
+                    while at < end:
+                        at += len(right[n])
+                        n += 1
+                    return left[:keep] + found[: k + 1] + right[n:]
+                begin = end
+            if all_in:
+                return left[:keep] + found
+            count *= 2
+
+    def matches(self, text: str) -> list[str]:
+        """Matches of the whole text, by halves."""
+        if len(text) <= LEAF:
+            return self.find_all(text)
+        half = len(text) // 2
+        return self.join_matches(self.matches(text[:half]), self.matches(text[half:]))
 
-        return part(0, len(text))
+    def packed(self, text: str) -> bytes:
+        """Ids of the whole text, 32 bits each, little end first."""
+        return b"".join(map(self.known.__getitem__, self.matches(text)))
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= LEAF:
-            matches = [m.group() for m in self.find(text)]
-        else:
-            ends = self.split(text)
-            matches = [text[a:b] for a, b in zip([0, *ends], ends)]
-        out: list[int] = []
-        known, encode = self.cache, self.encode_match
-        for m in matches:
-            out += known.get(m) or encode(m)
-        return out
+        return np.frombuffer(self.packed(text), "<i4").tolist()
 
     def decode(self, ids) -> bytes:
         """Bytes of the ids: parts put together up the tree."""
@@ -212,7 +228,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def tokenizer(path: str, pattern: str) -> Tokenizer:
     """One for each Python worker: the vocabulary's file is read where it is used,
     its size is fixed by the vocabulary and not by the data."""
-    return Tokenizer(read_ranks(path), pattern)
+    own = Tokenizer(read_ranks(path), pattern)
+    gc.freeze()  # a large cache of strings that no collection has to walk again
+    return own
+
+
+def _mapped(docs: DataFrame, column: str, name: str, kind: T.DataType, make) -> DataFrame:
+    """Adds ``name``, made from ``column`` by ``make`` in small slices of Arrow batches; a
+    column of that name is replaced and all others pass through untouched."""
+    kept = docs.drop(name)
+    at, same = (kept.columns.index(column), False) if column in kept.columns else (len(kept.columns), True)
+    rows = kept.withColumn("__in", docs[name]) if same else kept
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, kind)])
+    n = len(kept.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                columns = [*part.columns[:n], make(part.column(at))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -220,22 +257,21 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
     texts have no ids (an empty array). A column of that name is replaced;
     all others, and repeated rows, stay. ``ranks_path`` must exist on every executor."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = tokenizer(ranks_path, pattern)
-        for texts in batches:
-            yield pd.Series([own.encode(t or "") for t in texts], dtype=object)
+    def encode(texts: pa.Array) -> pa.Array:
+        packed = list(map(tokenizer(ranks_path, pattern).packed, (t or "" for t in texts.to_pylist())))
+        ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
-    return docs.withColumn(ids_col, encode(F.col(text_col)))
+    return _mapped(docs, text_col, ids_col, T.ArrayType(T.IntegerType()), encode)
 
 
 def decode_ids(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Adds ``bytes_col``: the bytes that the ids stand for. Null ids count as none."""
 
-    @F.pandas_udf(T.BinaryType())
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def decode(ids: pa.Array) -> pa.Array:
         own = tokenizer(ranks_path, pattern)
-        for ids in batches:
-            yield pd.Series([own.decode([] if x is None else x.tolist()) for x in ids], dtype=object)
+        flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)).tolist()
+        return pa.array([own.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())
 
-    return docs.withColumn(bytes_col, decode(F.col(ids_col)))
+    return _mapped(docs, ids_col, bytes_col, T.BinaryType(), decode)
