@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linear import fit_logistic, sigmoid
-from .shared import materialize
+from .shared import bounded_sample, materialize
 
 WORD = re.compile(r"\w+")
 
@@ -128,11 +128,11 @@ def train(
     max_sample: int,
     n_folds: int,
 ) -> list[Link]:
-    """The chain, fitted on at most ``max_sample`` labelled rows: those with the smallest
+    """The chain, fitted on at most ``max_sample`` labelled rows, picked by
     hashes of their ids. Rows in which a category is null are left out."""
     known = labels.select(F.col(id_col).alias("label_id"), *[c.cast("int").alias(f"y_{k}") for k, c in enumerate(names.values())])
-    known = known.dropna().orderBy(F.xxhash64(F.col("label_id").cast("string")), "label_id").limit(max_sample)
-    known = materialize(known, "toxic-labels")
+    known = known.dropna()
+    known = materialize(bounded_sample(known, "label_id", max_sample, known.count()), "toxic-labels")
 
     @F.pandas_udf("array<long>")
     def words_of(text: pd.Series) -> pd.Series:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linear import fit_logistic, sigmoid
-from .shared import materialize
+from .shared import bounded_sample, materialize
 
 GOOD, BAD, NONE = 1, -1, 0
 #: Weight of a good vote. It only says that one kind of defect is absent, which all
@@ -172,13 +172,13 @@ def fit_classifier(seen: DataFrame, max_sample: int, dims: int) -> Classifier |
 
     All of them count for the labellers' accuracies: the driver gets one row a vote
     pattern, of which there are at most 3 to the power 8. The scorer is fitted on the
-    ``max_sample`` documents with the smallest hashes of their ids.
+    ``max_sample`` documents at most, picked by hashes of their ids.
     """
     patterns = seen.groupBy("votes").count().collect()
     if not patterns:
         return None
     labels = fit_label_model(np.array([p["votes"] for p in patterns]), np.array([p["count"] for p in patterns], float))
-    sample = seen.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(max_sample).collect()
+    sample = bounded_sample(seen, "id", max_sample, sum(p["count"] for p in patterns)).collect()
     target = labels.posterior(np.array([r["votes"] for r in sample]))
     rows, cols = _flat([r["k"] for r in sample])
     _, values = _flat([r["v"] for r in sample])
