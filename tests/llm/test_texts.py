@@ -1,6 +1,7 @@
 """Rules, archives, page text, tokens and classifiers."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -158,6 +159,21 @@ def test_weak_labels_need_no_labels(spark):
     assert weak.classify_quality(docs.limit(0)).count() == 0
 
 
+def test_every_token_shape_counts(spark):
+    shapes = ["".join(t) for n in range(1, 6) for t in itertools.product("a0-+", repeat=n) if not re.search("aa|00", "".join(t))]
+    _, k, v = weak.describe(" ".join(shapes), 1 << 14)
+    assert len(shapes) > 500 and sum(v) > 0.95 * len(shapes) ** 0.5
+    for order in (shapes[::-1], random.Random(6).sample(shapes, len(shapes))):
+        _, k2, v2 = weak.describe(" ".join(order), 1 << 14)
+        assert dict(zip(k2, v2)) == dict(zip(k, v))
+    # texts that differ in rare shapes only
+    assert weak.describe(" ".join(shapes[:200]), 1 << 14)[1] != weak.describe(" ".join([*shapes[:199], "a+-a"]), 1 << 14)[1]
+    rows, _ = corpus(7, 60)
+    docs = spark.createDataFrame([*rows, (900, " ".join(shapes)), (901, " ".join(shapes[::-1]))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in weak.classify_quality(docs).collect()}
+    assert got[900] == got[901]
+
+
 def test_chain_finds_held_out_toxic_texts(spark):
     rng = random.Random(4)
     rows, labels = [], []

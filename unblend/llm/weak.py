@@ -78,7 +78,8 @@ def describe(text: str | None, dims: int) -> tuple[list[int], list[int], list[fl
         _vote(copies, 0.1, 0.4) if len(lines) >= 4 else NONE,
         _vote(beside, 0.05, 0.2) if enough else NONE,
     ]
-    values = {b"shape " + s: k / n for s, k in shapes.most_common(64)}
+    # every shape counts; sorted, so that sums in a bucket don't depend on the order of words
+    values = {b"shape " + s: k / n for s, k in sorted(shapes.items())}
     values |= {b"top": top, b"beside": beside, b"copies": copies, b"symbols": symbols, b"capitals": capitals}
     hashed: dict[int, float] = {}
     for name, v in values.items():
@@ -178,10 +179,11 @@ def fit_classifier(seen: DataFrame, max_sample: int, dims: int) -> Classifier |
     if not patterns:
         return None
     labels = fit_label_model(np.array([p["votes"] for p in patterns]), np.array([p["count"] for p in patterns], float))
-    sample = bounded_sample(seen, "id", max_sample, sum(p["count"] for p in patterns)).collect()
-    target = labels.posterior(np.array([r["votes"] for r in sample]))
-    rows, cols = _flat([r["k"] for r in sample])
-    _, values = _flat([r["v"] for r in sample])
+    sample = bounded_sample(seen, "id", max_sample, sum(p["count"] for p in patterns)).select("votes", "k", "v").toArrow()
+    target = labels.posterior(np.array(sample["votes"].to_pylist()))
+    k, v = sample["k"].combine_chunks(), sample["v"].combine_chunks()
+    rows = np.repeat(np.arange(len(k)), k.value_lengths().to_numpy(zero_copy_only=False))
+    cols, values = k.flatten().to_numpy(), v.flatten().to_numpy()
     weights, bias = fit_logistic(rows, cols.astype(np.int64), values.astype(float), dims, target, l2=0.1, steps=600)
     return Classifier(labels, weights, bias)
 
@@ -198,7 +200,8 @@ def classify_quality(
     score (the linear model's probability) and kept (score >= ``threshold``).
 
     The scorer's sample is bounded by ``max_sample`` documents; everything else covers
-    all documents and whole texts. Null, empty and blank texts get no votes and no
+    all documents and whole texts, with every token shape in one of ``dims`` buckets. The
+    driver holds the sample's filled buckets: max_sample * dims numbers at the very most. Null, empty and blank texts get no votes and no
     features: they have the prior's posterior and the intercept's score.
     Repeated rows count each; other columns are ignored; an empty table gives no rows.
     """
