@@ -87,6 +87,30 @@ def test_hierarchy_masses_add_up(spark, known):
     assert {r.node: r.mass for r in tree.propagate_masses(raw, t).collect()} == {"root": 1.0, "ab": 0.5, "c": 0.5, "a": 0.25, "b": 0.25}
 
 
+def test_absent_genes_are_zeros_down_the_tree(spark):
+    rng = np.random.default_rng(8)
+    s = np.abs(rng.normal(size=(24, 4))) + 0.1
+    s[:4] = np.diag([5.0, 5.0, 5.0, 5.0])  # markers, each stored for one type only
+    s /= s.sum(0)
+    edges = [("root", None, 0, 0, False), *[(c, "root", 1, k, True) for k, c in enumerate("abc")], ("de", "root", 1, 3, False), ("d", "de", 2, 0, True)]
+    t = spark.createDataFrame(edges, "node string, parent string, depth int, child_pos int, is_leaf boolean")
+    leaf = spark.createDataFrame([*[("root", c) for c in "abcd"], *[(c, c) for c in "abcd"], ("de", "d")], "node string, leaf string")
+    shares = {"x0": [0.4, 0.3, 0.2, 0.1], "x1": [0.5, 0.0, 0.25, 0.25], "bad": [0.25] * 4}
+    sig = [("t", g, c, float(s[g, j])) for g in range(24) for j, c in enumerate("abcd") if s[g, j]]
+    bulk = [("t", m, g, float(s[g] @ p)) for m, p in shares.items() for g in range(24) if s[g] @ p]
+    bulk = [(*r[:3], float("nan")) if r[1:3] == ("bad", 9) else r for r in bulk]
+    sig, bulk = spark.createDataFrame(sig, SIG), spark.createDataFrame(bulk, BULK)
+    chosen = profiles.split_gene_selection(sig, t, leaf, 4).where("parent = 'root'").collect()
+    assert {r.gene for r in chosen} == {0, 1, 2, 3}
+    got = {}
+    for r in tree.hierarchical_deconvolve(sig, bulk, t, leaf).collect():
+        got.setdefault(r.mixture, {})[r.node] = r
+    assert set(got) == set(shares) and all(set(v) == {"a", "b", "c", "de", "d"} for v in got.values())
+    for m in ("x0", "x1"):
+        assert [got[m][c].mass for c in "abcd"] == pytest.approx(shares[m], abs=1e-3) and got[m]["d"].error is None
+    assert all(r.mass is None and "finite" in r.error for r in got["bad"].values())
+
+
 def test_anchors_stay_and_the_rest_moves(known):
     sig, bulk, shares = known
     out = anchor.anchor_recover(sig, bulk, at_least=5)

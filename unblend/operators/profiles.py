@@ -46,11 +46,20 @@ def gene_dispersion_score(signature: DataFrame, keys: list[str] = KEYS, epsilon:
     return raw.join(top, keys).select(*keys, "gene", score.alias("score"))
 
 
+def leaf_grid(profiles: DataFrame, node_leaf: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Every gene of a tissue for every leaf of the tree, 0 where its profile has none."""
+    leaves = node_leaf.select(F.col("leaf").alias("cell_type")).distinct()
+    grid = profiles.select(*keys, "gene").distinct().join(F.broadcast(leaves))
+    pick = [*keys, "gene", "cell_type"]
+    return grid.join(profiles, pick, "left").select(*pick, F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def split_gene_selection(
     profiles: DataFrame, tree: DataFrame, node_leaf: DataFrame, genes: int = 150, keys: list[str] = KEYS, epsilon: float = 1e-12
 ) -> DataFrame:
     """For each inner node the genes that tell its children apart best: variance between
-    the children's means over the mean variance among a child's own leaves."""
+    the children's means over the mean variance among a child's own leaves. Absent values are 0."""
+    profiles = leaf_grid(profiles, node_leaf, keys)
     children = tree.where("parent is not null").select("node", "parent")
     placed = profiles.join(node_leaf.withColumnRenamed("leaf", "cell_type"), "cell_type").join(children, "node")
     child = placed.groupBy(*keys, "parent", "node", "gene").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))

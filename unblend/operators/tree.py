@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.learn import Config
 from ..functions.linkage import linkage_tree
 from ..functions.storage import materialize
-from .normalize import KEYS
-from .profiles import aggregate_profiles_by_node, split_gene_selection
+from .normalize import KEYS, shared_genes
+from .profiles import aggregate_profiles_by_node, leaf_grid, split_gene_selection
 from .weighted import weighted_deconvolve
 
 
@@ -57,24 +57,33 @@ def hierarchical_deconvolve(
     genes: int = 150,
     keys: list[str] = KEYS,
 ) -> DataFrame:
-    """(keys, mixture, node, depth, is_leaf, raw, mass, iterations, converged), one Spark pass per level.
+    """(keys, mixture, node, depth, is_leaf, raw, mass, iterations, converged, error), one Spark pass per level.
 
     Each node with several children is solved over its children's profiles on the genes
     that tell them apart; an only child takes its parent's mass. What is chosen per node
-    (profiles, genes) is worked out once a tissue, not once a mixture.
+    (profiles, genes) is worked out once a tissue, not once a mixture. Genes are those that a
+    tissue has in both tables; values that either table leaves out are 0. All nodes below one that
+    can't be solved are rows with its error and without raw and mass; it counts whole in the rest.
     """
     by = [*keys, "mixture", "parent"]
-    signature, bulk = materialize(signature, "tree-reference"), materialize(bulk, "tree-bulk")
+    shared = materialize(shared_genes(bulk, signature, keys), "tree-shared")
+    pick = [*keys, "gene"]
+    signature = materialize(leaf_grid(signature.join(shared, pick, "left_semi"), node_leaf, keys), "tree-reference")
+    grid = bulk.select(*keys, "mixture").distinct().join(shared, keys)
+    bulk = grid.join(bulk, [*keys, "mixture", "gene"], "left").select(
+        *keys, "mixture", "gene", F.coalesce("value", F.lit(0.0)).alias("value")
+    )
+    bulk = materialize(bulk, "tree-bulk")
     profiles = materialize(aggregate_profiles_by_node(signature, node_leaf, keys), "tree-profiles")
     picked = split_gene_selection(signature, tree, node_leaf, genes, keys).select(*keys, "parent", "gene")
     picked = materialize(picked, "tree-genes")
     edges = tree.select("node", "parent", "depth", "is_leaf")
-    sizes = edges.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
     root = tree.where("parent is null").select(F.col("node").alias("parent"))
     deepest = tree.agg(F.max("depth")).first()[0] or 0
     local = bulk.join(F.broadcast(root)).select(*keys, "mixture", "parent", "gene", "value")
     mass = bulk.select(*keys, "mixture").distinct().join(F.broadcast(root)).withColumn("above", F.lit(1.0))
-    out, level = None, None
+    mass = mass.withColumn("failed", F.lit(None).cast("string"))
+    out, stuck = None, None
     for depth in range(1, deepest + 1):
         here = edges.where(F.col("depth") == depth)
         child = profiles.join(here, "node").join(picked, [*keys, "parent", "gene"], "left_semi")
@@ -82,23 +91,33 @@ def hierarchical_deconvolve(
         rows = local.join(packed, [*keys, "parent", "gene"]).select(*by, "gene", F.col("s.value").alias("a"), F.col("value").alias("b"))
         solved = weighted_deconvolve(rows, by, cfg).select(*by, "proportions", "iterations", "converged", "error")
         names = here.groupBy("parent").agg(F.array_sort(F.collect_list("node")).alias("names"))
-        each = solved.join(names, "parent").select(*by, "iterations", "converged", F.explode(F.arrays_zip("names", "proportions")).alias("z"))
-        raw = each.select(*by, F.col("z.names").alias("node"), F.col("z.proportions").alias("raw"), "iterations", "converged")
-        single = here.join(sizes.where("children = 1"), "parent").select("parent", "node")
-        alone = mass.join(single, "parent").select(
-            *by, "node", F.lit(1.0).alias("raw"), F.lit(0).alias("iterations"), F.lit(True).alias("converged")
-        )
-        level = raw.unionByName(alone).join(mass, by).withColumn("mass", F.col("above") * F.col("raw")).drop("above")
+        # from the masses and not from the solutions, so that no parent is lost
+        each = mass.join(names, "parent").join(solved, by, "left")
+        open_, single = F.col("failed").isNull(), F.size("names") == 1
+        unsolved = F.coalesce("error", F.when(F.col("proportions").isNull(), F.lit("no genes to solve on")))
+        each = each.select(
+            *by, "above", F.coalesce("failed", F.when(~single, unsolved)).alias("error"),
+            F.when(open_ & single, 0).when(open_, F.col("iterations")).alias("iterations"),
+            F.when(open_ & single, True).when(open_, F.col("converged")).alias("converged"),
+            F.when(open_ & single, F.array(F.lit(1.0))).when(open_, F.col("proportions")).alias("x"),
+            F.posexplode("names").alias("at", "node"),
+        )
+        level = each.withColumn("raw", F.get("x", F.col("at"))).withColumn("mass", F.col("above") * F.col("raw")).drop("x", "at")
         level = materialize(level.join(here.select("node", "depth", "is_leaf"), "node"), "tree-level")
         out = level if out is None else out.unionByName(level)
         if depth == deepest:
             break
-        # leaves that are already reached stay part of what the level explains
-        visible = out.where((F.col("depth") == depth) | F.col("is_leaf")).select(*keys, "mixture", "node", "mass")
-        local = parent_local_bulk(bulk, visible, profiles, cfg.weight_floor, keys).withColumnRenamed("node", "parent")
-        mass = level.where(~F.col("is_leaf")).select(*keys, "mixture", F.col("node").alias("parent"), F.col("mass").alias("above"))
-        local = local.join(mass.select(*by), by, "left_semi")
-    return out.select(*keys, "mixture", "node", "depth", "is_leaf", "raw", "mass", "iterations", "converged")
+        # leaves that are already reached, and parents that failed, stay part of what the level explains
+        failed = level.where("mass is null and above is not null")
+        failed = failed.select(*keys, "mixture", F.col("parent").alias("node"), F.col("above").alias("mass")).distinct()
+        stuck = failed if stuck is None else stuck.unionByName(failed)
+        visible = out.where(((F.col("depth") == depth) | F.col("is_leaf")) & F.col("mass").isNotNull()).select(*keys, "mixture", "node", "mass")
+        local = parent_local_bulk(bulk, visible.unionByName(stuck), profiles, cfg.weight_floor, keys).withColumnRenamed("node", "parent")
+        mass = level.where(~F.col("is_leaf")).select(
+            *keys, "mixture", F.col("node").alias("parent"), F.col("mass").alias("above"), F.col("error").alias("failed")
+        )
+        local = local.join(mass.where("failed is null").select(*by), by, "left_semi")
+    return out.select(*keys, "mixture", "node", "depth", "is_leaf", "raw", "mass", "iterations", "converged", "error")
 
 
 def build_hierarchy(distances: DataFrame, groups: int | None = None, method: str = "average", keys: list[str] = KEYS) -> DataFrame:
