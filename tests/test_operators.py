@@ -87,6 +87,34 @@ def test_hierarchy_masses_add_up(spark, known):
     assert {r.node: r.mass for r in tree.propagate_masses(raw, t).collect()} == {"root": 1.0, "ab": 0.5, "c": 0.5, "a": 0.25, "b": 0.25}
 
 
+def test_tissues_with_different_numbers_of_types(spark):
+    rng = np.random.default_rng(4)
+    by, sig, bulk, truth = ["tissue", "mixture"], [], [], {}
+    for tissue, types in (("t", "abcd"), ("u", "ab"), ("v", "xyz")):
+        s = np.abs(rng.normal(size=(20, len(types)))) + 0.1
+        s /= s.sum(0)
+        sig += [(tissue, g, c, float(s[g, j])) for g in range(20) for j, c in enumerate(types)]
+        for m in ("m0", "m1", "m2"):
+            p = rng.dirichlet(np.ones(len(types)))
+            truth |= {(tissue, m, c): float(x) for c, x in zip(types, p)}
+            bulk += [(tissue, m, g, float(s[g] @ p)) for g in range(20)]
+    sig, bulk = spark.createDataFrame(sig, SIG), spark.createDataFrame(bulk, BULK)
+    gram = solve.gram_stats(normalize.prepared(sig, bulk, zscore=False), by)
+    assert {r.tissue: (len(r.h), len(r.l)) for r in gram.collect()} == {"t": (16, 4), "u": (4, 2), "v": (9, 3)}
+    for solved in (solve.simplex_ls(gram), solve.nnls_solve(gram)):
+        got = {(r.tissue, r.mixture, r.cell_type): r.prediction for r in solve.named(solved, sig, by).collect()}
+        assert got == pytest.approx(truth, abs=1e-6)
+    batch = weighted.deconvolve_batch(sig, bulk).collect()
+    assert len(batch) == 18 and all(r.error is None for r in batch)
+    p = spark.createDataFrame([(*k, v) for k, v in truth.items()], "tissue string, mixture string, cell_type string, p double")
+    flags = sig.select("tissue", "gene").distinct().withColumn("is_anchor", F.col("gene") < 5)
+    rows = anchor.recover_signature(sig, bulk, p, flags).collect()
+    # exact mixtures leave nothing to shift
+    assert len(rows) == 20 * 9 and all(abs(r.shift) < 1e-6 for r in rows)
+    got = {(r.tissue, r.mixture, r.cell_type): r.p for r in anchor.anchor_proportions(sig, bulk, flags).collect()}
+    assert got == pytest.approx(truth, abs=1e-4)
+
+
 def test_absent_genes_are_zeros_down_the_tree(spark):
     rng = np.random.default_rng(8)
     s = np.abs(rng.normal(size=(24, 4))) + 0.1

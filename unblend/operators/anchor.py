@@ -114,19 +114,20 @@ def recover_signature(
     of the bulk on the proportions towards the signature; anchors stay as they are."""
     packed = by_type(proportions, [*keys, "mixture"], types_of(signature, keys), "p", "a", keys).withColumn("b", F.lit(0.0))
     k = packed.agg(F.max(F.size("a"))).first()[0] or 0
-    gram = gram_stats(packed, keys, k=k).select(*keys, "h")
-    eye = F.transform("h", lambda v, i: v + F.when(F.pmod(i, F.lit(k + 1)) == 0, lam + jitter).otherwise(0.0))
-    inverse = gram.select(*keys, _inverse(eye).alias("inv"))
+    gram = gram_stats(packed, keys, k=k).select(*keys, "h", F.size("l").alias("k"))
+    eye = F.transform("h", lambda v, i: v + F.when(F.pmod(i, F.col("k") + 1) == 0, lam + jitter).otherwise(0.0))
+    inverse = gram.select(*keys, "k", _inverse(eye).alias("inv"))
     mixed = bulk.join(packed.drop("b", "types"), [*keys, "mixture"]).groupBy(*keys, "gene").agg(
-        *[F.sum(F.col("value") * F.col("a")[i]).alias(f"r{i}") for i in range(k)]
+        *[F.sum(F.col("value") * F.coalesce(F.get("a", i), F.lit(0.0))).alias(f"r{i}") for i in range(k)]
     )
     rows = signature_rows(signature, keys).join(mixed, [*keys, "gene"]).join(inverse, keys)
-    right = F.zip_with(F.array(*[F.col(f"r{i}") for i in range(k)]), "a", lambda x, s: x + lam * s)
+    own = lambda xs: F.slice(F.array(*xs), F.lit(1), F.col("k"))
+    right = F.zip_with(own([F.col(f"r{i}") for i in range(k)]), "a", lambda x, s: x + lam * s)
     rows = rows.withColumn("right", right)
     column = lambda j: F.aggregate(
-        F.transform("right", lambda v, i: v * F.get("inv", i * k + j)), F.lit(0.0), lambda t, v: t + v
+        F.transform("right", lambda v, i: v * F.get("inv", i * F.col("k") + j)), F.lit(0.0), lambda t, v: t + v
     )
-    solved = F.array(*[column(j) for j in range(k)])
+    solved = own([column(j) for j in range(k)])
     solved = F.transform(solved, lambda v: F.greatest(v, F.lit(0.0))) if clip else solved
     flags = anchors.select(*keys, "gene", "is_anchor")
     final = F.when(F.col("is_anchor"), F.col("a")).otherwise(F.col("solved"))

@@ -14,19 +14,23 @@ from .normalize import KEYS, types_of
 def gram_stats(rows: DataFrame, by: list[str], weight: Column | None = None, k: int | None = None) -> DataFrame:
     """Normal equations per group: h (K x K, by rows), l (K), bb and the number of genes.
 
-    ``rows`` has ``a`` (array of K) and ``b``. Each product is a sum of its own, so genes
+    ``rows`` has ``a`` (array of K) and ``b``; groups may differ in K, and sums run to the
+    largest one. Each product is a sum of its own, so genes
     are aggregated where they lie (map side first) and only K * (K + 3) / 2 numbers a
     group are shuffled. K is looked up once if it isn't given.
     """
     if k is None:
         k = rows.agg(F.max(F.size("a"))).first()[0] or 0
     w = F.lit(1.0) if weight is None else weight
-    a = [F.col("a")[i] for i in range(k)]
+    a = [F.coalesce(F.get("a", i), F.lit(0.0)) for i in range(k)]
     sums = [F.sum(w * a[i] * a[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
     sums += [F.sum(w * a[i] * F.col("b")).alias(f"l{i}") for i in range(k)]
-    out = rows.groupBy(*by).agg(*sums, F.sum(w * F.col("b") * F.col("b")).alias("bb"), F.count(F.lit(1)).alias("n_genes"))
-    h = F.array(*[F.col(f"h{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)])
-    return out.select(*by, h.alias("h"), F.array(*[F.col(f"l{i}") for i in range(k)]).alias("l"), "bb", "n_genes")
+    sums += [F.max(F.size("a")).alias("_k"), F.sum(w * F.col("b") * F.col("b")).alias("bb"), F.count(F.lit(1)).alias("n_genes")]
+    out = rows.groupBy(*by).agg(*sums)
+    own = lambda xs: F.slice(F.array(*xs), F.lit(1), F.col("_k"))
+    h = F.flatten(own([own([F.col(f"h{min(i, j)}_{max(i, j)}") for j in range(k)]) for i in range(k)])) if k else F.array().cast("array<double>")
+    l = own([F.col(f"l{i}") for i in range(k)]) if k else F.array().cast("array<double>")
+    return out.select(*by, h.alias("h"), l.alias("l"), "bb", "n_genes")
 
 
 def _stacked(solver):
