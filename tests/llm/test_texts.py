@@ -119,6 +119,15 @@ def test_main_text(spark):
     assert got == {1: want, 2: "", 3: "", 4: "", 5: "deep"}
 
 
+def test_quotes_open_only_after_equals_signs():
+    first, rest = "Article text, it's long and it goes on for a while.", "The second part isn't short either, so it must stay."
+    for tag in ("<a href=/o'brien>", "<a title=it's \"odd>", "<a class=x=\"q>", "<a ='x>", "<a href=\"never closed>"):
+        page = f"<html><body><div><p>{tag}{first}</a> It can't be lost.</p><p>{rest}</p></div></body></html>"
+        assert density.main_text(page) == f"{first} It can't be lost.\n{rest}", tag
+    for tag in ("<b title='x>y' data-z = \"p>q\">", "<b data-x=a'b title=\"1>2\">", "<b\ntitle='>'/>"):
+        assert density.main_text(f"<html><body><div><p>{tag}{first}</b></p></div></body></html>") == first, tag
+
+
 def test_bpe_matches_the_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
     tokenizers = pytest.importorskip("public_tokenizers")

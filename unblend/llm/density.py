@@ -45,8 +45,11 @@ AROUND_NAMES = set(
 )
 OWN_NAMES = set("article post entry story content main body text".split())
 
+# Attributes as HTML reads them: a quote opens a value only right after "=", anywhere else it is a character like others.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)?+)*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
