@@ -139,6 +139,17 @@ def test_absent_genes_are_zeros_down_the_tree(spark):
     assert all(r.mass is None and "finite" in r.error for r in got["bad"].values())
 
 
+def test_correlations_count_absent_genes_as_zeros(spark):
+    s = np.array([[3.0, 2.5, 0.0], [1.0, 2.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 4.0], [2.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
+    sig = [("t", g, c, float(s[g, j])) for g in range(6) for j, c in enumerate("abc") if s[g, j]]
+    d = profiles.profile_correlation(spark.createDataFrame(sig, SIG))
+    want = 1 - np.corrcoef(s.T)
+    got = {(r.name_1, r.name_2): r.distance for r in d.collect()}
+    assert got == pytest.approx({("a", "b"): want[0, 1], ("a", "c"): want[0, 2], ("b", "c"): want[1, 2]})
+    parents = {r.node: r.parent for r in tree.build_hierarchy(d).collect()}
+    assert parents["a"] == parents["b"] != parents["c"]
+
+
 def test_anchors_stay_and_the_rest_moves(known):
     sig, bulk, shares = known
     out = anchor.anchor_recover(sig, bulk, at_least=5)

@@ -108,8 +108,12 @@ def perturb_reference(signature: DataFrame, noise: Column, sigma: float, keys: l
 
 
 def profile_correlation(profiles: DataFrame, name: str = "cell_type", keys: list[str] = KEYS) -> DataFrame:
-    """Distance 1 - r of every two profiles of a tissue, in [0, 2]; without spread r counts as 0.
-    Both sides of a pair share the gene's row, so genes are joined, not crossed."""
+    """Distance 1 - r of every two profiles of a tissue over all its genes, in [0, 2]; absent
+    values are 0, without spread r counts as 0. Both sides of a pair share the gene's row, so
+    genes are joined, not crossed."""
+    grid = profiles.select(*keys, "gene").distinct().join(profiles.select(*keys, name).distinct(), keys)
+    pick = [*keys, "gene", name]
+    profiles = grid.join(profiles, pick, "left").select(*pick, F.coalesce("value", F.lit(0.0)).alias("value"))
     left = profiles.select(*keys, "gene", F.col(name).alias("name_1"), F.col("value").alias("x"))
     right = profiles.select(*keys, "gene", F.col(name).alias("name_2"), F.col("value").alias("y"))
     pairs = left.join(right, [*keys, "gene"]).where("name_1 < name_2").groupBy(*keys, "name_1", "name_2")
