@@ -150,6 +150,27 @@ def test_correlations_count_absent_genes_as_zeros(spark):
     assert parents["a"] == parents["b"] != parents["c"]
 
 
+def test_anchor_queries_count_absent_genes_as_zeros(spark):
+    s = np.array([[3.0, 1.0], [0.0, 2.0], [4.0, 0.0], [1.0, 1.0]])
+    b = np.array([[2.0, 0.0], [0.0, 3.0], [1.0, 0.0], [1.0, 2.0]])
+    share = np.array([[0.6, 0.3], [0.4, 0.7]])
+    sig = spark.createDataFrame([("t", g, c, float(s[g, j])) for g in range(4) for j, c in enumerate("ab") if s[g, j]], SIG)
+    bulk = spark.createDataFrame([("t", f"m{m}", g, float(b[g, m])) for g in range(4) for m in range(2) if b[g, m]], BULK)
+    p = spark.createDataFrame([("t", f"m{m}", c, float(share[j, m])) for m in range(2) for j, c in enumerate("ab")], "tissue string, mixture string, cell_type string, p double")
+    weights = spark.createDataFrame([("t", f"m{m}", g, 1.0 + g) for g in range(4) for m in range(2)], "tissue string, mixture string, gene int, meta_weight double")
+    gap = b - s @ share
+    got = {r.gene: r.residual_rms for r in anchor.anchor_gene_metrics(sig, bulk, p, weights).collect()}
+    assert got == pytest.approx({g: np.sqrt((gap[g] ** 2).mean()) for g in range(4)})
+    found = {(r.mixture, r.cell_type): r.p for r in anchor.anchor_proportions(sig, bulk, None).collect()}
+    for m in range(2):
+        d = s[:, 0] - s[:, 1]
+        want = np.clip(d @ (b[:, m] - s[:, 1]) / (d @ d), 0, 1)
+        assert found[f"m{m}", "a"] == pytest.approx(want, abs=1e-6) and found[f"m{m}", "b"] == pytest.approx(1 - want, abs=1e-6)
+    rank1 = {(r.mixture, r.gene, r.cell_type): r.recovered for r in solve.recover_rank1(sig, bulk, p, 0.6).collect()}
+    size = (share**2).sum(0) + 0.6
+    assert rank1 == pytest.approx({(f"m{m}", g, c): max(0.0, s[g, j] + gap[g, m] * share[j, m] / size[m]) for m in range(2) for g in range(4) for j, c in enumerate("ab")})
+
+
 def test_anchors_stay_and_the_rest_moves(known):
     sig, bulk, shares = known
     out = anchor.anchor_recover(sig, bulk, at_least=5)

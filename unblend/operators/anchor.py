@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.learn import Config
 from ..functions.storage import materialize
-from .normalize import KEYS, by_type, joint_zscore_all, normalize_columns, shared_genes, signature_rows, types_of
+from .normalize import KEYS, by_type, dense_bulk, joint_zscore_all, normalize_columns, shared_genes, signature_rows, types_of
 from .solve import gram_stats, named, simplex_ls
 from .weighted import long_weights, weighted_deconvolve
 
@@ -26,7 +26,10 @@ def fitted(signature: DataFrame, proportions: DataFrame, keys: list[str] = KEYS)
 def anchor_gene_metrics(
     signature: DataFrame, bulk: DataFrame, proportions: DataFrame, weights: DataFrame, keys: list[str] = KEYS, epsilon: float = 1e-8
 ) -> DataFrame:
-    """Per gene: residual_rms, relative_residual, mean_weight, normalized_weight, score, fitted_mean."""
+    """Per gene: residual_rms, relative_residual, mean_weight, normalized_weight, score, fitted_mean.
+
+    Genes are those of both tables; a mixture that lacks one has 0 there."""
+    bulk = dense_bulk(bulk, shared_genes(bulk, signature, keys), keys)
     both = fitted(signature, proportions, keys).join(bulk.withColumnRenamed("value", "b"), [*keys, "gene", "mixture"])
     gap = F.col("b") - F.col("fitted")
     stats = both.groupBy(*keys, "gene").agg(
@@ -78,7 +81,9 @@ def select_anchors(
 
 
 def anchor_rows(signature: DataFrame, bulk: DataFrame, anchors: DataFrame | None, keys: list[str] = KEYS) -> DataFrame:
-    """Solver rows (a, b) of the anchor genes, without further scaling."""
+    """Solver rows (a, b) of the anchor genes, without further scaling; a mixture that lacks a
+    gene of both tables has 0 there."""
+    bulk = dense_bulk(bulk, shared_genes(bulk, signature, keys), keys)
     rows = bulk.withColumnRenamed("value", "b").join(signature_rows(signature, keys).drop("types"), [*keys, "gene"])
     if anchors is not None:
         rows = rows.join(anchors.where("is_anchor").select(*keys, "gene"), [*keys, "gene"], "left_semi")

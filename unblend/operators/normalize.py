@@ -65,6 +65,13 @@ def signature_rows(signature: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return by_type(signature, [*keys, "gene"], types_of(signature, keys), "value", "a", keys)
 
 
+def dense_bulk(bulk: DataFrame, genes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Every mixture of a tissue with each of its ``genes``, 0 where the bulk leaves one out."""
+    by = [*keys, "mixture", "gene"]
+    grid = bulk.select(*keys, "mixture").distinct().join(genes, keys)
+    return grid.join(bulk, by, "left").select(*by, F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def prepared(signature: DataFrame, bulk: DataFrame, keys: list[str] = KEYS, zscore: bool = True) -> DataFrame:
     """Solver rows (keys, mixture, gene, a, b): shared genes, columns summing to 1 and, unless
     ``zscore`` is false, each gene z-scored over the signature's values and the one
