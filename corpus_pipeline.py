@@ -48,7 +48,7 @@ STAGES = [
     ("tokenize", tokenize),
 ]
 
-#: Models, hash orders and merges aren't SQL; a test holds the stages against plain Python.
+#: Models, hash orders and merges aren't SQL; the stages' operators are tested one by one, run() as a whole isn't.
 ORACLE_SQL = None
 
 

@@ -102,6 +102,23 @@ def test_mixed_rows_repeat_documents(spark):
     assert sorted(got) == sorted(i for i, n in plan.items() for _ in range(n))
 
 
+def test_mixed_rows_with_repeated_and_null_ids(spark):
+    rows = [(k % 9 if k % 4 else None, f"w{k} " * (1 + k % 3), ["big", "big", "small", None][k % 4 - k % 2]) for k in range(120)]
+    rows += [(5, "same text", "small")] * 4
+    table = docs(spark, rows)
+    plan, got = mixing.mix(table).collect(), mixing.mixed_rows(table)
+    assert got.columns == table.columns
+    got = [(r.doc_id, r.text, r.source) for r in got.collect()]
+    assert len(got) == sum(r.copies for r in plan)
+    count = lambda pairs: {k: sum(n for j, n in pairs if j == k) for k, _ in pairs}
+    want = count([((r.doc_id, r.size), r.copies) for r in plan if r.copies])
+    assert count([((i, len(t.split())), 1) for i, t, _ in got]) == want
+    assert set(got) <= set(rows) and any(i is None for i, _, _ in got)
+    again = mixing.mixed_rows(docs(spark, rows[::-1])).collect()
+    key = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted(((r.doc_id, r.text, r.source) for r in again), key=key) == sorted(got, key=key)
+
+
 CHATS = [
     (1, 0, "system", "be # kind"), (1, 1, "user", "hi \\ <b>"), (1, 2, "user", "again </turn> ok"), (1, 3, "assistant", "### x"),
     (1, 4, "assistant", ""), (1, 5, "assistant", None), (2, 0, "assistant", "only"), (3, 1, None, "\\h\\l\\b"), (3, 0, "a: </role>b", "é\n\n"),

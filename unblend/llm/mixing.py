@@ -73,6 +73,23 @@ def mix(
     separate rows with equal keys. Other columns are ignored. An empty table gives
     no rows. Reruns agree: keys depend on ids and ``seed`` alone.
     """
+    plan = _planned(docs, id_col, text_col, source_col, share, max_epochs, weights, seed, rows_per_bucket)
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return plan.select(F.col("id").alias(id_col), "size", "source_size", "target", taken, "copies")
+
+
+def _planned(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    source_col: str,
+    share: float = 1.5,
+    max_epochs: float = 2.0,
+    weights: tuple[int, ...] = WEIGHTS,
+    seed: int = 0,
+    rows_per_bucket: int = 50_000,
+) -> DataFrame:
+    """A row per input row: id, source, size, source_size, target and copies."""
     sizes = materialize(
         docs.select(
             F.col(id_col).alias("id"),
@@ -103,21 +120,26 @@ def mix(
     rest = F.col("target") - passes * F.col("source_size")
     partly = (F.col("start") + F.col("in_bucket") + F.col("size") / 2 <= rest) & (F.col("size") > 0)
     copies = (passes + F.when(partly, 1).otherwise(0)).cast("long")
-    return placed.select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * copies).alias("taken"),
-        copies.alias("copies"),
-    )
+    return placed.select("id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as ``mix`` takes it, and
-    no others. ``id_col`` must tell rows apart; rows with a null id are left out of
-    the mix."""
-    key, copy = fresh(docs, "mixed_id", "mixed_copy")
-    plan = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    plan = plan.select(F.col(id_col).alias(key), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy))
-    return docs.join(plan, F.col(id_col) == F.col(key)).select(*docs.columns)
+    """The mix itself: the rows of ``docs``, each as often as ``mix`` takes it, and no others.
+
+    Rows may share an id or have none. Those of one id, source and size are alike to ``mix``, which
+    gives some of them one copy more than the rest: the first by a hash of the row.
+    """
+    group, nth, low, more, copy = fresh(docs, "mixed_group", "mixed_nth", "mixed_low", "mixed_more", "mixed_copy")
+    # nulls within structs are equal, so these join where plain columns would not
+    plan = _planned(docs, id_col, text_col, source_col, **options)
+    plan = plan.select(F.struct("id", "source", "size").alias(group), "copies").groupBy(group).agg(
+        F.min("copies").alias(low), (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias(more)
+    )
+    row = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])
+    placed = docs.withColumn(
+        group, F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    )
+    placed = placed.withColumn(nth, F.row_number().over(Window.partitionBy(group).orderBy(row)))
+    copies = F.col(low) + F.when(F.col(nth) <= F.col(more), 1).otherwise(0)
+    taken = placed.join(plan, group).withColumn(copy, copies).where(F.col(copy) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy))).alias(copy)).drop(copy)
