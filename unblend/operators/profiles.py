@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import guarded_corr
+from ..functions.storage import materialize
 from .normalize import KEYS, log1p_counts, normalize_columns
 
 
@@ -111,6 +112,7 @@ def profile_correlation(profiles: DataFrame, name: str = "cell_type", keys: list
     """Distance 1 - r of every two profiles of a tissue over all its genes, in [0, 2]; absent
     values are 0, without spread r counts as 0. Both sides of a pair share the gene's row, so
     genes are joined, not crossed."""
+    profiles = materialize(profiles, "correlation-profiles")
     grid = profiles.select(*keys, "gene").distinct().join(profiles.select(*keys, name).distinct(), keys)
     pick = [*keys, "gene", name]
     profiles = grid.join(profiles, pick, "left").select(*pick, F.coalesce("value", F.lit(0.0)).alias("value"))
