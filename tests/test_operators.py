@@ -45,7 +45,7 @@ def test_known_shares_come_back(known):
     learned = weighted.weighted_deconvolve(rows, by).collect()
     for r in learned:
         assert r.error is None and np.allclose(r.proportions, shares[r.mixture], atol=1e-4)
-    again = weighted.weighted_deconvolve(rows.repartition(7), by, partitions=3).collect()
+    again = weighted.weighted_deconvolve(rows.repartition(7), by, per_task=2).collect()
     assert {r.mixture: r.proportions for r in again} == {r.mixture: r.proportions for r in learned}
 
 
@@ -57,6 +57,30 @@ def test_a_failing_mixture_is_a_row(spark, known):
     assert got.pop("x1") is not None and set(got.values()) == {None}
 
 
+def test_mixtures_are_dealt_to_tasks(spark):
+    rows = spark.range(2000).selectExpr("'t' AS tissue", "id AS mixture", "array(1, 2) AS gene", "array(1.0D) AS b")
+    dealt = weighted.dealt(rows, ["tissue", "mixture"])
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 63 and sum(sizes) == 2000 and max(sizes) < 80
+    assert weighted.dealt(rows.limit(0), ["tissue", "mixture"]).count() == 0
+
+
+def test_columns_that_cannot_be_normalised_are_error_rows(spark, known):
+    sig, bulk, shares = known
+    zero = spark.createDataFrame([("t", "zero", g, 0.0) for g in range(30)] + [("t", "elsewhere", 99, 1.0), ("u", "x0", 1, 1.0), ("u", "x0", 2, 2.0)], BULK)
+    broken = spark.createDataFrame([("u", g, c, float(c == "a")) for g in (1, 2) for c in "ab"], SIG)
+    got = {(r.tissue, r.mixture, r.method): r for r in weighted.deconvolve_batch(sig.unionByName(broken), bulk.unionByName(zero)).collect()}
+    assert len(got) == 2 * (len(shares) + 3)
+    for (tissue, mixture, _), r in got.items():
+        bad = tissue == "u" or mixture in ("zero", "elsewhere")
+        assert (r.error is not None) == bad and (r.proportions is None) == bad
+    for m, p in shares.items():
+        assert np.allclose(got["t", m, "weighted"].proportions, p, atol=1e-4)
+    out = anchor.anchor_recover(sig.unionByName(broken), bulk.unionByName(zero), at_least=5)
+    assert {(r.tissue, r.mixture) for r in out["failed"].collect()} == {("t", "zero"), ("t", "elsewhere"), ("u", "x0")}
+    assert {r.mixture for r in out["proportions"].collect()} == set(shares)
+
+
 def test_zero_columns_stop_and_constant_genes_do_not(spark):
     sig = spark.createDataFrame([("t", 1, "a", 0.0), ("t", 2, "a", 0.0)], SIG)
     with pytest.raises(Exception, match="column sum"):
@@ -83,6 +107,11 @@ def test_hierarchy_masses_add_up(spark, known):
     assert set(got) == set(shares)
     for m in got.values():
         assert m["ab"] + m["c"] == pytest.approx(1) and m["a"] + m["b"] == pytest.approx(m["ab"])
+    batch = {(r.mixture, r.method): r for r in weighted.deconvolve_batch(sig, bulk, tree=t, node_leaf=leaf).collect()}
+    assert set(batch) == {(m, n) for m in shares for n in ("hierarchical", "nnls")}
+    for m in shares:
+        r = batch[m, "hierarchical"]
+        assert r.error is None and r.iterations > 0 and r.proportions == pytest.approx([got[m][c] for c in "abc"])
     raw = spark.createDataFrame([("t", "m", "ab", 2.0), ("t", "m", "c", 2.0), ("t", "m", "a", 0.0), ("t", "m", "b", 0.0)], "tissue string, mixture string, node string, raw double")
     assert {r.node: r.mass for r in tree.propagate_masses(raw, t).collect()} == {"root": 1.0, "ab": 0.5, "c": 0.5, "a": 0.25, "b": 0.25}
 
@@ -171,6 +200,43 @@ def test_anchor_queries_count_absent_genes_as_zeros(spark):
     assert rank1 == pytest.approx({(f"m{m}", g, c): max(0.0, s[g, j] + gap[g, m] * share[j, m] / size[m]) for m in range(2) for g in range(4) for j, c in enumerate("ab")})
 
 
+def test_hierarchies_match_plain_average_linkage(spark):
+    rng, rows, want = np.random.default_rng(11), [], {}
+    for tissue, names in (("t", "abcdefg"), ("u", "xyz"), ("v", "pq")):
+        d = rng.uniform(0.1, 2.0, (len(names), len(names)))
+        d = (d + d.T) / 2
+        rows += [(tissue, a, b, float(d[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+        groups, merges = [[k] for k in range(len(names))], set()
+        while len(groups) > 1:
+            gap = lambda p: float(np.mean([d[i, j] for i in groups[p[0]] for j in groups[p[1]]]))  # noqa: E731, B023
+            i, j = min(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))), key=gap)
+            merges.add((frozenset(names[k] for k in groups[i] + groups[j]), round(gap((i, j)), 9)))
+            groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [groups[i] + groups[j]]
+        want[tissue] = merges
+    table = spark.createDataFrame(rows, "tissue string, name_1 string, name_2 string, distance double")
+    nodes = tree.build_hierarchy(table).collect()
+    for tissue, merges in want.items():
+        own = [r for r in nodes if r.tissue == tissue]
+        up = {r.node: r.parent for r in own}
+        leaves = {r.node: set() for r in own if not r.is_leaf}
+        for r in own:
+            at = r.parent if r.is_leaf else None
+            while at is not None:
+                leaves[at].add(r.node)
+                at = up[at]
+        assert {(frozenset(leaves[r.node]), round(r.distance, 9)) for r in own if not r.is_leaf} == merges
+
+
+def test_nonnegative_solutions_of_every_kind(spark):
+    a = np.array([[1.0, 0.2], [0.3, 1.0], [0.5, 0.5]])
+    right = {"inside": a @ [2.0, 3.0], "side": a @ [2.0, 0.0] - [0, 0.5, 0], "none": -a.sum(1)}
+    rows = spark.createDataFrame([("t", m, g, a[g].tolist(), float(b[g])) for m, b in right.items() for g in range(3)], "tissue string, mixture string, gene int, a array<double>, b double")
+    got = {r.mixture: r for r in solve.nnls_solve(solve.gram_stats(rows, ["tissue", "mixture"])).collect()}
+    assert got["inside"].raw == pytest.approx([2, 3]) and got["inside"].residual == pytest.approx(0, abs=1e-6)
+    assert got["side"].raw[0] > 1 and got["side"].raw[1] == 0 and got["side"].x == [1.0, 0.0]
+    assert got["none"].raw == [0.0, 0.0] and got["none"].x == [0.5, 0.5]
+
+
 def test_anchors_stay_and_the_rest_moves(known):
     sig, bulk, shares = known
     out = anchor.anchor_recover(sig, bulk, at_least=5)
@@ -237,7 +303,31 @@ def test_equal_subject_weight_and_counts(spark):
     assert sorted(r.n for r in profiles.allocate_counts(shares, 100, ["tissue", "mixture"], "cell_type", "truth").collect()) == [33, 33, 34]
 
 
+def test_adjusted_p_values_leave_out_missing_ones(spark):
+    tests = spark.createDataFrame([("t", k, p) for k, p in enumerate([0.01, 0.04, None, 0.03, 0.5])], "tissue string, gene int, p double")
+    got = {r.gene: r.fdr for r in markers.bh_fdr(tests, "p", ["tissue"], ["gene"]).collect()}
+    assert got.pop(2) is None and got == pytest.approx({0: 0.04, 1: 0.04 * 4 / 3, 3: 0.04 * 4 / 3, 4: 0.5})
+
+
+def test_results_and_jobs_leave_no_steps(spark, tmp_path):
+    from pathlib import Path
+
+    from unblend.functions import storage
+
+    with storage.job(spark, "own"):
+        path = storage.new_dir(spark, "step").removeprefix("file:").replace("//", "/")
+        assert storage.materialize(spark.range(5), "step").count() == 5
+        own = Path(path).parent
+        assert own.is_dir() and list(own.iterdir())
+    assert not own.exists()
+
+
 def test_files(spark, tmp_path):
+    sig = spark.createDataFrame([("Fat", "g2", "b", 0.1), ("Fat", "g10", "a", 2.5), ("B/x", "g1", "c", 1.0)], "tissue string, gene string, cell_type string, value double")
+    files.write_matrix_tsv(sig, str(tmp_path / "matrices"))
+    back = files.read_matrix_tsv(spark, str(tmp_path / "matrices/*/*.txt"))
+    assert sorted((r.tissue, r.gene, r.gene_idx, r.cell_type, r.value) for r in back.collect()) == [
+        ("B/x", "g1", 0, "c", 1.0), ("Fat", "g10", 0, "a", 2.5), ("Fat", "g10", 0, "b", 0.0), ("Fat", "g2", 1, "a", 0.0), ("Fat", "g2", 1, "b", 0.1)]
     (tmp_path / "Fat").mkdir()
     (tmp_path / "Fat/signature.txt").write_text("a\tb\ng1\t1\t2.5\n\ng2\tx\t4\n")
     got = files.read_matrix_tsv(spark, str(tmp_path / "*/signature.txt")).collect()

@@ -83,6 +83,12 @@ def test_linkage():
     assert rows["a"][6] == rows["b"][6] != rows["c"][6]
 
 
+def test_normal_tails_all_at_once():
+    z = np.r_[np.linspace(-9, 9, 4001), 3.5355339, 30.0, -30.0, np.nan]
+    got = pvalues.normal_tails(z)
+    assert np.isnan(got[-1]) and got[:-1] == pytest.approx([pvalues.normal_sf(x) for x in z[:-1]], rel=1e-11)
+
+
 def test_p_values():
     assert pvalues.normal_sf(1.96) == pytest.approx(0.0249979, abs=1e-6)
     assert pvalues.corr_p(0.5, 12) == pytest.approx(0.0978, abs=1e-4)

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def is_positive(total: Column) -> Column:
+    """Finite and above zero."""
+    return total.isNotNull() & ~F.isnan(total) & (total > 0) & (total < F.lit(float("inf")))
+
+
 def positive_or_fail(total: Column, what: str) -> Column:
     """The total where it is finite and above zero; any other stops the job."""
-    fine = total.isNotNull() & ~F.isnan(total) & (total > 0) & (total < F.lit(float("inf")))
-    return F.when(fine, total).otherwise(F.raise_error(F.lit(f"{what}: a column sum isn't finite and positive")).cast("double"))
+    return F.when(is_positive(total), total).otherwise(F.raise_error(F.lit(f"{what}: a column sum isn't finite and positive")).cast("double"))
 
 
 def guarded_corr(x: str, y: str) -> Column:

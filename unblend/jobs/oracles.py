@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+
+def _normal_tail(z: str) -> str:
+    """Upper tail of the normal distribution: half less the density times z + z^3 / 3 + z^5 / (3 * 5) + ..."""
+    term = f"exp((2*k + 1) * ln(abs({z})) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))"
+    return f"""CASE WHEN {z} = 0 THEN 0.5 WHEN {z} > 8 THEN 0.0 WHEN {z} < -8 THEN 1.0
+  ELSE 0.5 - sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(160), lambda k: {term})) END"""
+
+
+def _corr_p(r: str, n: str) -> str:
+    """Two-sided p of a correlation: for a whole number of degrees of freedom the t distribution is a finite sum."""
+    even = f"exp(lgamma(2*j + 1) - j * ln(4) - 2 * lgamma(j + 1) + j * ln(1 - {r} * {r}))"
+    odd = f"exp(j * ln(4) + 2 * lgamma(j + 1) - lgamma(2*j + 2) + j * ln(1 - {r} * {r}))"
+    return f"""CASE WHEN {r} IS NULL OR {n} < 3 THEN NULL WHEN abs({r}) >= 1 THEN 0.0
+  WHEN {n} % 2 = 0 THEN 1 - abs({r}) * list_sum(list_transform(range(({n} - 2) // 2), lambda j: {even}))
+  ELSE 1 - 2 / pi() * (asin(abs({r})) + abs({r}) * sqrt(1 - {r} * {r}) * coalesce(list_sum(list_transform(range(({n} - 3) // 2), lambda j: {odd})), 0)) END"""
+
+
+def _bh(source: str, p: str, by: str, order: str, name: str = "fdr") -> str:
+    """The source with p-values adjusted by the step-up rule."""
+    return f"""SELECT * EXCLUDE (_r, _k), CASE WHEN {p} IS NOT NULL THEN least(1.0, min({p} * _k / _r) OVER (PARTITION BY {by} ORDER BY _r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS {name}
+  FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {p} NULLS LAST, {order}) AS _r, count({p}) OVER (PARTITION BY {by}) AS _k FROM ({source}))"""
+
+
 ROLES = """
 li AS (SELECT l.*, p.p_size, p.p_brand FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey),
 sig AS (SELECT l_linestatus AS tissue, p_size AS gene, l_returnflag AS cell_type, avg(l_quantity) AS value FROM li GROUP BY ALL),
 blk AS (SELECT l_linestatus AS tissue, l_suppkey AS mixture, p_size AS gene, sum(l_quantity) AS value FROM li GROUP BY ALL),
+gns AS (SELECT DISTINCT tissue, gene FROM blk SEMI JOIN sig USING (tissue, gene)),
+dblk AS (SELECT g.tissue, m.mixture, g.gene, coalesce(b.value, 0) AS value FROM gns g JOIN (SELECT DISTINCT tissue, mixture FROM blk) m USING (tissue)
+         LEFT JOIN blk b ON b.tissue = g.tissue AND b.mixture = m.mixture AND b.gene = g.gene),
+dsig AS (SELECT g.tissue, g.gene, m.cell_type, coalesce(s.value, 0) AS value FROM gns g JOIN (SELECT DISTINCT tissue, cell_type FROM sig) m USING (tissue)
+         LEFT JOIN sig s ON s.tissue = g.tissue AND s.cell_type = m.cell_type AND s.gene = g.gene),
 tru AS (SELECT tissue, mixture, cell_type, q / sum(q) OVER (PARTITION BY tissue, mixture) AS truth FROM (
   SELECT l_linestatus AS tissue, l_suppkey AS mixture, l_returnflag AS cell_type, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)),
 raws AS (SELECT 'm' || (l_linenumber % 4) AS method, l_linestatus AS tissue, l_suppkey AS mixture, l_returnflag AS cell_type,
@@ -26,6 +54,8 @@ cnt AS (SELECT tissue, cell_id, p_size AS gene, sum(l_quantity) AS value FROM li
 siz AS (SELECT tissue, cell_type, count(*) AS n FROM cel GROUP BY ALL),
 prof AS (SELECT tissue, cell_type, gene, sum(ln(1 + value)) / any_value(n) AS value
          FROM cnt JOIN cel USING (tissue, cell_id) JOIN siz USING (tissue, cell_type) GROUP BY tissue, cell_type, gene),
+dprof AS (SELECT g.tissue, g.gene, m.cell_type, coalesce(p.value, 0) AS value FROM (SELECT DISTINCT tissue, gene FROM prof) g JOIN (SELECT DISTINCT tissue, cell_type FROM prof) m USING (tissue)
+          LEFT JOIN prof p ON p.tissue = g.tissue AND p.cell_type = m.cell_type AND p.gene = g.gene),
 shr AS (SELECT tissue, cell_type, gene, value / sum(value) OVER (PARTITION BY tissue, cell_type) AS value FROM prof),
 leaf AS (SELECT * FROM (VALUES ('root','1-URGENT'),('root','2-HIGH'),('root','3-MEDIUM'),('root','4-NOT SPECIFIED'),('root','5-LOW'),
   ('high','1-URGENT'),('high','2-HIGH'),('low','3-MEDIUM'),('low','4-NOT SPECIFIED'),('low','5-LOW'),
@@ -66,9 +96,7 @@ rst AS (SELECT *, CASE WHEN u_variance > 0 THEN (u - n * m / 2 - 0.5) / sqrt(u_v
          n * (total - n) / 12.0 * ((total + 1) - ties / (total * (total - 1))) AS u_variance FROM (
     SELECT d.tissue, d.gene, d.cell_type, sum(d.n * r.rank) AS rs, sum(d.n)::DOUBLE AS n FROM dist d
     JOIN rks r ON r.tissue = d.tissue AND r.gene = d.gene AND r.value = d.value GROUP BY ALL) JOIN tie USING (tissue, gene))),
-fdr AS (SELECT tissue, cell_type, gene, p, least(1.0, min(p * k / r) OVER (PARTITION BY tissue, cell_type ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS fdr
-  FROM (SELECT *, row_number() OVER (PARTITION BY tissue, cell_type ORDER BY p, gene) AS r, count(*) OVER (PARTITION BY tissue, cell_type) AS k
-        FROM (SELECT *, round(1.0 / (1.0 + exp(1.702 * z)), 9) AS p FROM rst))),
+fdr AS (""" + _bh("SELECT *, CASE WHEN u_variance > 0 THEN " + _normal_tail("z") + " ELSE 1.0 END AS p FROM rst", "p", "tissue, cell_type", "gene") + """),
 call AS (SELECT de.*, round(f.fdr, 6) < 0.97 AND log2fc > 0.02 AND pct_in >= 0.05 AS is_marker,
          EXISTS (SELECT 1 FROM cel WHERE cel.tissue = de.tissue AND cel.cell_type = de.cell_type AND (cel.cell_id % 10) * 5 + 1 = de.gene) AS in_list
          FROM de JOIN fdr f USING (tissue, cell_type, gene)),
@@ -149,10 +177,10 @@ CTS = """SELECT tissue, cell_type, method, count(*) AS n, avg(truth) AS mean_tru
 MID = "(rank() OVER (PARTITION BY {g} ORDER BY {v}) + (count(*) OVER (PARTITION BY {g}, {v}) - 1) / 2.0)"
 
 RANK1 = """
-fit AS (SELECT s.tissue, p.mixture, s.gene, sum(s.value * p.truth) AS fitted FROM sig s JOIN tru p USING (tissue, cell_type) GROUP BY ALL),
+fit AS (SELECT s.tissue, p.mixture, s.gene, sum(s.value * p.truth) AS fitted FROM dsig s JOIN tru p USING (tissue, cell_type) GROUP BY ALL),
 r1 AS (SELECT s.tissue, b.mixture, s.gene, s.cell_type, s.value, greatest(0.0, s.value + (b.value - fitted) / (0.6 + pp) * p.truth) AS recovered
-  FROM blk b JOIN fit USING (tissue, mixture, gene) JOIN (SELECT tissue, mixture, sum(truth * truth) AS pp FROM tru GROUP BY ALL) USING (tissue, mixture)
-  JOIN sig s ON s.tissue = b.tissue AND s.gene = b.gene JOIN tru p ON p.tissue = b.tissue AND p.mixture = b.mixture AND p.cell_type = s.cell_type)"""
+  FROM dblk b JOIN fit USING (tissue, mixture, gene) JOIN (SELECT tissue, mixture, sum(truth * truth) AS pp FROM tru GROUP BY ALL) USING (tissue, mixture)
+  JOIN dsig s ON s.tissue = b.tissue AND s.gene = b.gene JOIN tru p ON p.tissue = b.tissue AND p.mixture = b.mixture AND p.cell_type = s.cell_type)"""
 
 SPEAR = RANK1 + f""",
 sp AS (SELECT tissue, mixture, cell_type, CASE WHEN count(*) > 1 AND stddev_pop(rr) > 0 AND stddev_pop(rt) > 0 THEN corr(rr, rt) END AS spearman FROM (
@@ -195,22 +223,97 @@ c3 AS (
 x3 AS (SELECT tissue, mixture, unnest(arg_min([x0, x1, 1 - x0 - x1], p*x0*x0 + 2*q*x0*x1 + r*x1*x1 - 2*u*x0 - 2*v*x1)) AS prediction,
   generate_subscripts([1, 2, 3], 1) AS k FROM c3 WHERE x0 >= -1e-12 AND x1 >= -1e-12 AND x0 + x1 <= 1 + 1e-12 GROUP BY tissue, mixture)"""
 
+ENRICHMENT = f"""SELECT * FROM (SELECT *, CASE WHEN (n_markers - top_markers) * top_others > 0 THEN top_markers * (n_genes - n_markers - top_others) / ((n_markers - top_markers) * top_others) END AS odds_ratio FROM (
+      SELECT tissue, cell_type, count(*) FILTER (WHERE is_marker) AS n_markers, count(*) AS n_genes, avg(mean_weight) FILTER (WHERE is_marker) AS marker_mean,
+      avg(mean_weight) FILTER (WHERE NOT is_marker) AS other_mean, median(mean_weight) FILTER (WHERE is_marker) AS marker_median, count(*) FILTER (WHERE is_marker AND in_top) AS top_markers,
+      count(*) FILTER (WHERE NOT is_marker AND in_top) AS top_others, count(*) FILTER (WHERE is_marker AND above_1) AS markers_above_1,
+      sum(rk) FILTER (WHERE is_marker) - count(*) FILTER (WHERE is_marker) * (count(*) FILTER (WHERE is_marker) + 1) / 2 AS u,
+      avg(mean_weight) FILTER (WHERE is_marker) / avg(mean_weight) FILTER (WHERE NOT is_marker) AS ratio
+      FROM (SELECT *, {MID.format(g='tissue, cell_type', v='mean_weight')} AS rk FROM tab) GROUP BY ALL) JOIN (
+      SELECT tissue, cell_type, sum(t * t * t - t) AS ties FROM (SELECT tissue, cell_type, mean_weight, count(*)::DOUBLE AS t FROM tab GROUP BY ALL) GROUP BY ALL) USING (tissue, cell_type))
+      LEFT JOIN (SELECT tissue, cell_type, sum(CASE WHEN gap > 0 THEN r ELSE 0 END) AS w, count(*) AS n_pairs FROM gp GROUP BY ALL) USING (tissue, cell_type)
+      LEFT JOIN (SELECT tissue, cell_type, sum(t * t * t - t) AS pair_ties FROM (SELECT tissue, cell_type, size, count(*)::DOUBLE AS t FROM gp GROUP BY ALL) GROUP BY ALL) USING (tissue, cell_type)
+      LEFT JOIN (SELECT tissue, cell_type, CASE WHEN count(*) > 1 AND stddev_pop(truth) > 0 AND stddev_pop(marker_weight) > 0 THEN corr(truth, marker_weight) END AS pearson,
+        CASE WHEN count(*) > 1 AND stddev_pop(rt) > 0 AND stddev_pop(rw) > 0 THEN corr(rt, rw) END AS spearman, count(*) AS n_mixtures, avg(gap) AS mean_gap FROM (
+        SELECT *, marker_weight - other_weight AS gap, {MID.format(g='tissue, cell_type', v='truth')} AS rt, {MID.format(g='tissue, cell_type', v='marker_weight')} AS rw
+        FROM mix WHERE truth IS NOT NULL AND other_weight IS NOT NULL) GROUP BY ALL) USING (tissue, cell_type)"""
+ENRICHED = "marker_mean other_mean marker_median u ratio ties odds_ratio w pair_ties pearson spearman mean_gap"
+GAPS = f"gp AS (SELECT *, {MID.format(g='tissue, cell_type', v='size')} AS r FROM (SELECT *, marker_weight - other_weight AS gap, round(abs(marker_weight - other_weight), 12) AS size FROM mix) WHERE gap <> 0)"
+
+#: How many of the signs of 1 to n give each rank sum, for n up to 50.
+WAYS = """ways AS (WITH RECURSIVE w(n, c) AS (SELECT 0, [1.0::DOUBLE] || list_transform(range(1275), lambda i: 0.0::DOUBLE) UNION ALL
+  SELECT n + 1, list_transform(range(1, 1277), lambda i: c[i] + CASE WHEN i > n + 1 THEN c[i - n - 1] ELSE 0 END) FROM w WHERE n < 50) SELECT * FROM w)"""
+
+
+def _choose(n: str, k: str) -> str:
+    return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1))"
+
+
+def _enrichment_p() -> str:
+    top = "(top_markers + top_others)"
+    table = f"exp({_choose('n_markers', 'k')} + {_choose('(n_genes - n_markers)', f'({top} - k)')} - {_choose('n_genes', top)})"
+    tests = f"""SELECT e.* EXCLUDE (mz, wz), CASE WHEN u IS NULL THEN NULL WHEN mz IS NULL THEN 1.0 ELSE {_normal_tail('mz')} END AS mann_whitney_p,
+      least(1.0, list_sum(list_transform(range(top_markers, least(n_markers, {top}) + 1), lambda k: {table}))) AS fisher_p,
+      CASE WHEN n_pairs <= 50 AND pair_ties = 0 THEN list_sum(c[ceil(w - 1e-9)::INT + 1:]) / pow(2, n_pairs) ELSE {_normal_tail('wz')} END AS wilcoxon_p,
+      {_corr_p('pearson', 'n_mixtures')} AS pearson_p, {_corr_p('spearman', 'n_mixtures')} AS spearman_p FROM (
+      SELECT *, CASE WHEN v > 0 THEN (u - n_markers * m / 2.0 - 0.5) / sqrt(v) END AS mz, (w - n_pairs * (n_pairs + 1) / 4.0) / sqrt(n_pairs * (n_pairs + 1) * (2 * n_pairs + 1) / 24.0 - pair_ties / 48.0) AS wz FROM (
+        SELECT *, n_markers * m / 12.0 * ((n_genes + 1) - ties / (n_genes * (n_genes - 1.0))) AS v FROM (SELECT *, n_genes - n_markers AS m FROM ({ENRICHMENT})))) e LEFT JOIN ways ON ways.n = n_pairs"""
+    for name in ("mann_whitney", "fisher", "wilcoxon"):
+        tests = _bh(tests, f"{name}_p", "tissue", "cell_type", f"{name}_fdr")
+    return f"SELECT * EXCLUDE (m, v) FROM ({tests})"
+
+
+ENRICHMENT_P = _enrichment_p()
+
+
+def _nnls_three(source: str, name: str) -> str:
+    """Shares of the non-negative solution for three types: the eight supports, of which the best that is feasible wins."""
+    det = "(h00 * (h11*h22 - h12*h12) - h01 * (h01*h22 - h12*h02) + h02 * (h01*h12 - h11*h02))"
+    full = [
+        f"(l0 * (h11*h22 - h12*h12) - h01 * (l1*h22 - h12*l2) + h02 * (l1*h12 - h11*l2)) / {det}",
+        f"(h00 * (l1*h22 - h12*l2) - l0 * (h01*h22 - h12*h02) + h02 * (h01*l2 - l1*h02)) / {det}",
+        f"(h00 * (h11*l2 - l1*h12) - h01 * (h01*l2 - l1*h02) + l0 * (h01*h12 - h11*h02)) / {det}",
+    ]
+    pair = lambda i, j: [f"(l{i}*h{j}{j} - l{j}*h{i}{j}) / (h{i}{i}*h{j}{j} - h{i}{j}*h{i}{j})", f"(l{j}*h{i}{i} - l{i}*h{i}{j}) / (h{i}{i}*h{j}{j} - h{i}{j}*h{i}{j})"]
+    rows = [full, ["0.0"] * 3]
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        x = ["0.0"] * 3
+        x[i], x[j] = pair(i, j)
+        rows.append(x)
+    for i in range(3):
+        x = ["0.0"] * 3
+        x[i] = f"l{i} / h{i}{i}"
+        rows.append(x)
+    every = " UNION ALL ".join(f"SELECT *, {x} AS x0, {y} AS x1, {z} AS x2 FROM {name}g" for x, y, z in rows)
+    return f"""
+{name}g AS (SELECT tissue, mixture, sum(a0*a0) AS h00, sum(a0*a1) AS h01, sum(a0*a2) AS h02, sum(a1*a1) AS h11, sum(a1*a2) AS h12, sum(a2*a2) AS h22,
+  sum(a0*b) AS l0, sum(a1*b) AS l1, sum(a2*b) AS l2 FROM {source} GROUP BY ALL),
+{name} AS (SELECT tissue, mixture, CASE WHEN list_sum(x) > 0 THEN list_transform(x, lambda v: v / list_sum(x)) ELSE [1.0/3, 1.0/3, 1.0/3] END AS x FROM (
+  SELECT tissue, mixture, arg_min([x0, x1, x2], h00*x0*x0 + h11*x1*x1 + h22*x2*x2 + 2*h01*x0*x1 + 2*h02*x0*x2 + 2*h12*x1*x2 - 2*l0*x0 - 2*l1*x1 - 2*l2*x2) AS x
+  FROM ({every}) WHERE x0 >= 0 AND x1 >= 0 AND x2 >= 0 GROUP BY tissue, mixture))"""
+
+
+SHARES_TWO = """nn AS (SELECT tissue, gene, cell_type, value / sum(value) OVER (PARTITION BY tissue, cell_type) AS v FROM sig2),
+db2 AS (SELECT m.tissue, m.mixture, g.gene, coalesce(b.value / m.total, 0) AS b FROM (SELECT tissue, mixture, sum(value) AS total FROM blk2 GROUP BY ALL) m
+        JOIN (SELECT DISTINCT tissue, gene FROM blk2 SEMI JOIN sig2 USING (tissue, gene)) g USING (tissue) LEFT JOIN blk2 b ON b.tissue = m.tissue AND b.mixture = m.mixture AND b.gene = g.gene)"""
+
+
 ORACLES: dict[str, str] = {
-    "shared_genes": sql("SELECT DISTINCT tissue, gene FROM blk SEMI JOIN sig USING (tissue, gene) WHERE gene % 3 > 0"),
+    "shared_genes": sql("SELECT DISTINCT tissue, gene FROM blk SEMI JOIN sig USING (tissue, gene)"),
     "shared_cell_types": sql("SELECT DISTINCT tissue, cell_type, cell_type <> 'R' OR tissue = 'O' AS in_truth FROM sig"),
     "select_mixtures": sql("SELECT * FROM (SELECT tissue, mixture, dense_rank() OVER (PARTITION BY tissue ORDER BY mixture) AS place FROM (SELECT DISTINCT tissue, mixture FROM blk)) WHERE place <= 10"),
     "pick_mixtures": sql("SELECT t.tissue, s_suppkey AS mixture, EXISTS (SELECT 1 FROM blk WHERE blk.tissue = t.tissue AND blk.mixture = s_suppkey) AS found FROM supplier, (VALUES ('F'), ('X')) t(tissue)"),
-    "normalize_columns": sql("SELECT tissue, mixture, gene, value / sum(value) OVER (PARTITION BY tissue, mixture) AS value FROM blk WHERE gene % 3 > 0", "value"),
+    "normalize_columns": sql("SELECT tissue, mixture, gene, value / sum(value) OVER (PARTITION BY tissue, mixture) AS value FROM blk SEMI JOIN sig USING (tissue, gene)", "value"),
     "joint_zscore": sql("SELECT tissue, mixture, gene, b, a0, a1, a2 FROM z3", "b a0 a1 a2", THREE),
     "joint_zscore_all": sql("""SELECT tissue, gene, name, (value - m) / CASE WHEN s > 0 THEN s ELSE 1 END AS value FROM (
-      SELECT tissue, gene, cell_type AS name, value FROM sig UNION ALL SELECT tissue, gene, mixture::VARCHAR, value FROM blk) JOIN (
-      SELECT tissue, gene, avg(value) AS m, stddev_pop(value) AS s FROM (SELECT tissue, gene, value FROM sig UNION ALL SELECT tissue, gene, value FROM blk) GROUP BY ALL) USING (tissue, gene)""", "value"),
+      SELECT tissue, gene, cell_type AS name, value FROM dsig UNION ALL SELECT tissue, gene, mixture::VARCHAR, value FROM dblk) JOIN (
+      SELECT tissue, gene, avg(value) AS m, stddev_pop(value) AS s FROM (SELECT tissue, gene, value FROM dsig UNION ALL SELECT tissue, gene, value FROM dblk) GROUP BY ALL) USING (tissue, gene)""", "value"),
     "normalize_nonnegative": sql("""SELECT method, tissue, mixture, cell_type, CASE WHEN t > 0 THEN v / t ELSE 1.0 / k END AS raw FROM (
       SELECT *, sum(v) OVER g AS t, count(*) OVER g AS k FROM (SELECT *, greatest(0.0, CASE WHEN mixture % 9 = 4 THEN -1.0 ELSE raw - 20 END) AS v FROM raws)
       WINDOW g AS (PARTITION BY method, tissue, mixture))""", "raw"),
     "log1p_counts": sql("SELECT tissue, cell_id, gene, ln(1 + greatest(value - 10, 0)) AS value FROM cnt", "value"),
     "normalize_labels": sql("SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'Mixture' ELSE 'Sample' END || l_suppkey AS label, l_suppkey AS number, count(*) AS n FROM lineitem GROUP BY ALL"),
-    "discover_cases": sql("""SELECT DISTINCT l_suppkey AS dataset, p_brand AS tissue FROM li WHERE l_quantity > 45 GROUP BY ALL HAVING count(*) FILTER (WHERE l_returnflag = 'A') > 0
+    "discover_cases": sql("""SELECT DISTINCT l_suppkey AS dataset, p_brand AS tissue FROM li GROUP BY ALL HAVING count(*) FILTER (WHERE l_returnflag = 'A') > 0
       AND count(*) FILTER (WHERE l_returnflag = 'N') > 0 AND count(*) FILTER (WHERE l_returnflag = 'R') > 0"""),
     "long_to_matrix": sql("""SELECT tissue, mixture, max(truth) FILTER (WHERE cell_type = 'A') AS A, max(truth) FILTER (WHERE cell_type = 'N') AS N,
       max(truth) FILTER (WHERE cell_type = 'R') AS R FROM tru GROUP BY ALL""", "A N R"),
@@ -222,20 +325,21 @@ ORACLES: dict[str, str] = {
     "celltype_profiles_pooled": sql("SELECT tissue, cell_type, gene, sum(value) / any_value(n) AS value FROM cnt JOIN cel USING (tissue, cell_id) JOIN siz USING (tissue, cell_type) GROUP BY tissue, cell_type, gene", "value"),
     "aggregate_profiles_by_node": sql("SELECT * FROM nod", "value"),
     "gene_dispersion_score": sql("""SELECT tissue, gene, CASE WHEN top > 0 THEN raw / top ELSE 1.0 END AS score FROM (SELECT *, max(raw) OVER (PARTITION BY tissue) AS top FROM (
-      SELECT tissue, gene, greatest(var_pop(value) / greatest(avg(value), 1e-12), 0) AS raw FROM sig GROUP BY ALL))""", "score"),
+      SELECT tissue, gene, greatest(var_pop(value) / greatest(avg(value), 1e-12), 0) AS raw FROM dsig GROUP BY ALL))""", "score"),
     "split_gene_selection": sql("""SELECT * REPLACE (log10(score) AS score) FROM (SELECT *, row_number() OVER (PARTITION BY tissue, parent ORDER BY score DESC, gene) AS place FROM (
       SELECT tissue, parent, gene, var_pop(m) / (avg(v) + 1e-12) AS score FROM (
-        SELECT tissue, parent, node, gene, avg(value) AS m, var_pop(value) AS v FROM prof JOIN leaf ON leaf = cell_type JOIN edge USING (node) GROUP BY ALL)
+        SELECT tissue, parent, node, gene, avg(value) AS m, var_pop(value) AS v FROM dprof JOIN leaf ON leaf = cell_type JOIN edge USING (node) GROUP BY ALL)
       GROUP BY ALL HAVING count(*) > 1)) WHERE place <= 20""", "score"),
     "allocate_counts": sql("""SELECT tissue, mixture, cell_type, f + CASE WHEN place <= 1000 - t THEN 1 ELSE 0 END AS n FROM (
       SELECT *, row_number() OVER (PARTITION BY tissue, mixture ORDER BY round(rest, 9) DESC, cell_type) AS place, sum(f) OVER (PARTITION BY tissue, mixture) AS t FROM (
         SELECT *, floor(truth * 1000) AS f, truth * 1000 - floor(truth * 1000) AS rest FROM tru))""", longs="n"),
     "draw_cells": sql("SELECT * FROM drawn"),
     "pseudobulk": sql("SELECT * FROM psb", "value"),
+    "drawn_shares": sql("SELECT tissue, mixture, cell_type, sum(times) / sum(sum(times)) OVER (PARTITION BY tissue, mixture) AS truth FROM drawn GROUP BY tissue, mixture, cell_type", "truth"),
     "perturb_reference": sql("""SELECT tissue, gene, cell_type, v * sum(value) OVER g / sum(v) OVER g AS value FROM (
       SELECT *, value * exp(0.05 * (((gene * 37 + ascii(cell_type)) % 19) / 10.0 - 0.9)) AS v FROM sig) WINDOW g AS (PARTITION BY tissue, cell_type)""", "value"),
     "profile_correlation": sql("""SELECT a.tissue, a.cell_type AS name_1, b.cell_type AS name_2, greatest(0.0, least(2.0, 1 - CASE WHEN stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0
-      THEN corr(a.value, b.value) ELSE 0 END)) AS distance FROM prof a JOIN prof b ON a.tissue = b.tissue AND a.gene = b.gene AND a.cell_type < b.cell_type GROUP BY ALL""", "distance"),
+      THEN corr(a.value, b.value) ELSE 0 END)) AS distance FROM dprof a JOIN dprof b ON a.tissue = b.tissue AND a.gene = b.gene AND a.cell_type < b.cell_type GROUP BY ALL""", "distance"),
     "gram_stats": sql("""SELECT tissue, mixture, sum(a0*a0) AS h0, sum(a0*a1) AS h1, sum(a0*a2) AS h2, sum(a1*a1) AS h4, sum(a1*a2) AS h5, sum(a2*a2) AS h8,
       sum(a0*b) AS l0, sum(a1*b) AS l1, sum(a2*b) AS l2, sum(b*b) AS bb, count(*) AS n_genes FROM z3 GROUP BY ALL""", "h0 h1 h2 h4 h5 h8 l0 l1 l2 bb", THREE),
     "simplex_ls": sql(_long_two(_two_solution("", "1.0")), "prediction", TWO),
@@ -246,7 +350,17 @@ ORACLES: dict[str, str] = {
       SELECT *, CASE WHEN d > 0 AND l0*h11 - l1*h01 >= 0 AND l1*h00 - l0*h01 >= 0 THEN [(l0*h11 - l1*h01) / d, (l1*h00 - l0*h01) / d]
         WHEN pow(greatest(l0, 0), 2) / h00 >= pow(greatest(l1, 0), 2) / h11 THEN [greatest(l0, 0) / h00, 0.0] ELSE [0.0, greatest(l1, 0) / h11] END AS x FROM (
         SELECT *, h00*h11 - h01*h01 AS d FROM (SELECT tissue, mixture, sum(a0*a0) AS h00, sum(a0*a1) AS h01, sum(a1*a1) AS h11, sum(a0*b) AS l0, sum(a1*b) AS l1, sum(b*b) AS bb
-        FROM z2 GROUP BY ALL)))""", "raw0 raw1 x0 residual", TWO),
+        FROM z2m GROUP BY ALL)))""", "raw0 raw1 x0 residual", TWO),
+    "weighted_deconvolve_given": sql("""SELECT tissue, mixture, xn + (x - xn) * pow(2.5 / 3.5, t) AS proportions0, x AS initial_proportions0, t AS iterations, true AS converged, t AS steps,
+      10 * lo AS total_min, 10 * mid AS total_mean, 10 * hi AS total_max, NULL::VARCHAR AS error FROM (SELECT *, 1 + greatest(0, ceil(CASE WHEN x = xn THEN 0 ELSE
+        ln(0.005 * 3.5 / (sqrt(2) * abs(x - xn))) / ln(2.5 / 3.5) END)) AS t FROM (""" + _two_solution("", "1.0") + ") JOIN (SELECT tissue, mixture, x AS xn FROM ("
+      + _two_solution("", "(1 + gene / 10.0)") + ")) USING (tissue, mixture) JOIN (SELECT tissue, mixture, min(1 + gene / 10.0) AS lo, avg(1 + gene / 10.0) AS mid, "
+      "max(1 + gene / 10.0) AS hi FROM z2 GROUP BY ALL) USING (tissue, mixture))", "proportions0 initial_proportions0 total_min total_mean total_max", TWO, "iterations steps"),
+    "learn_gene_weights_parabola": sql("""SELECT tissue, mixture, gene, round(10 - (r - avg(r) OVER (PARTITION BY tissue, mixture)) / 2, 4) AS meta_weight FROM (
+      SELECT tissue, mixture, gene, pow(x * a0 + (1 - x) * a1 - b, 2) AS r FROM z2 JOIN (""" + _two_solution("", "1.0") + ") USING (tissue, mixture))", "meta_weight", TWO),
+    "deconvolve_batch_given": sql("""SELECT tissue, mixture, 'weighted' AS method, max(prediction) FILTER (WHERE k = 1) AS p0, max(prediction) FILTER (WHERE k = 2) AS p1,
+      max(prediction) FILTER (WHERE k = 3) AS p2, 1 AS iterations, true AS converged, NULL::VARCHAR AS error FROM x3 GROUP BY tissue, mixture
+      UNION ALL SELECT tissue, mixture, 'nnls', x[1], x[2], x[3], NULL, NULL, NULL FROM nz""", "p0 p1 p2", THREE + "," + SUPPORTS + "," + _nnls_three("z3", "nz"), "iterations"),
     "parent_local_bulk": sql("""SELECT tissue, mixture, node, gene, greatest(greatest(mass, 1e-12) * (profile + value - fit), 1e-12) AS value FROM (
       SELECT p.tissue, p.mixture, n.node, p.gene, n.value AS profile, CASE n.node WHEN 'high' THEN 0.4 ELSE 0.6 END AS mass, p.value,
       sum(n.value * CASE n.node WHEN 'high' THEN 0.4 ELSE 0.6 END) OVER (PARTITION BY p.tissue, p.mixture, p.gene) AS fit
@@ -261,15 +375,22 @@ ORACLES: dict[str, str] = {
       SELECT tissue, gene, residual_rms, fitted_mean, residual_rms / greatest(scale, 1e-8) AS relative_residual, mean_weight,
       CASE WHEN hi - lo <= 1e-8 THEN 1.0 ELSE (mean_weight - lo) / (hi - lo) END AS normalized_weight FROM (SELECT *, min(mean_weight) OVER g AS lo, max(mean_weight) OVER g AS hi FROM (
         SELECT tissue, gene, sqrt(avg(pow(b.value - fitted, 2))) AS residual_rms, sqrt(avg(b.value * b.value)) + sqrt(avg(fitted * fitted)) AS scale, avg(fitted) AS fitted_mean
-        FROM blk b JOIN fit USING (tissue, mixture, gene) GROUP BY ALL) JOIN (SELECT tissue, gene, avg(meta_weight) AS mean_weight FROM wts GROUP BY ALL) USING (tissue, gene)
+        FROM dblk b JOIN fit USING (tissue, mixture, gene) GROUP BY ALL) JOIN (SELECT tissue, gene, avg(meta_weight) AS mean_weight FROM wts GROUP BY ALL) USING (tissue, gene)
         WINDOW g AS (PARTITION BY tissue)))""", "residual_rms relative_residual mean_weight normalized_weight score fitted_mean", RANK1),
     "select_anchors": sql(_anchors(0.25, 0.75, 10, 0.5), "relative_residual mean_weight score", ANC),
     "select_anchors_capped": sql(_anchors(0.9, 0.1, 2, 0.3), "relative_residual mean_weight score", ANC),
     "anchor_proportions": sql("""SELECT tissue, mixture, cell_type, CASE WHEN cell_type = 'F' THEN x ELSE 1 - x END AS p FROM (
       SELECT tissue, mixture, greatest(0.0, least(1.0, sum((a0 - a1) * (b - a1)) / sum((a0 - a1) * (a0 - a1)))) AS x FROM (
-        SELECT b.tissue, b.mixture, b.b, coalesce(f.v, 0) AS a0, coalesce(o.v, 0) AS a1 FROM (SELECT tissue, mixture, gene, value / sum(value) OVER (PARTITION BY tissue, mixture) AS b FROM blk2) b
+        SELECT b.tissue, b.mixture, b.b, coalesce(f.v, 0) AS a0, coalesce(o.v, 0) AS a1 FROM db2 b
         LEFT JOIN nn f ON f.tissue = b.tissue AND f.gene = b.gene AND f.cell_type = 'F' LEFT JOIN nn o ON o.tissue = b.tissue AND o.gene = b.gene AND o.cell_type = 'O'
-        WHERE b.gene % 3 = 0) GROUP BY ALL), (VALUES ('F'), ('O')) t(cell_type)""", "p", "nn AS (SELECT tissue, gene, cell_type, value / sum(value) OVER (PARTITION BY tissue, cell_type) AS v FROM sig2)"),
+        WHERE b.gene % 3 = 0) GROUP BY ALL), (VALUES ('F'), ('O')) t(cell_type)""", "p", SHARES_TWO),
+    "anchor_proportions_nonnegative": sql("""SELECT tissue, mixture, cell_type, CASE WHEN s > 0 THEN x[CASE WHEN cell_type = 'F' THEN 1 ELSE 2 END] / s ELSE 0.5 END AS p FROM (SELECT *, x[1] + x[2] AS s FROM (
+      SELECT *, CASE WHEN d > 0 AND l0*h11 - l1*h01 >= 0 AND l1*h00 - l0*h01 >= 0 THEN [(l0*h11 - l1*h01) / d, (l1*h00 - l0*h01) / d]
+        WHEN pow(greatest(l0, 0), 2) / h00 >= pow(greatest(l1, 0), 2) / h11 THEN [greatest(l0, 0) / h00, 0.0] ELSE [0.0, greatest(l1, 0) / h11] END AS x FROM (
+        SELECT *, h00*h11 - h01*h01 AS d FROM (SELECT tissue, mixture, sum(a0*a0) AS h00, sum(a0*a1) AS h01, sum(a1*a1) AS h11, sum(a0*b) AS l0, sum(a1*b) AS l1 FROM (
+          SELECT b.tissue, b.mixture, b.b, coalesce(f.v, 0) AS a0, coalesce(o.v, 0) AS a1 FROM db2 b
+          LEFT JOIN nn f ON f.tissue = b.tissue AND f.gene = b.gene AND f.cell_type = 'F' LEFT JOIN nn o ON o.tissue = b.tissue AND o.gene = b.gene AND o.cell_type = 'O'
+          WHERE b.gene % 3 = 0) GROUP BY ALL)))), (VALUES ('F'), ('O')) t(cell_type)""", "p", SHARES_TWO),
     "recover_signature": sql("""SELECT tissue, gene, is_anchor, cell_type, value, recovered, recovered - value AS shift FROM (
       SELECT tissue, gene, gene % 3 = 0 AS is_anchor, cell_type, CASE cell_type WHEN 'F' THEN s0 ELSE s1 END AS value,
       CASE WHEN gene % 3 = 0 THEN CASE cell_type WHEN 'F' THEN s0 ELSE s1 END ELSE greatest(0.0, CASE cell_type WHEN 'F' THEN (r0*g11 - r1*g01) / d ELSE (r1*g00 - r0*g01) / d END) END AS recovered FROM (
@@ -279,7 +400,7 @@ ORACLES: dict[str, str] = {
           SELECT tissue, gene, coalesce(max(value) FILTER (WHERE cell_type = 'F'), 0) AS s0, coalesce(max(value) FILTER (WHERE cell_type = 'O'), 0) AS s1 FROM sig2 GROUP BY ALL) USING (tissue, gene)),
       (VALUES ('F'), ('O')) t(cell_type))""", "value recovered shift", """pp AS (SELECT tissue, mixture, coalesce(max(p) FILTER (WHERE cell_type = 'F'), 0) AS p0,
       coalesce(max(p) FILTER (WHERE cell_type = 'O'), 0) AS p1 FROM tru2 GROUP BY ALL)"""),
-    "reconstruction_error": sql("SELECT tissue, sqrt(sum(pow(value - fitted, 2))) AS error FROM blk JOIN fit USING (tissue, mixture, gene) GROUP BY ALL", "error", RANK1),
+    "reconstruction_error": sql("SELECT tissue, sqrt(sum(pow(value - fitted, 2))) AS error FROM dblk JOIN fit USING (tissue, mixture, gene) GROUP BY ALL", "error", RANK1),
     "recover_reference_rank1": sql("SELECT tissue, mixture, gene, cell_type, recovered FROM r1", "recovered", RANK1),
     "subsample_genes": sql("SELECT tissue, mixture, repeat, gene FROM smp", "", TWO + "," + SAMPLE),
     "stability_solve": sql("""SELECT tissue, mixture, repeat, x AS x0, n_genes, 2 * abs(x - f) AS l1, sqrt(2.0) * abs(x - f) AS l2, w_min, w_mean, w_max FROM (
@@ -290,13 +411,16 @@ ORACLES: dict[str, str] = {
     "align_predictions_lenient": sql("SELECT method, tissue, mixture, cell_type, prediction FROM pre", "prediction"),
     "method_coverage": sql("""SELECT t.tissue, m.method, count(DISTINCT p.mixture) AS mixtures, CASE WHEN count(p.mixture) > 0 THEN 'ok' ELSE 'missing' END AS status
       FROM (SELECT DISTINCT tissue FROM tru) t, (VALUES ('m0'), ('m1'), ('m2'), ('m3'), ('m9')) m(method) LEFT JOIN pre p ON p.tissue = t.tissue AND p.method = m.method GROUP BY ALL"""),
-    "common_mixtures": sql("SELECT tissue, mixture FROM raws WHERE raw > 300 OR mixture % 3 > 0 GROUP BY ALL HAVING count(DISTINCT method) = 4"),
+    "common_mixtures": sql("SELECT tissue, mixture FROM raws GROUP BY ALL HAVING count(DISTINCT method) = 4"),
     "prediction_detail": sql("SELECT * FROM det", "truth prediction abs_error signed_error"),
     "mixture_metrics": sql("SELECT * FROM met", "l1 accuracy mae rmse pearson rare_mae"),
     "subset_l1": sql("SELECT method, tissue, mixture, sum(abs_error) AS l1 FROM det WHERE cell_type IN ('A', 'R') GROUP BY ALL", "l1"),
-    "method_correlations": sql(f"""SELECT tissue, cell_type, method, count(*) AS n, avg(truth) AS mean_truth, avg(prediction) AS mean_prediction, corr(truth, prediction) AS pearson,
-      corr(rt, rp) AS spearman, avg(abs_error) AS mae, sqrt(avg(signed_error * signed_error)) AS rmse FROM (SELECT *, {MID.format(g='tissue, cell_type, method', v='truth')} AS rt,
-      {MID.format(g='tissue, cell_type, method', v='prediction')} AS rp FROM det) GROUP BY ALL""", "mean_truth mean_prediction pearson spearman mae rmse"),
+    "method_correlations": sql(f"""SELECT *, {_corr_p('pearson', 'n')} AS pearson_p, {_corr_p('spearman', 'n')} AS spearman_p FROM (
+      SELECT tissue, cell_type, method, count(*) AS n, avg(truth) AS mean_truth, avg(prediction) AS mean_prediction,
+      CASE WHEN count(*) > 1 AND stddev_pop(truth) > 0 AND stddev_pop(prediction) > 0 THEN corr(truth, prediction) END AS pearson,
+      CASE WHEN count(*) > 1 AND stddev_pop(rt) > 0 AND stddev_pop(rp) > 0 THEN corr(rt, rp) END AS spearman, avg(abs_error) AS mae, sqrt(avg(signed_error * signed_error)) AS rmse
+      FROM (SELECT *, {MID.format(g='tissue, cell_type, method', v='truth')} AS rt, {MID.format(g='tissue, cell_type, method', v='prediction')} AS rp FROM det) GROUP BY ALL)""",
+      "mean_truth mean_prediction pearson spearman mae rmse pearson_p spearman_p"),
     "spearman_by_group": sql("SELECT * FROM sp", "spearman", SPEAR),
     "recovery_summary": sql("""SELECT tissue, mixture, avg(spearman) AS mean_spearman, min(spearman) AS min_spearman, avg(spearman) >= 0.2 AS mean_pass,
       coalesce(bool_and(spearman >= 0.2), false) AS all_pass FROM sp GROUP BY ALL""", "mean_spearman min_spearman", SPEAR),
@@ -327,6 +451,11 @@ ORACLES: dict[str, str] = {
       median(value) AS median, quantile_cont(value, 0.75) AS q75, quantile_cont(value, 0.95) AS q95, max(value) AS max FROM (
       SELECT method, 'l1' AS metric, l1 AS value FROM runs UNION ALL SELECT method, 'accuracy', accuracy FROM runs UNION ALL SELECT method, 'rmse', rmse FROM runs
       UNION ALL SELECT method, 'pearson', pearson FROM runs) WHERE value IS NOT NULL GROUP BY ALL""", "mean std min q05 q25 median q75 q95 max"),
+    "numeric_summary_delta": sql("""SELECT method, tissue, cell_type, 'prediction' AS metric, avg(prediction) AS mean, stddev_samp(prediction) AS std, min(prediction) AS min,
+      quantile_cont(prediction, 0.05) AS q05, quantile_cont(prediction, 0.25) AS q25, median(prediction) AS median, quantile_cont(prediction, 0.75) AS q75, quantile_cont(prediction, 0.95) AS q95,
+      max(prediction) AS max, avg(prediction - truth) AS mean_delta, avg(abs(prediction - truth)) AS mean_abs_delta FROM det GROUP BY ALL""", "mean std min q05 q25 median q75 q95 max mean_delta mean_abs_delta"),
+    "signature_block_means": sql("""SELECT tissue, block, cell_type, genes, sum(value) / any_value(genes) AS mean_value FROM bl JOIN (SELECT tissue, block, count(DISTINCT gene) AS genes FROM bl GROUP BY ALL)
+      USING (tissue, block) GROUP BY tissue, block, cell_type, genes""", "mean_value", """bl AS (SELECT * FROM sig JOIN (VALUES ('head', 0, 10), ('mid', 10, 40), ('all', 0, 60)) b(block, lo, hi) ON gene >= lo AND gene < hi)"""),
     "weight_block_summary": sql("""SELECT tissue, block, count(DISTINCT gene) AS genes, avg(meta_weight) AS mean_weight, median(meta_weight) AS median_weight, quantile_cont(meta_weight, 0.9) AS p90_weight
       FROM wts JOIN (VALUES ('head', 0, 10), ('mid', 10, 40), ('all', 0, 60)) b(block, lo, hi) ON gene >= lo AND gene < hi GROUP BY ALL""", "mean_weight median_weight p90_weight"),
     "gene_weight_stats": sql("""SELECT tissue, gene, avg(meta_weight) AS mean_weight, median(meta_weight) AS median_weight, stddev_samp(meta_weight) AS std_weight,
@@ -334,36 +463,29 @@ ORACLES: dict[str, str] = {
     "value_counts": sql("SELECT * FROM dist", "value"),
     "detection_and_fold_change": sql("SELECT * FROM de", "mean_in mean_out pct_in pct_out log2fc pct_diff", longs="n_in n_out"),
     "rank_sum_test": sql("SELECT tissue, gene, cell_type, u, sqrt(u_variance) AS u_sd, z FROM rst", "u u_sd z"),
+    "rank_sum_p": sql("SELECT tissue, cell_type, gene, u, sqrt(u_variance) AS u_sd, z, p, fdr FROM fdr", "u u_sd z p fdr"),
     "bh_fdr": sql("SELECT tissue, cell_type, gene, p, fdr FROM fdr", "p fdr"),
     "call_markers": sql("SELECT tissue, cell_type, gene, is_marker, in_list FROM call"),
     "primary_marker": sql("SELECT * FROM prim", "log2fc pct_diff"),
     "marker_composition": sql("SELECT *, genes / sum(genes) OVER (PARTITION BY tissue) AS share FROM (SELECT tissue, coalesce(primary_type, 'Unassigned') AS primary_type, count(*) AS genes FROM prim GROUP BY ALL)", "share"),
     "marker_weight_table": sql("SELECT tissue, cell_type, gene, is_marker, mean_weight, above_1, in_top FROM tab", "mean_weight"),
     "marker_weight_by_mixture": sql("SELECT * FROM mix", "marker_weight other_weight truth"),
-    "marker_weight_enrichment": sql(f"""SELECT * FROM (SELECT *, CASE WHEN (n_markers - top_markers) * top_others > 0 THEN top_markers * (n_genes - n_markers - top_others) / ((n_markers - top_markers) * top_others) END AS odds_ratio FROM (
-      SELECT tissue, cell_type, count(*) FILTER (WHERE is_marker) AS n_markers, count(*) AS n_genes, avg(mean_weight) FILTER (WHERE is_marker) AS marker_mean,
-      avg(mean_weight) FILTER (WHERE NOT is_marker) AS other_mean, median(mean_weight) FILTER (WHERE is_marker) AS marker_median, count(*) FILTER (WHERE is_marker AND in_top) AS top_markers,
-      count(*) FILTER (WHERE NOT is_marker AND in_top) AS top_others, count(*) FILTER (WHERE is_marker AND above_1) AS markers_above_1,
-      sum(rk) FILTER (WHERE is_marker) - count(*) FILTER (WHERE is_marker) * (count(*) FILTER (WHERE is_marker) + 1) / 2 AS u,
-      avg(mean_weight) FILTER (WHERE is_marker) / avg(mean_weight) FILTER (WHERE NOT is_marker) AS ratio
-      FROM (SELECT *, {MID.format(g='tissue, cell_type', v='mean_weight')} AS rk FROM tab) GROUP BY ALL) JOIN (
-      SELECT tissue, cell_type, sum(t * t * t - t) AS ties FROM (SELECT tissue, cell_type, mean_weight, count(*)::DOUBLE AS t FROM tab GROUP BY ALL) GROUP BY ALL) USING (tissue, cell_type))
-      LEFT JOIN (SELECT tissue, cell_type, sum(CASE WHEN gap > 0 THEN r ELSE 0 END) AS w, count(*) AS n_pairs FROM gp GROUP BY ALL) USING (tissue, cell_type)
-      LEFT JOIN (SELECT tissue, cell_type, sum(t * t * t - t) AS pair_ties FROM (SELECT tissue, cell_type, size, count(*)::DOUBLE AS t FROM gp GROUP BY ALL) GROUP BY ALL) USING (tissue, cell_type)
-      LEFT JOIN (SELECT tissue, cell_type, CASE WHEN count(*) > 1 AND stddev_pop(truth) > 0 AND stddev_pop(marker_weight) > 0 THEN corr(truth, marker_weight) END AS pearson,
-        CASE WHEN count(*) > 1 AND stddev_pop(rt) > 0 AND stddev_pop(rw) > 0 THEN corr(rt, rw) END AS spearman, count(*) AS n_mixtures, avg(gap) AS mean_gap FROM (
-        SELECT *, marker_weight - other_weight AS gap, {MID.format(g='tissue, cell_type', v='truth')} AS rt, {MID.format(g='tissue, cell_type', v='marker_weight')} AS rw
-        FROM mix WHERE truth IS NOT NULL AND other_weight IS NOT NULL) GROUP BY ALL) USING (tissue, cell_type)""",
-      "marker_mean other_mean marker_median u ratio ties odds_ratio w pair_ties pearson spearman mean_gap",
-      f"gp AS (SELECT *, {MID.format(g='tissue, cell_type', v='size')} AS r FROM (SELECT *, marker_weight - other_weight AS gap, round(abs(marker_weight - other_weight), 12) AS size FROM mix) WHERE gap <> 0)"),
+    "marker_weight_enrichment": sql(ENRICHMENT, ENRICHED, GAPS),
+    "enrichment_p": sql(ENRICHMENT_P, ENRICHED + " mann_whitney_p fisher_p wilcoxon_p pearson_p spearman_p mann_whitney_fdr fisher_fdr wilcoxon_fdr", GAPS + "," + WAYS),
     "top_markers": sql("""SELECT * FROM (SELECT tissue, cell_type, gene, mean_weight, row_number() OVER (PARTITION BY tissue, cell_type ORDER BY round(mean_weight, 9) DESC, gene) AS place
       FROM tab WHERE is_marker) WHERE place <= 5""", "mean_weight"),
-    "batch_evaluation": sql(_summary("bm"), SUMS, THREE + "," + SUPPORTS + """,
+    "batch_evaluation": sql(_summary("bm"), SUMS, THREE + "," + SUPPORTS + "," + _nnls_three("z3m", "n3") + """,
       bd AS (SELECT m.method, tissue, mixture, cell_type, truth, x AS prediction, abs(x - truth) AS abs_error, x - truth AS signed_error, truth > 0 AND truth < 0.33 AS is_rare FROM (
         SELECT 'simplex' AS method, tissue, mixture, cell_type, prediction AS x FROM x3 JOIN z3t USING (tissue, k)
-        UNION ALL SELECT 'nnls', tissue, mixture, cell_type, x FROM n3) m JOIN tru USING (tissue, mixture, cell_type)),
+        UNION ALL SELECT 'nnls', tissue, mixture, cell_type, x[k] FROM n3 JOIN z3t USING (tissue)) m JOIN tru USING (tissue, mixture, cell_type)),
       bm AS (SELECT method, tissue, mixture, sum(abs_error) AS l1, 1 - sum(abs_error) / 2 AS accuracy, avg(abs_error) AS mae, sqrt(avg(signed_error * signed_error)) AS rmse,
         CASE WHEN stddev_pop(truth) > 0 AND stddev_pop(prediction) > 0 THEN corr(truth, prediction) END AS pearson, avg(abs_error) FILTER (WHERE is_rare) AS rare_mae,
-        NULL::VARCHAR AS error, true AS converged, 1 AS iterations FROM bd GROUP BY method, tissue, mixture)"""),
+        NULL::VARCHAR AS error, true AS converged, 1 AS iterations FROM bd GROUP BY method, tissue, mixture)""", longs="converged"),
+    "read_matrix_tsv": sql("""SELECT tissue, gene, dense_rank() OVER (PARTITION BY tissue ORDER BY gene) - 1 AS gene_idx, cell_type, dense_rank() OVER (PARTITION BY tissue ORDER BY cell_type) - 1 AS cell_type_idx,
+      coalesce(value, 0) AS value FROM (SELECT DISTINCT tissue, gene FROM sig) JOIN (SELECT DISTINCT tissue, cell_type FROM sig) USING (tissue) LEFT JOIN sig USING (tissue, gene, cell_type)""", "value"),
+    "read_labels": sql("SELECT tissue, row_number() OVER (PARTITION BY tissue ORDER BY cell_id) - 1 AS pos, cell_id::VARCHAR AS cell_id, cell_type FROM cel"),
+    "read_hierarchy_json": sql("""SELECT tissue, node, parent, depth, CASE WHEN depth = 0 THEN 0 ELSE row_number() OVER (PARTITION BY tissue, parent ORDER BY node) - 1 END AS child_pos, depth = 2 AS is_leaf, 0.0 AS distance, n_leaves FROM (
+      SELECT tissue, node, any_value(parent) AS parent, any_value(CASE WHEN node = 'root' THEN 0 WHEN node IN ('high', 'low') THEN 1 ELSE 2 END) AS depth, count(*) AS n_leaves
+      FROM siz JOIN leaf ON leaf = cell_type LEFT JOIN edge USING (node) GROUP BY tissue, node)""", "distance", longs="depth child_pos"),
+    "write_results": sql("SELECT * FROM det", "truth prediction abs_error signed_error"),
 }
-del ORACLES["batch_evaluation"]

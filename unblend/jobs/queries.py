@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..functions.storage import materialize
+from ..functions.learn import Config
+from ..functions.storage import materialize, new_dir
 from ..operators import anchor, evaluate, markers, normalize, profiles, solve, summarize, tree, weighted
+from ..sources import files
 from ..sources.roles import PRIORITIES, Roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,8 +59,7 @@ def metrics(r: Roles) -> DataFrame:
 
 @query
 def shared_genes(r: Roles) -> DataFrame:
-    odd = r.bulk().where(F.pmod("gene", F.lit(3)) > 0)
-    return normalize.shared_genes(odd, r.signature())
+    return normalize.shared_genes(r.bulk(), r.signature())
 
 
 @query
@@ -79,7 +80,7 @@ def pick_mixtures(r: Roles) -> DataFrame:
 
 @query
 def normalize_columns(r: Roles) -> DataFrame:
-    bulk = r.bulk().where(F.pmod("gene", F.lit(3)) > 0)
+    bulk = r.bulk()
     return normalize.normalize_columns(bulk, "mixture", normalize.shared_genes(bulk, r.signature()))
 
 
@@ -118,7 +119,7 @@ def normalize_labels(r: Roles) -> DataFrame:
 @query
 def discover_cases(r: Roles) -> DataFrame:
     lines = r.table("lineitem").join(r.table("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    by = lambda flag: lines.where((F.col("l_returnflag") == flag) & (F.col("l_quantity") > 45)).select(
+    by = lambda flag: lines.where(F.col("l_returnflag") == flag).select(
         F.col("l_suppkey").alias("dataset"), F.col("p_brand").alias("tissue")
     )
     return normalize.discover_cases(by("A"), by("N"), by("R"), ["dataset", "tissue"])
@@ -176,8 +177,10 @@ def allocate_counts(r: Roles) -> DataFrame:
 
 def _draws(r: Roles) -> DataFrame:
     """Ten draws per cell type for as many mixtures as there are suppliers."""
-    plan = r.table("supplier").select(F.col("s_suppkey").alias("mixture"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("draw"))
-    plan = plan.join(r.cells().select("tissue", "cell_type").distinct())
+    types = r.cells().select("tissue", "cell_type").distinct().collect()  # a taxonomy's few dozen names
+    each = F.array(*[F.struct(*[F.lit(t[c]).alias(c) for c in ("tissue", "cell_type")]) for t in types])
+    plan = r.table("supplier").select(F.col("s_suppkey").alias("mixture"), F.inline(each))
+    plan = plan.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(9))))
     return profiles.draw_cells(plan, r.cells(), F.col("mixture") * 7919 + F.col("draw") * 104729)
 
 
@@ -191,6 +194,11 @@ def pseudobulk(r: Roles) -> DataFrame:
     return profiles.pseudobulk(_draws(r), r.counts())
 
 
+@query
+def drawn_shares(r: Roles) -> DataFrame:
+    return profiles.drawn_shares(_draws(r))
+
+
 @query
 def perturb_reference(r: Roles) -> DataFrame:
     return profiles.perturb_reference(r.signature(), F.pmod(F.col("gene") * 37 + F.ascii("cell_type"), F.lit(19)) / 10.0 - 0.9, 0.05)
@@ -251,8 +259,10 @@ def simplex_ls_three(r: Roles) -> DataFrame:
 
 @query
 def nnls_solve(r: Roles) -> DataFrame:
+    """Over shares: joint z-scores of these tables have b = -sum of a, whose best fit is 0 everywhere."""
     by = ["tissue", "mixture"]
-    solved = solve.nnls_solve(solve.gram_stats(_two_rows(r), by))
+    rows = materialize(normalize.prepared(*_two(r), zscore=False), "shares")
+    solved = solve.nnls_solve(solve.gram_stats(rows, by))
     return solved.select(*by, F.col("raw")[0].alias("raw0"), F.col("raw")[1].alias("raw1"), F.col("x")[0].alias("x0"), "residual")
 
 
@@ -273,6 +283,40 @@ def deconvolve_batch(r: Roles) -> DataFrame:
     return weighted.deconvolve_batch(r.signature(), r.bulk())
 
 
+#: Weights stay at the baseline, so what the loop around them does is a closed form.
+GIVEN = Config(rounds=0)
+#: Without curvature and saturation the weights' objective is a parabola.
+PARABOLA = Config(lambda_hessian=0.0, lambda_residual=1.0, lambda3=0.0, lambda4=1.0, max_iter=1)
+
+
+@query
+def weighted_deconvolve_given(r: Roles) -> DataFrame:
+    """The loop of solves, averages and its stop under given weights, the genes' confidences."""
+    by = ["tissue", "mixture"]
+    rows = _two_rows(r).withColumn("c", 1.0 + F.col("gene") / 10.0)
+    out = weighted.weighted_deconvolve(rows, by, GIVEN)
+    x = {f"{n}0": F.col(n)[0] for n in ("proportions", "initial_proportions")}
+    return out.withColumns(x).select(*by, *x, "iterations", "converged", F.size("change_history").cast("long").alias("steps"), "total_min", "total_mean", "total_max", "error")
+
+
+@query
+def learn_gene_weights_parabola(r: Roles) -> DataFrame:
+    by = ["tissue", "mixture"]
+    weights = weighted.long_weights(weighted.weighted_deconvolve(_two_rows(r), by, PARABOLA), by)
+    return weights.withColumn("meta_weight", F.round("meta_weight", 4))
+
+
+@query
+def deconvolve_batch_given(r: Roles) -> DataFrame:
+    out = weighted.deconvolve_batch(r.signature(), r.bulk(), GIVEN)
+    return out.select("tissue", "mixture", "method", *[F.col("proportions")[i].alias(f"p{i}") for i in range(3)], "iterations", "converged", "error")
+
+
+@query
+def deconvolve_batch_tree(r: Roles) -> DataFrame:
+    return weighted.deconvolve_batch(_shares(r), _tissue_bulk(r), tree=r.tree(), node_leaf=r.node_leaf(), genes=30)
+
+
 def _tissue_bulk(r: Roles) -> DataFrame:
     """Pseudobulk of the single cells, for the hierarchy of their types."""
     return profiles.pseudobulk(_draws(r), r.counts())
@@ -337,6 +381,13 @@ def anchor_proportions(r: Roles) -> DataFrame:
     return anchor.anchor_proportions(normalize.normalize_columns(s, "cell_type"), normalize.normalize_columns(b, "mixture"), _flags(r))
 
 
+@query
+def anchor_proportions_nonnegative(r: Roles) -> DataFrame:
+    s, b = _two(r)
+    s, b = normalize.normalize_columns(s, "cell_type"), normalize.normalize_columns(b, "mixture")
+    return anchor.anchor_proportions(s, b, _flags(r), nonnegative=True)
+
+
 @query
 def recover_signature(r: Roles) -> DataFrame:
     s, b = _two(r)
@@ -425,7 +476,7 @@ def method_coverage(r: Roles) -> DataFrame:
 
 @query
 def common_mixtures(r: Roles) -> DataFrame:
-    return evaluate.common_mixtures(r.predictions().where("raw > 300 or mixture % 3 > 0"), 4)
+    return evaluate.common_mixtures(r.predictions(), 4)
 
 
 @query
@@ -529,6 +580,16 @@ def numeric_summary(r: Roles) -> DataFrame:
     return summarize.numeric_summary(metrics(r), ["method"], ["l1", "accuracy", "rmse", "pearson"])
 
 
+@query
+def numeric_summary_delta(r: Roles) -> DataFrame:
+    return summarize.numeric_summary(detail(r), ["method", "tissue", "cell_type"], ["prediction"], "truth")
+
+
+@query
+def signature_block_means(r: Roles) -> DataFrame:
+    return summarize.signature_block_means(r.signature(), [("head", 0, 10), ("mid", 10, 40), ("all", 0, 60)])
+
+
 @query
 def weight_block_summary(r: Roles) -> DataFrame:
     return summarize.weight_block_summary(r.weights(), [("head", 0, 10), ("mid", 10, 40), ("all", 0, 60)])
@@ -543,7 +604,7 @@ def gene_weight_stats(r: Roles) -> DataFrame:
 
 
 def _dist(r: Roles) -> DataFrame:
-    return markers.value_counts(r.counts(), r.cells())
+    return r.once("value-counts", lambda: markers.value_counts(r.counts(), r.cells()))
 
 
 @query
@@ -561,25 +622,27 @@ def rank_sum_test(r: Roles) -> DataFrame:
     return markers.rank_sum_test(_dist(r)).withColumn("u_sd", F.sqrt("u_variance")).drop("p", "u_variance")
 
 
-@query
-def rank_sum_p(r: Roles) -> DataFrame:
-    tests = markers.rank_sum_test(_dist(r))
-    return markers.bh_fdr(tests, "p", ["tissue", "cell_type"], ["gene"])
+def _tests(r: Roles) -> DataFrame:
+    return r.once("tests", lambda: markers.bh_fdr(markers.rank_sum_test(_dist(r)), "p", ["tissue", "cell_type"], ["gene"]))
 
 
-def _logistic(r: Roles) -> DataFrame:
-    """Rank tests with a p that SQL can tell too, in place of the normal tail."""
-    p = F.round(1.0 / (1.0 + F.exp(1.702 * F.col("z"))), 9)
-    return markers.bh_fdr(markers.rank_sum_test(_dist(r)).withColumn("p", p), "p", ["tissue", "cell_type"], ["gene"])
+@query
+def rank_sum_p(r: Roles) -> DataFrame:
+    return _tests(r).withColumn("u_sd", F.sqrt("u_variance")).drop("u_variance")
 
 
 @query
 def bh_fdr(r: Roles) -> DataFrame:
-    return _logistic(r).select("tissue", "cell_type", "gene", "p", "fdr")
+    return _tests(r).select("tissue", "cell_type", "gene", "p", "fdr")
 
 
 def _called(r: Roles) -> DataFrame:
-    de = markers.detection_and_fold_change(_dist(r)).join(_logistic(r).select("tissue", "cell_type", "gene", F.round("fdr", 6).alias("fdr")), ["tissue", "cell_type", "gene"])
+    return r.once("called", lambda: _calls(r))
+
+
+def _calls(r: Roles) -> DataFrame:
+    tests = _tests(r).select("tissue", "cell_type", "gene", F.round("fdr", 6).alias("fdr"))
+    de = markers.detection_and_fold_change(_dist(r)).join(tests, ["tissue", "cell_type", "gene"])
     known = r.cells().select("tissue", "cell_type", (F.pmod("cell_id", F.lit(10)) * 5 + 1).cast("int").alias("gene"))
     return markers.call_markers(de, known, fdr=0.97, log2fc=0.02, pct=0.05)
 
@@ -655,16 +718,55 @@ def top_markers(r: Roles) -> DataFrame:
 def batch_evaluation(r: Roles) -> DataFrame:
     """Prepare, solve by two methods, score against the truth, sum up."""
     by = ["tissue", "mixture"]
-    gram = materialize(solve.gram_stats(_three_rows(r), by), "gram")
-    solved = [
-        solve.named(f(gram), r.signature(), by).withColumn("method", F.lit(name))
-        for name, f in (("simplex", solve.simplex_ls), ("nnls", solve.nnls_solve))
-    ]
+    signature, bulk = r.once("signature", r.signature), r.once("bulk", r.bulk)
+    scored = solve.simplex_ls(solve.gram_stats(normalize.prepared(signature, bulk), by, k=3))
+    # non-negative least squares take shares as they are: on joint z-scores of these tables their best fit is 0
+    plain = solve.nnls_solve(solve.gram_stats(normalize.prepared(signature, bulk, zscore=False), by, k=3))
+    solved = [solve.named(x, signature, by).withColumn("method", F.lit(n)) for n, x in (("simplex", scored), ("nnls", plain))]
     scored = evaluate.mixture_metrics(evaluate.prediction_detail(solved[0].unionByName(solved[1]), r.truth(), RARE))
     log = scored.withColumns({"error": F.lit(None).cast("string"), "converged": F.lit(True), "iterations": F.lit(1)})
     return summarize.summarize_detail(log, ["method"], ["tissue"])
 
 
+# ---------------------------------------------------------------- files
+
+
+@query
+def read_matrix_tsv(r: Roles) -> DataFrame:
+    """Signatures through their file layout and back."""
+    folder = new_dir(r.spark, "matrices")
+    files.write_matrix_tsv(r.signature(), folder)
+    return files.read_matrix_tsv(r.spark, f"{folder}/*/*.txt").withColumn("gene", F.col("gene").cast("int"))
+
+
+@query
+def read_labels(r: Roles) -> DataFrame:
+    """Cells and their types through two files of one column each, paired by place."""
+    ids, types = new_dir(r.spark, "cells"), new_dir(r.spark, "types")
+    files.write_labels(r.cells(), ids, "cell_id", "cell_id")
+    files.write_labels(r.cells(), types, "cell_type", "cell_id")
+    cells = files.read_labels(r.spark, f"{ids}/*/*.txt", "cell_id")
+    return files.pair_labels(cells, files.read_labels(r.spark, f"{types}/*/*.txt", "cell_type"), "cell_type")
+
+
+@query
+def read_hierarchy_json(r: Roles) -> DataFrame:
+    """Hierarchies through their files: edges, and how many cell types each node has."""
+    folder = new_dir(r.spark, "hierarchies")
+    r.hierarchy().repartition("tissue").write.partitionBy("tissue").text(folder)
+    edges, leaves = files.read_hierarchy_json(r.spark, f"{folder}/*/*.txt", PRIORITIES)
+    n = leaves.groupBy("tissue", "node").agg(F.count(F.lit(1)).alias("n_leaves"))
+    return edges.join(n, ["tissue", "node"])
+
+
+@query
+def write_results(r: Roles) -> DataFrame:
+    """Scored predictions written as results are and read back."""
+    folder, own = new_dir(r.spark, "results"), detail(r)
+    files.write_results({"detail": own}, folder, {"rare": RARE})
+    return r.spark.read.schema(own.schema).csv(f"{folder}/detail", header=True)
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return QUERIES["batch_evaluation"](spark, folder)
 

@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions.learn import Config
 from ..functions.storage import materialize
-from .normalize import KEYS, by_type, dense_bulk, joint_zscore_all, normalize_columns, shared_genes, signature_rows, types_of
-from .solve import gram_stats, named, simplex_ls
-from .weighted import long_weights, weighted_deconvolve
+from .normalize import KEYS, by_type, dense_bulk, dense_signature, joint_zscore_all, normalize_columns, shared_genes, signature_rows, types_of
+from .solve import gram_stats, named, nnls_solve, simplex_ls
+from .weighted import long_weights, usable_columns, weighted_deconvolve
 
 
 def fitted(signature: DataFrame, proportions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -90,10 +90,14 @@ def anchor_rows(signature: DataFrame, bulk: DataFrame, anchors: DataFrame | None
     return rows.select(*keys, "mixture", "gene", "a", "b")
 
 
-def anchor_proportions(signature: DataFrame, bulk: DataFrame, anchors: DataFrame | None, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, mixture, cell_type, p) by simplex least squares on anchor genes only."""
+def anchor_proportions(
+    signature: DataFrame, bulk: DataFrame, anchors: DataFrame | None, keys: list[str] = KEYS, nonnegative: bool = False
+) -> DataFrame:
+    """(keys, mixture, cell_type, p) by simplex least squares on anchor genes only, or, if
+    ``nonnegative``, by non-negative least squares and shares of its result."""
     by = [*keys, "mixture"]
-    return named(simplex_ls(gram_stats(anchor_rows(signature, bulk, anchors, keys), by)), signature, by, keys, value="p")
+    solve = nnls_solve if nonnegative else simplex_ls
+    return named(solve(gram_stats(anchor_rows(signature, bulk, anchors, keys), by)), signature, by, keys, value="p")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -150,28 +154,30 @@ def recover_signature(
 
 
 def reconstruction_error(signature: DataFrame, bulk: DataFrame, proportions: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Root of the summed squares of B - S P per tissue."""
+    """Root of the summed squares of B - S P per tissue, over the genes of both tables; what the bulk leaves out is 0."""
+    bulk = dense_bulk(bulk, shared_genes(bulk, signature, keys), keys)
     both = fitted(signature, proportions, keys).join(bulk, [*keys, "gene", "mixture"])
     gap = F.col("value") - F.col("fitted")
     return both.groupBy(*keys).agg(F.sqrt(F.sum(gap * gap)).alias("error"))
 
 
 def anchor_recover(signature: DataFrame, bulk: DataFrame, cfg: Config = Config(), lam: float = 0.6, keys: list[str] = KEYS, **anchors) -> dict[str, DataFrame]:
-    """The whole chain: proportions, signature (recovered), metrics (genes) and errors before and after."""
+    """The whole chain: proportions, initial ones, signature (recovered), metrics (genes), errors before and
+    after, and failed: (keys, mixture, error) of mixtures that couldn't be normalised or solved, which nothing else uses."""
     by = [*keys, "mixture"]
-    genes = shared_genes(bulk, signature, keys)
-    pick = [*keys, "gene"]
-    signature, bulk = signature.join(genes, pick, "left_semi"), bulk.join(genes, pick, "left_semi")
-    grid = bulk.select(*by).distinct().join(genes, keys)
-    bulk = grid.join(bulk, [*by, "gene"], "left").select(*by, "gene", F.coalesce("value", F.lit(0.0)).alias("value"))
-    signature, bulk = materialize(signature, "anchor-reference"), materialize(bulk, "anchor-bulk")
+    signature, bulk, genes, unfit = usable_columns(signature, bulk, keys)
+    signature = materialize(dense_signature(signature, genes, keys), "anchor-reference")
+    bulk = materialize(dense_bulk(bulk, genes, keys), "anchor-bulk")
     s, b = joint_zscore_all(
-        normalize_columns(signature, "cell_type", keys=keys), normalize_columns(bulk, "mixture", keys=keys), keys
+        normalize_columns(signature, "cell_type", keys=keys), normalize_columns(bulk, "mixture", keys=keys), keys, dense=True
     )
     # solved once, though proportions, weights and errors all read it
     learned = materialize(weighted_deconvolve(anchor_rows(s, b, None, keys), by, cfg), "anchor-initial")
-    first = named(learned.where("error is null"), s, by, keys, "proportions", "p")
-    metrics = select_anchors(anchor_gene_metrics(s, b, first, long_weights(learned, by), keys), keys=keys, **anchors)
+    failed = unfit.unionByName(learned.where("error is not null").select(*by, "error"))
+    solved = learned.where("error is null")
+    b, bulk = b.join(solved.select(*by), by, "left_semi"), bulk.join(solved.select(*by), by, "left_semi")
+    first = named(solved, s, by, keys, "proportions", "p")
+    metrics = select_anchors(anchor_gene_metrics(s, b, first, long_weights(solved, by), keys), keys=keys, **anchors)
     metrics = materialize(metrics, "anchor-genes")
     p = materialize(anchor_proportions(s, b, metrics, keys), "anchor-proportions")
     recovered = materialize(recover_signature(signature, bulk, p, metrics, lam, keys=keys), "anchor-signature")
@@ -179,4 +185,4 @@ def anchor_recover(signature: DataFrame, bulk: DataFrame, cfg: Config = Config()
     errors = reconstruction_error(signature, bulk, first, keys).withColumnRenamed("error", "initial_error").join(
         reconstruction_error(final, bulk, p, keys), keys
     )
-    return {"proportions": p, "initial": first, "signature": recovered, "metrics": metrics, "errors": errors}
+    return {"proportions": p, "initial": first, "signature": recovered, "metrics": metrics, "errors": errors, "failed": failed}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import guarded_corr, mid_rank, number_or_zero
+from ..functions.pvalues import corr_p_column as corr_p
 from .normalize import KEYS, normalize_nonnegative
 
 
@@ -81,7 +82,8 @@ def align_predictions(cells: DataFrame, truth: DataFrame, keys: list[str] = KEYS
 def method_coverage(predictions: DataFrame, methods: DataFrame, cases: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Mixtures that each method has for each case; methods without any are ``missing``."""
     have = predictions.groupBy(*keys, "method").agg(F.countDistinct("mixture").alias("n"))
-    grid = cases.select(*keys).distinct().join(F.broadcast(methods.select("method").distinct()))
+    names = sorted(r[0] for r in methods.select("method").distinct().collect())  # as many as methods are compared
+    grid = cases.select(*keys).distinct().withColumn("method", F.explode(F.array(*map(F.lit, names))))
     n = F.coalesce("n", F.lit(0)).cast("long")
     return grid.join(have, [*keys, "method"], "left").select(
         *keys, "method", n.alias("mixtures"), F.when(n > 0, "ok").otherwise("missing").alias("status")
@@ -127,10 +129,11 @@ def subset_l1(detail: DataFrame, types: list, keys: list[str] = KEYS) -> DataFra
 
 
 def method_correlations(detail: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Truth against prediction per cell type and method: means, Pearson, Spearman, MAE, RMSE."""
+    """Truth against prediction per cell type and method: means, Pearson and Spearman with their
+    two-sided p by the t distribution (null under three rows), MAE, RMSE."""
     by = [*keys, "cell_type", "method"]
     ranked = detail.withColumn("rt", mid_rank("truth", by)).withColumn("rp", mid_rank("prediction", by))
-    return ranked.groupBy(*by).agg(
+    out = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("truth").alias("mean_truth"),
         F.avg("prediction").alias("mean_prediction"),
@@ -139,6 +142,7 @@ def method_correlations(detail: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         F.avg("abs_error").alias("mae"),
         F.sqrt(F.avg(F.col("signed_error") * F.col("signed_error"))).alias("rmse"),
     )
+    return out.withColumn("pearson_p", corr_p("pearson", "n")).withColumn("spearman_p", corr_p("spearman", "n"))
 
 
 def spearman_by_group(recovered: DataFrame, true_profiles: DataFrame, keys: list[str] = KEYS) -> DataFrame:

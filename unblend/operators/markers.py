@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import pvalues
 from ..functions.columns import guarded_corr, mid_rank
@@ -48,11 +47,6 @@ def detection_and_fold_change(dist: DataFrame, pseudo: float = 0.1, keys: list[s
     return out.withColumn("log2fc", fold).withColumn("pct_diff", F.col("pct_in") - F.col("pct_out"))
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_sf(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: None if x is None or pd.isna(x) else pvalues.normal_sf(x)).astype(float)
-
-
 def rank_sum_test(dist: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Each type against the rest per gene: U, its tie-corrected variance, z with
     continuity correction and the one-sided p (1 where nothing varies).
@@ -75,16 +69,18 @@ def rank_sum_test(dist: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     out = both.select(*gene, "cell_type", (F.col("rank_sum") - n * (n + 1) / 2).alias("u"), var.alias("u_variance"), (n * m / 2).alias("mean"))
     z = F.when(F.col("u_variance") > 0, (F.col("u") - F.col("mean") - 0.5) / F.sqrt("u_variance")).otherwise(0.0)
     out = out.withColumn("z", z).drop("mean")
-    return out.withColumn("p", F.when(F.col("u_variance") > 0, normal_sf("z")).otherwise(1.0))
+    return out.withColumn("p", F.when(F.col("u_variance") > 0, pvalues.normal_sf_column("z")).otherwise(1.0))
 
 
 def bh_fdr(tests: DataFrame, p: str, by: list[str], order: list[str | Column]) -> DataFrame:
-    """Adds fdr: p * n / rank made monotone from the largest p down, in [0, 1], per ``by``."""
+    """Adds fdr: p * n / rank made monotone from the largest p down, in [0, 1], per ``by``. Tests
+    without a p don't count and have none."""
     w = Window.partitionBy(*by)
-    ranked = tests.withColumn("_r", F.row_number().over(w.orderBy(p, *order))).withColumn("_n", F.count(F.lit(1)).over(w))
+    first = [F.col(p).asc_nulls_last(), *order]
+    ranked = tests.withColumn("_r", F.row_number().over(w.orderBy(*first))).withColumn("_n", F.count(p).over(w))
     down = w.orderBy("_r").rowsBetween(0, Window.unboundedFollowing)
     fdr = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(down)))
-    return ranked.withColumn("fdr", fdr).drop("_r", "_n")
+    return ranked.withColumn("fdr", F.when(F.col(p).isNotNull(), fdr)).drop("_r", "_n")
 
 
 def call_markers(de: DataFrame, known: DataFrame, fdr: float = 0.05, log2fc: float = 1.0, pct: float = 0.1, keys: list[str] = KEYS) -> DataFrame:
@@ -189,8 +185,8 @@ def enrichment_p(stats: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     )
     out = out.withColumn("fisher_p", fisher)
     out = out.withColumn("wilcoxon_p", whole(lambda w, n, t: pvalues.wilcoxon_greater(w, int(n), t), "w", "n_pairs", "pair_ties"))
-    corr = lambda r, n: pvalues.corr_p(r, int(n))
-    out = out.withColumn("pearson_p", whole(corr, "pearson", "n_mixtures")).withColumn("spearman_p", whole(corr, "spearman", "n_mixtures"))
+    for name in ("pearson", "spearman"):
+        out = out.withColumn(f"{name}_p", pvalues.corr_p_column(name, "n_mixtures"))
     for name in ("mann_whitney", "fisher", "wilcoxon"):
         out = bh_fdr(out, f"{name}_p", keys, ["cell_type"]).withColumnRenamed("fdr", f"{name}_fdr")
     return out

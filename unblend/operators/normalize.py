@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import number_or_zero, positive_or_fail
+from ..functions.columns import is_positive, number_or_zero, positive_or_fail
 
 KEYS = ["tissue"]
 
@@ -47,6 +47,14 @@ def normalize_columns(long: DataFrame, column: str, genes: DataFrame | None = No
     return joined.select(*keys, column, "gene", (F.col("value") / positive_or_fail(F.col("total"), column)).alias("value"))
 
 
+def unusable(long: DataFrame, column: str, genes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, column, error): columns that ``normalize_columns`` would stop at, or that have none of the genes."""
+    names = long.select(*keys, column).distinct()
+    total = long.join(genes, [*keys, "gene"], "left_semi").groupBy(*keys, column).agg(F.sum("value").alias("total"))
+    error = F.lit(f"{column}: the column sum isn't finite and positive").alias("error")
+    return names.join(total, [*keys, column], "left").where(~F.coalesce(is_positive(F.col("total")), F.lit(False))).select(*keys, column, error)
+
+
 def types_of(signature: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """A tissue's cell types in order, one array a tissue."""
     return signature.groupBy(*keys).agg(F.array_sort(F.collect_set("cell_type")).alias("types"))
@@ -72,16 +80,23 @@ def dense_bulk(bulk: DataFrame, genes: DataFrame, keys: list[str] = KEYS) -> Dat
     return grid.join(bulk, by, "left").select(*by, F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def prepared(signature: DataFrame, bulk: DataFrame, keys: list[str] = KEYS, zscore: bool = True) -> DataFrame:
+def dense_signature(signature: DataFrame, genes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Every cell type of a tissue with each of its ``genes``, 0 where the signature leaves one out."""
+    by = [*keys, "gene", "cell_type"]
+    grid = genes.join(signature.select(*keys, "cell_type").distinct(), keys)
+    return grid.join(signature, by, "left").select(*by, F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def prepared(signature: DataFrame, bulk: DataFrame, keys: list[str] = KEYS, zscore: bool = True, genes: DataFrame | None = None) -> DataFrame:
     """Solver rows (keys, mixture, gene, a, b): shared genes, columns summing to 1 and, unless
     ``zscore`` is false, each gene z-scored over the signature's values and the one
     mixture's (population deviation, 0 counts as 1).
 
     The signature is normalised once a tissue and joined as one array a gene, so
     rows number mixtures x genes, not that times cell types. Mixtures that lack
-    a gene of their tissue have 0 there.
+    a gene of their tissue have 0 there. ``genes``: those of both tables, if they are known.
     """
-    genes = shared_genes(bulk, signature, keys)
+    genes = shared_genes(bulk, signature, keys) if genes is None else genes
     sig = signature_rows(normalize_columns(signature, "cell_type", genes, keys), keys)
     shares = normalize_columns(bulk, "mixture", genes, keys)
     grid = shares.select(*keys, "mixture").distinct().join(genes, keys)
@@ -103,8 +118,12 @@ def prepared(signature: DataFrame, bulk: DataFrame, keys: list[str] = KEYS, zsco
     )
 
 
-def joint_zscore_all(signature: DataFrame, bulk: DataFrame, keys: list[str] = KEYS) -> tuple[DataFrame, DataFrame]:
-    """Signature and bulk, each gene z-scored over all columns of both (population deviation, 0 counts as 1)."""
+def joint_zscore_all(signature: DataFrame, bulk: DataFrame, keys: list[str] = KEYS, dense: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Signature and bulk, each gene of both z-scored over all columns of both (population deviation,
+    0 counts as 1). What either leaves out is 0 and z-scored too; ``dense``: neither leaves anything out."""
+    if not dense:
+        genes = shared_genes(bulk, signature, keys)
+        signature, bulk = dense_signature(signature, genes, keys), dense_bulk(bulk, genes, keys)
     both = signature.select(*keys, "gene", "value").unionByName(bulk.select(*keys, "gene", "value"))
     stats = both.groupBy(*keys, "gene").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
 

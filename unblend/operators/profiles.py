@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import guarded_corr
 from ..functions.storage import materialize
-from .normalize import KEYS, log1p_counts, normalize_columns
+from .normalize import KEYS, dense_signature, log1p_counts, normalize_columns
 
 
 def celltype_profiles(counts: DataFrame, cells: DataFrame, by_subject: bool = True, log: bool = True, keys: list[str] = KEYS) -> DataFrame:
@@ -38,7 +38,8 @@ def aggregate_profiles_by_node(profiles: DataFrame, node_leaf: DataFrame, keys:
 
 
 def gene_dispersion_score(signature: DataFrame, keys: list[str] = KEYS, epsilon: float = 1e-12) -> DataFrame:
-    """Variance over mean across cell types, as a share of the tissue's largest (1 where none is above 0)."""
+    """Variance over mean across cell types, as a share of the tissue's largest (1 where none is above 0). Absent values are 0."""
+    signature = dense_signature(signature, signature.select(*keys, "gene").distinct(), keys)
     raw = signature.groupBy(*keys, "gene").agg(
         F.greatest(F.var_pop("value") / F.greatest(F.avg("value"), F.lit(epsilon)), F.lit(0.0)).alias("raw")
     )
@@ -49,8 +50,8 @@ def gene_dispersion_score(signature: DataFrame, keys: list[str] = KEYS, epsilon:
 
 def leaf_grid(profiles: DataFrame, node_leaf: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Every gene of a tissue for every leaf of the tree, 0 where its profile has none."""
-    leaves = node_leaf.select(F.col("leaf").alias("cell_type")).distinct()
-    grid = profiles.select(*keys, "gene").distinct().join(F.broadcast(leaves))
+    leaves = sorted(r[0] for r in node_leaf.select("leaf").distinct().collect())  # a hierarchy's few dozen names
+    grid = profiles.select(*keys, "gene").distinct().withColumn("cell_type", F.explode(F.array(*map(F.lit, leaves))))
     pick = [*keys, "gene", "cell_type"]
     return grid.join(profiles, pick, "left").select(*pick, F.coalesce("value", F.lit(0.0)).alias("value"))
 
@@ -95,6 +96,13 @@ def draw_cells(plan: DataFrame, cells: DataFrame, slot: Column, keys: list[str]
     return counted.join(placed, [*keys, "cell_type", "at"]).drop("at")
 
 
+def drawn_shares(draws: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The truth of a pseudobulk, (keys, mixture, cell_type, truth): each type's share of the draws."""
+    own = draws.groupBy(*keys, "mixture", "cell_type").agg(F.sum("times").alias("own"))
+    total = own.groupBy(*keys, "mixture").agg(F.sum("own").alias("total"))
+    return own.join(total, [*keys, "mixture"]).select(*keys, "mixture", "cell_type", (F.col("own") / F.col("total")).alias("truth"))
+
+
 def pseudobulk(draws: DataFrame, counts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Expression of the drawn cells added up per mixture, columns summing to 1."""
     sums = draws.join(counts, [*keys, "cell_id"]).groupBy(*keys, "mixture", "gene")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import qp
-from .normalize import KEYS, dense_bulk, shared_genes, types_of
+from .normalize import KEYS, dense_bulk, dense_signature, shared_genes, types_of
 
 
 def gram_stats(rows: DataFrame, by: list[str], weight: Column | None = None, k: int | None = None) -> DataFrame:
@@ -83,9 +83,7 @@ def recover_rank1(signature: DataFrame, bulk: DataFrame, proportions: DataFrame,
     Genes are those of both tables; values that either leaves out are 0."""
     genes = shared_genes(bulk, signature, keys)
     bulk = dense_bulk(bulk, genes, keys)
-    pick = [*keys, "gene", "cell_type"]
-    grid = genes.join(signature.select(*keys, "cell_type").distinct(), keys)
-    signature = grid.join(signature, pick, "left").select(*pick, F.coalesce("value", F.lit(0.0)).alias("value"))
+    signature = dense_signature(signature, genes, keys)
     joined = signature.join(proportions, [*keys, "cell_type"])
     fit = joined.groupBy(*keys, "mixture", "gene").agg(F.sum(F.col("value") * F.col("p")).alias("fitted"))
     size = proportions.groupBy(*keys, "mixture").agg(F.sum(F.col("p") * F.col("p")).alias("pp"))

@@ -150,27 +150,45 @@ def cumulative_windows(metrics: DataFrame, bounds: list[int], value: str, passin
     )
 
 
-def numeric_summary(table: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
-    """Mean, deviation (n - 1), range and quantiles of several columns, one row a metric."""
-    long = table.select(*by, *[F.col(m).cast("double") for m in metrics]).unpivot(by, metrics, "metric", "value").where("value is not null")
+def numeric_summary(table: DataFrame, by: list[str], metrics: list[str], against: str | None = None) -> DataFrame:
+    """Mean, deviation (n - 1), range and quantiles of several columns, one row a metric; with
+    ``against``, a column, also the mean difference from it and the mean size of that."""
+    kept = [*by, *([against] if against else [])]
+    long = table.select(*kept, *[F.col(m).cast("double") for m in metrics]).unpivot(kept, metrics, "metric", "value").where("value is not null")
     q = F.percentile("value", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
+    gap = [] if against is None else [F.col("value") - F.col(against)]
     out = long.groupBy(*by, "metric").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q")
-    )
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q"),
+        *[F.avg(g).alias("mean_delta") for g in gap], *[F.avg(F.abs(g)).alias("mean_abs_delta") for g in gap],
+    )
     names = ("q05", "q25", "median", "q75", "q95")
-    return out.select(*by, "metric", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(names)], "max")
+    deltas = ["mean_delta", "mean_abs_delta"] if against else []
+    return out.select(*by, "metric", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(names)], "max", *deltas)
+
+
+def _blocks(gene: str, blocks: list[tuple[str, int, int]]) -> Column:
+    """The names of the blocks of gene places [start, end) that hold a gene."""
+    inside = F.array(*[F.when((F.col(gene) >= a) & (F.col(gene) < b), F.lit(n)) for n, a, b in blocks])
+    return F.filter(inside, lambda x: x.isNotNull())
 
 
 def weight_block_summary(weights: DataFrame, blocks: list[tuple[str, int, int]], keys: list[str] = KEYS) -> DataFrame:
     """Weights per block of gene places [start, end): genes, mean, median and 90 % quantile."""
-    inside = F.array(*[F.when((F.col("gene") >= a) & (F.col("gene") < b), F.lit(n)) for n, a, b in blocks])
-    placed = weights.withColumn("block", F.explode(F.filter(inside, lambda x: x.isNotNull())))
+    placed = weights.withColumn("block", F.explode(_blocks("gene", blocks)))
     return placed.groupBy(*keys, "block").agg(
         F.countDistinct("gene").alias("genes"), F.avg("meta_weight").alias("mean_weight"),
         F.median("meta_weight").alias("median_weight"), F.percentile("meta_weight", F.lit(0.9)).alias("p90_weight"),
     )
 
 
+def signature_block_means(signature: DataFrame, blocks: list[tuple[str, int, int]], keys: list[str] = KEYS) -> DataFrame:
+    """(keys, block, cell_type, genes, mean_value): each type's mean over the genes of a block; absent values are 0."""
+    placed = signature.withColumn("block", F.explode(_blocks("gene", blocks)))
+    genes = placed.groupBy(*keys, "block").agg(F.countDistinct("gene").alias("genes"))
+    sums = placed.groupBy(*keys, "block", "cell_type").agg(F.sum("value").alias("total"))
+    return sums.join(genes, [*keys, "block"]).select(*keys, "block", "cell_type", "genes", (F.col("total") / F.col("genes")).alias("mean_value"))
+
+
 def gene_weight_stats(weights: DataFrame, floor: float = 1.0, keys: list[str] = KEYS) -> DataFrame:
     """Per gene over mixtures: mean, median and deviation, share above 1, and whether all are at the floor."""
     w = F.col("meta_weight")

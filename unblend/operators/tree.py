@@ -15,6 +15,12 @@ from .profiles import aggregate_profiles_by_node, leaf_grid, split_gene_selectio
 from .weighted import weighted_deconvolve
 
 
+def _at_root(mixtures: DataFrame, tree: DataFrame, name: str) -> DataFrame:
+    """Each row at the root: a hierarchy is a few dozen names, so the root's is looked up once."""
+    roots = [r[0] for r in tree.where("parent is null").select("node").collect()]
+    return mixtures.withColumn(name, F.explode(F.array(*map(F.lit, roots)).cast("array<string>")))
+
+
 def parent_local_bulk(bulk: DataFrame, masses: DataFrame, node_profiles: DataFrame, floor: float = 1e-12, keys: list[str] = KEYS) -> DataFrame:
     """For each mixture and node of a level what the node's children have to explain:
     its mass times (its profile + what the whole level leaves of the bulk), at least ``floor``."""
@@ -37,8 +43,7 @@ def propagate_masses(raw: DataFrame, tree: DataFrame, keys: list[str] = KEYS) ->
         "local", F.when(F.col("t") > 0, F.col("raw") / F.col("t")).otherwise(1.0 / F.col("n"))
     )
     deepest = tree.agg(F.max("depth")).first()[0] or 0
-    roots = tree.where("parent is null").select(F.col("node"))
-    level = raw.select(*keys, "mixture").distinct().join(F.broadcast(roots)).withColumn("mass", F.lit(1.0))
+    level = _at_root(raw.select(*keys, "mixture").distinct(), tree, "node").withColumn("mass", F.lit(1.0))
     out = level
     for depth in range(1, deepest + 1):
         up = level.select(*keys, "mixture", F.col("node").alias("parent"), F.col("mass").alias("above"))
@@ -57,7 +62,7 @@ def hierarchical_deconvolve(
     genes: int = 150,
     keys: list[str] = KEYS,
 ) -> DataFrame:
-    """(keys, mixture, node, depth, is_leaf, raw, mass, iterations, converged, error), one Spark pass per level.
+    """(keys, mixture, node, parent, depth, is_leaf, raw, mass, iterations, converged, error), one Spark pass per level.
 
     Each node with several children is solved over its children's profiles on the genes
     that tell them apart; an only child takes its parent's mass. What is chosen per node
@@ -78,10 +83,9 @@ def hierarchical_deconvolve(
     picked = split_gene_selection(signature, tree, node_leaf, genes, keys).select(*keys, "parent", "gene")
     picked = materialize(picked, "tree-genes")
     edges = tree.select("node", "parent", "depth", "is_leaf")
-    root = tree.where("parent is null").select(F.col("node").alias("parent"))
     deepest = tree.agg(F.max("depth")).first()[0] or 0
-    local = bulk.join(F.broadcast(root)).select(*keys, "mixture", "parent", "gene", "value")
-    mass = bulk.select(*keys, "mixture").distinct().join(F.broadcast(root)).withColumn("above", F.lit(1.0))
+    local = _at_root(bulk, tree, "parent")
+    mass = _at_root(bulk.select(*keys, "mixture").distinct(), tree, "parent").withColumn("above", F.lit(1.0))
     mass = mass.withColumn("failed", F.lit(None).cast("string"))
     out, stuck = None, None
     for depth in range(1, deepest + 1):
@@ -117,7 +121,7 @@ def hierarchical_deconvolve(
             *keys, "mixture", F.col("node").alias("parent"), F.col("mass").alias("above"), F.col("error").alias("failed")
         )
         local = local.join(mass.where("failed is null").select(*by), by, "left_semi")
-    return out.select(*keys, "mixture", "node", "depth", "is_leaf", "raw", "mass", "iterations", "converged", "error")
+    return out.select(*keys, "mixture", "node", "parent", "depth", "is_leaf", "raw", "mass", "iterations", "converged", "error")
 
 
 def build_hierarchy(distances: DataFrame, groups: int | None = None, method: str = "average", keys: list[str] = KEYS) -> DataFrame:

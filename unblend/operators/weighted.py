@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 
 from ..functions.learn import Config, deconvolve
 from ..functions.storage import materialize
-from .normalize import KEYS, prepared
+from .normalize import KEYS, prepared, shared_genes, unusable
 from .solve import gram_stats, nnls_solve
 
+#: Mixtures of a task, about: each is up to a second of work on its own.
+PER_TASK = 32
 STATS = ["weight_min", "weight_mean", "weight_max", "total_min", "total_mean", "total_max"]
 
 
@@ -25,16 +27,26 @@ def pack(rows: DataFrame, by: list[str]) -> DataFrame:
     return packed.select(*by, *[F.col(f"g.{f}").alias(f) for f in fields])
 
 
-def weighted_deconvolve(rows: DataFrame, by: list[str], cfg: Config = Config(), partitions: int | None = None) -> DataFrame:
+def dealt(packed: DataFrame, by: list[str], per_task: int = PER_TASK) -> DataFrame:
+    """The packed rows, written once, in as many tasks as their number asks for.
+
+    The number of partitions is stated, as without one small rows end up in a single task,
+    however long each keeps it busy. Rows go by a hash of their keys, so a task that is run again gets the same ones.
+    """
+    packed = materialize(packed, "packed")
+    tasks = min(20_000, max(1, -(-packed.count() // per_task)))
+    return packed.repartition(tasks, *by)
+
+
+def weighted_deconvolve(rows: DataFrame, by: list[str], cfg: Config = Config(), per_task: int = PER_TASK) -> DataFrame:
     """Learned weights and proportions of every mixture of solver rows (see ``prepared``).
 
     by, proportions, initial_proportions, iterations, converged, change_history, genes,
     meta_weights, the weights' extremes and means, loss, error. A mixture that can't be
-    solved is a row with its error. Mixtures are dealt evenly to tasks, because
-    their iterations differ; nothing is exchanged inside the loop.
+    solved is a row with its error. About ``per_task`` mixtures make a task, and
+    nothing is exchanged inside the loop.
     """
-    packed = pack(rows, by)
-    packed = packed.repartition(partitions, *by) if partitions else packed.repartition(*by)
+    packed = dealt(pack(rows, by), by, per_task)
     vector = T.ArrayType(T.DoubleType())
     schema = T.StructType(
         [
@@ -79,19 +91,63 @@ def long_weights(results: DataFrame, by: list[str]) -> DataFrame:
     return results.where("error is null").select(*by, pairs).select(*by, F.col("z.genes").alias("gene"), F.col("z.meta_weights").alias("meta_weight"))
 
 
-def deconvolve_batch(signature: DataFrame, bulk: DataFrame, cfg: Config = Config(), keys: list[str] = KEYS) -> DataFrame:
-    """Every mixture by learned weights and by NNLS: (keys, mixture, method, proportions, iterations, converged, error)."""
+def usable_columns(signature: DataFrame, bulk: DataFrame, keys: list[str] = KEYS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(signature, bulk, genes, failed): what can be normalised, over genes of both tables, and (keys, mixture,
+    error) of mixtures that can't be, or whose tissue's signature can't. Failed rows are written once."""
     by = [*keys, "mixture"]
-    rows = materialize(prepared(signature, bulk, keys), "prepared")
-    learned = weighted_deconvolve(rows, by, cfg).select(
-        *by, F.lit("weighted").alias("method"), "proportions", "iterations", "converged", "error"
-    )
+    genes = materialize(shared_genes(bulk, signature, keys), "genes")
+    own = unusable(bulk, "mixture", genes, keys)
+    broken = unusable(signature, "cell_type", genes, keys).groupBy(*keys).agg(F.min("error").alias("broken"))
+    every = bulk.select(*by).distinct().join(own, by, "left").join(broken, keys, "left")
+    failed = every.select(*by, F.coalesce("broken", "error").alias("error"), F.col("broken").isNotNull().alias("whole"))
+    failed = materialize(failed.where("error is not null"), "failed")
+    whole = failed.where("whole").select(*keys).distinct()
+    return signature.join(whole, keys, "left_anti"), bulk.join(failed, by, "left_anti"), genes, failed.drop("whole")
+
+
+def _by_hierarchy(signature: DataFrame, bulk: DataFrame, tree: DataFrame, node_leaf: DataFrame, cfg: Config, genes: int, keys: list[str]) -> DataFrame:
+    """The leaves' masses as proportions, a row a mixture: local solves' iterations are added up, and all must converge."""
+    from .tree import hierarchical_deconvolve
+
+    by = [*keys, "mixture"]
+    nodes = materialize(hierarchical_deconvolve(signature, bulk, tree, node_leaf, cfg, genes, keys), "nodes")
+    leaves = nodes.where("is_leaf").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("node", "mass"))).alias("z"))
+    # each parent's solve once: its children repeat what it took
+    solves = nodes.groupBy(*by, "parent").agg(F.max("iterations").alias("i"), F.bool_and("converged").alias("c"), F.min("error").alias("e"))
+    solves = solves.groupBy(*by).agg(F.sum("i").cast("int").alias("iterations"), F.bool_and("c").alias("converged"), F.min("e").alias("error"))
+    shares = F.when(F.col("error").isNull(), F.col("z.mass"))
+    return leaves.join(solves, by).select(*by, shares.alias("proportions"), "iterations", "converged", "error")
+
+
+def deconvolve_batch(
+    signature: DataFrame,
+    bulk: DataFrame,
+    cfg: Config = Config(),
+    keys: list[str] = KEYS,
+    tree: DataFrame | None = None,
+    node_leaf: DataFrame | None = None,
+    genes: int = 150,
+) -> DataFrame:
+    """Every mixture by learned weights and by NNLS: (keys, mixture, method, proportions, iterations, converged, error).
+
+    With a hierarchy (``tree``, ``node_leaf``) the first method goes down it and is called
+    ``hierarchical``. A mixture that can't be normalised is a row with its error for each method, as is
+    every mixture of a tissue whose signature can't; the others aren't touched by it.
+    """
+    by = [*keys, "mixture"]
+    signature, bulk, shared, failed = usable_columns(signature, bulk, keys)
+    rows = materialize(prepared(signature, bulk, keys, genes=shared), "prepared")
+    if tree is None:
+        name, learned = "weighted", weighted_deconvolve(rows, by, cfg)
+    else:
+        name, learned = "hierarchical", _by_hierarchy(signature, bulk, tree, node_leaf, cfg, genes, keys)
+    none = lambda kind: F.lit(None).cast(kind)
+    learned = learned.select(*by, F.lit(name).alias("method"), "proportions", "iterations", "converged", "error")
     plain = nnls_solve(gram_stats(rows, by)).select(
-        *by,
-        F.lit("nnls").alias("method"),
-        F.col("x").alias("proportions"),
-        F.lit(None).cast("int").alias("iterations"),
-        F.lit(None).cast("boolean").alias("converged"),
-        F.lit(None).cast("string").alias("error"),
+        *by, F.lit("nnls").alias("method"), F.col("x").alias("proportions"), none("int").alias("iterations"),
+        none("boolean").alias("converged"), none("string").alias("error"),
+    )
+    left = failed.withColumn("method", F.explode(F.array(F.lit(name), F.lit("nnls")))).select(
+        *by, "method", none("array<double>").alias("proportions"), none("int").alias("iterations"), none("boolean").alias("converged"), "error"
     )
-    return learned.unionByName(plain)
+    return learned.unionByName(plain).unionByName(left)

@@ -28,8 +28,10 @@ def _number(lines: DataFrame) -> Column:
 
 
 def tissue_of(file: str = "file") -> Column:
-    """A file's folder names its tissue."""
-    return F.element_at(F.split(F.col(file), "/"), -2)
+    """A file's folder names its tissue, alone or as ``tissue=name`` (with Spark's own escapes)."""
+    plain = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    folder = plain(F.element_at(F.split(F.col(file), "/"), -2))
+    return F.when(folder.contains("="), plain(F.regexp_replace(folder, "^[^=]*=", ""))).otherwise(folder)
 
 
 def read_matrix_tsv(spark: SparkSession, path: str, row: str = "gene", column: str = "cell_type") -> DataFrame:
@@ -41,7 +43,7 @@ def read_matrix_tsv(spark: SparkSession, path: str, row: str = "gene", column: s
     """
     lines = _lines(spark, path)
     head = _header(lines).withColumn("names", F.split("header", "\t"))
-    body = lines.join(F.broadcast(head), "file").where(F.col("at") > F.col("first"))
+    body = lines.join(head, "file").where(F.col("at") > F.col("first"))
     body = body.withColumn(f"{row}_idx", _number(body) - 1).withColumn("fields", F.split("line", "\t"))
     extra = F.size("names") - F.size("fields") + 1
     names = F.when(extra > 0, F.slice("names", extra + 1, F.size("names"))).otherwise(F.col("names"))
@@ -53,6 +55,39 @@ def read_matrix_tsv(spark: SparkSession, path: str, row: str = "gene", column: s
     return cells.select("tissue", row, f"{row}_idx", F.get("names", F.col(f"{column}_idx")).alias(column), f"{column}_idx", value.alias("value"))
 
 
+def write_matrix_tsv(long: DataFrame, folder: str, row: str = "gene", column: str = "cell_type", value: str = "value") -> None:
+    """Long rows (tissue, row, column, value) as one matrix file a tissue, ``folder/tissue=name/part-*``, in the
+    layout that ``read_matrix_tsv`` reads: rows and columns by name, what is absent as 0.
+
+    The layout asks for one file a tissue, so a tissue is one task's, which holds one line at a time.
+    """
+    names = long.groupBy("tissue").agg(F.array_sort(F.collect_set(column)).alias("names"))
+    cells = long.groupBy("tissue", row).agg(F.map_from_entries(F.collect_list(F.struct(column, value))).alias("m"))
+    at = F.transform("names", lambda n: F.coalesce(F.try_element_at("m", n), F.lit(0.0)).cast("string"))
+    lines = cells.join(names, "tissue").select(
+        "tissue", F.lit(1).alias("part"), F.col(row).alias("key"), F.array_join(F.concat(F.array(F.col(row).cast("string")), at), "\t").alias("line")
+    )
+    key = cells.schema[row].dataType
+    head = names.select(
+        "tissue", F.lit(0).alias("part"), F.lit(None).cast(key).alias("key"), F.array_join(F.transform("names", lambda n: n.cast("string")), "\t").alias("line")
+    )
+    _write_lines(head.unionByName(lines), folder)
+
+
+def write_labels(long: DataFrame, folder: str, value: str, order: str) -> None:
+    """Rows (tissue, value) as one file of a column a tissue, in the order of ``order``, under a header."""
+    rows = long.select("tissue", F.lit(1).alias("part"), F.col(order).alias("key"), F.col(value).cast("string").alias("line"))
+    head = long.select("tissue").distinct().select(
+        "tissue", F.lit(0).alias("part"), F.lit(None).cast(long.schema[order].dataType).alias("key"), F.lit(value).alias("line")
+    )
+    _write_lines(head.unionByName(rows), folder)
+
+
+def _write_lines(lines: DataFrame, folder: str) -> None:
+    placed = lines.repartition("tissue").sortWithinPartitions("tissue", "part", "key")
+    placed.select("tissue", "line").write.partitionBy("tissue").option("maxRecordsPerFile", 0).text(folder)
+
+
 def read_labels(spark: SparkSession, path: str, name: str = "value", header: bool = True) -> DataFrame:
     """One-column files as (tissue, pos, name); places count from 0 after the header."""
     lines = _lines(spark, path)
@@ -72,12 +107,15 @@ def read_hierarchy_json(spark: SparkSession, path: str, cell_types: list[str] |
     """(edges, node_leaf) of hierarchy files: edges (tissue, node, parent, depth, child_pos, is_leaf,
     distance); node_leaf (tissue, node, leaf) for every node above or at a leaf.
 
-    A tree is a few dozen names, so files are walked on the driver. Names must be
+    A file's tissue is its name (``Fat_hierarchy.json``) or its folder's (``tissue=Fat``). A tree
+    is a few dozen names, so files are walked on the driver. Names must be
     unique, a leaf stands for one cell type, and with ``cell_types`` the leaves must be those.
     """
     edges, leaves = [], []
-    for r in spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("f")).collect():
-        tissue, names = r["f"].removesuffix(".json").removesuffix("_hierarchy"), set()
+    folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    tissue_ = F.when(folder.contains("="), tissue_of("_metadata.file_path")).otherwise(F.regexp_replace("_metadata.file_name", r"(_hierarchy)?\.json$", ""))
+    for r in spark.read.text(path, wholetext=True).select("value", tissue_.alias("tissue")).collect():
+        tissue, names = r["tissue"], set()
 
         def walk(node: dict, parent: str | None, depth: int, pos: int, tissue: str = tissue, names: set = names) -> list[str]:
             name, children = node["name"], node.get("children") or []

@@ -8,13 +8,24 @@ nation the subject and their market segment the tissue.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
+
 
 class Roles:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.written: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A step that a query reads several times: made and written the first time."""
+        if name not in self.written:
+            self.written[name] = materialize(make(), name)
+        return self.written[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -24,6 +35,14 @@ class Roles:
         part = self.table("part").select("p_partkey", "p_size")
         return self.table("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
 
+    def hierarchy(self) -> DataFrame:
+        """(tissue, json): each tissue's cell types under high and low, as hierarchy files state them"""
+        high = F.col("cell_type").isin(PRIORITIES[:2])
+        types = self.cells().select("tissue", "cell_type", F.when(high, "high").otherwise("low").alias("name")).distinct()
+        inner = types.groupBy("tissue", "name").agg(F.array_sort(F.collect_list(F.struct(F.col("cell_type").alias("name")))).alias("children"))
+        top = inner.groupBy("tissue").agg(F.array_sort(F.collect_list(F.struct("name", "children"))).alias("children"))
+        return top.select("tissue", F.to_json(F.struct(F.lit("root").alias("name"), "children")).alias("json"))
+
     def signature(self, tissue: str = "l_linestatus", cell_type: str = "l_returnflag") -> DataFrame:
         """(tissue, gene, cell_type, value)"""
         keys = [F.col(tissue).alias("tissue"), F.col("p_size").alias("gene"), F.col(cell_type).alias("cell_type")]
