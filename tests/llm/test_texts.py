@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -117,6 +119,9 @@ def test_main_text(spark):
     table = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "<br>"), (5, "<p>" * 5000 + "deep")], "page_id long, html string")
     got = {r.page_id: r.text for r in density.extract_main_text(table).collect()}
     assert got == {1: want, 2: "", 3: "", 4: "", 5: "deep"}
+    more = density.extract_main_text(table.selectExpr("*", "'x' AS text", "1 AS extract"))
+    assert more.columns == ["page_id", "html", "text", "extract"] and {r.text for r in more.collect()} == set(got.values())
+    assert density.extract_main_text(table.limit(0)).count() == 0
 
 
 def test_quotes_open_only_after_equals_signs():
@@ -128,6 +133,81 @@ def test_quotes_open_only_after_equals_signs():
         assert density.main_text(f"<html><body><div><p>{tag}{first}</b></p></div></body></html>") == first, tag
 
 
+def test_references_are_decoded_text_by_text():
+    page = "<html><body><div><p>A long enough line about &am<b>p;</b> and AT&amp;T, &lt;b&gt; &eacute;&nbsp;x &copy 1.</p></div></body></html>"
+    assert density.main_text(page) == "A long enough line about &amp; and AT&T, <b> é x © 1."
+    assert density.main_text("<div><p>a<!-- x --><b>b</b>c<p>d <i> e</i></div>") == "abc\nd e"
+
+
+def test_density_matches_a_direct_count():
+    rng = random.Random(9)
+
+    def make(depth):
+        tag = rng.choice(["div", "span", "section", "a", "em"])
+        own = ["x" * rng.randint(1, 40) for _ in range(rng.randint(0, 2))]
+        kids = [make(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []
+        items = own + kids
+        rng.shuffle(items)
+        return [tag, items]
+
+    def html(n):
+        return n if isinstance(n, str) else f"<{n[0]}>{''.join(map(html, n[1]))}</{n[0]}>"
+
+    def counts(n):
+        """characters, tags, characters and tags of links"""
+        sums = [0, 0, 0, 0]
+        for x in n[1]:
+            got = (len(x), 0, 0, 0) if isinstance(x, str) else counts(x)
+            sums = [a + b for a, b in zip(sums, got)]
+            sums[1] += not isinstance(x, str)
+        if n[0] == "a":
+            sums[2:] = [sums[0], sums[1] + 1]
+        return sums
+
+    def density_of(n, body):
+        c, t, lc, lt = counts(n)
+        if not c:
+            return 0.0
+        t = max(1, t)
+        log_base = math.log(c / max(1, c - lc) * lc + body[2] / max(1, body[0]) * c + math.e)
+        return c / t * max(0.0, math.log(max(1.0, c / max(1, lc) * t / max(1, lt)))) / max(1.0, math.log(log_base) if log_base > math.e else 1.0)
+
+    for _ in range(60):
+        tree = ["body", [make(3) for _ in range(rng.randint(1, 3))]]
+        root = density.parse(html(tree))
+        order = density._in_order(root)
+        density.score(order)
+        whole, pairs = counts(["html", [tree]]), [(tree, root.items[0])]
+        while pairs:
+            own, node = pairs.pop()
+            assert node.density == pytest.approx(density_of(own, whole))
+            kids = [x for x in own[1] if not isinstance(x, str)]
+            assert node.total == pytest.approx(sum(density_of(x, whole) for x in kids))
+            pairs += zip(kids, [x for x in node.items if not isinstance(x, str)])
+        assert max(n.total for n in order) == max(order, key=lambda n: n.total).total
+
+
+def test_articles_are_found_without_a_tag_that_says_so():
+    text = ["Title of it", "A first paragraph that says a lot about something, at some length.", "Short one.", "And a second paragraph with <b>more</b> words than that, so that it is long enough."]
+    body = f"<h1>{text[0]}</h1><p>{text[1]}</p><p>{text[2]}</p><p>{text[3]}</p>"
+    links = "".join(f"<li><a href=/{k}>Page number {k} of this site</a></li>" for k in range(12))
+    for inner in ("<article>%s</article>", "<div>%s</div>", "<section><div>%s</div></section>", "<table><tr><td>%s</td></tr></table>"):
+        page = f"<html><body><div><ul>{links}</ul></div><div class=cookie-notice>We use cookies, a lot of them, and you should know.</div>{inner % body}<div><ul>{links}</ul></div><footer>All rights are reserved by us, as ever.</footer></body></html>"
+        assert density.main_text(page) == "\n".join(text).replace("<b>", "").replace("</b>", "")
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a href="', "<b>", "</i>", "<b></div>", "<td>", "<tr><td>", "<title>", "<!-- ", "<", "&amp", "<li>", "<hr>", "<a b=\"x'>", "<ul><li>", "<table>"])
+def test_broken_pages_take_time_in_proportion(piece):
+    for before in ("", "<b>" * 6_000, "<ul><p>" + "<b>" * 6_000, "<div><td>" + "<b>" * 6_000):
+        for after in ("", "</div>" * 6_000, '"', ">"):
+            began = time.process_time()
+            density.main_text(before + piece * 6_000 + after)
+            assert time.process_time() - began < 2, (before[:5], after[:6])
+    began = time.process_time()
+    density.main_text("<a " * 350_000)
+    assert time.process_time() - began < 2
+
+
 def test_bpe_matches_the_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
     tokenizers = pytest.importorskip("public_tokenizers")
