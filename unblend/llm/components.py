@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
+from .spread import join_by_count
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node's larger neighbours move to the smallest of it and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+    moved = join_by_count(both.where("v > u"), least, ["u"], "k", 2 * n)
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node and its smaller neighbours move to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+    moved = join_by_count(edges, least, ["u"], "k", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -32,7 +34,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Nulls and links of an id with itself do nothing. Rounds grow with the
     logarithm of the longest path; what a round keeps never has more
-    rows than there are links. Only two numbers a round reach the driver.
+    rows than there are links. A node with very many links is joined apart from the others. Only two numbers a round reach the driver.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges, "links")
@@ -40,7 +42,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = materialize(_small_star(_large_star(edges)), "links")
+        edges = materialize(_large_star(edges, before[0]), "links")
+        edges = materialize(_small_star(edges, before[0]), "links")
         now = _mark(edges)
         if now == before:
             break

@@ -35,11 +35,16 @@ from pyspark.sql import Window
 
 from .components import components
 from .shared import fresh, materialize
+from .spread import join_by_count, join_salted
 
 #: Odd multipliers that mix 64-bit hashes (fixed values).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
+#: Members under one shingle that a task compares at a time, on either side.
+CELL = 512
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles of ``width`` words.
 
@@ -141,9 +146,11 @@ def _linked(width: int, percent: int):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity."""
+    """The pairs (a, b) whose full sets have the similarity. A document in very many pairs is several tasks' work."""
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    n = pairs.count()
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    full = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    full = join_salted(join_salted(pairs, side("b"), "b", F.xxhash64("a"), n), side("a"), "a", F.xxhash64("b"), n)
     return full.where(_linked(width, percent)("text_a", "text_b")).select("a", "b")
 
 
@@ -158,8 +165,10 @@ def unseen_pairs(members: DataFrame, found: DataFrame, texts: DataFrame, width:
     members: (key, id, n) of buckets with more than one member; found: (id, component).
     """
     placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    active = placed.join(mixed, "key", "left_semi").select("id", "component").distinct()
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("k"))
+    mixed = materialize(mixed.where("x <> y").select("key", "k"), "mixed-buckets")
+    active = join_by_count(placed, mixed, ["key"], "k", placed.count()).select("id", "component").distinct()
 
     @F.pandas_udf("array<long>")
     def tokens(text: pd.Series) -> pd.Series:
@@ -170,10 +179,11 @@ def unseen_pairs(members: DataFrame, found: DataFrame, texts: DataFrame, width:
         sets.select("id", "component", F.size("set").alias("n"), F.explode("set").alias("token")), "prefix-tokens"
     )
     common = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = materialize(common.withColumn("k", F.col("df")), "prefix-counts")
     order = Window.partitionBy("id").orderBy("df", "token")
     whole = Window.partitionBy("id")
     # shingles of one document only come first and match nothing: they are counted, not listed
-    ranked = each.join(common, "token").select(
+    ranked = join_by_count(each, common, ["token"], "k", each.count()).select(
         "id",
         "component",
         "token",
@@ -183,18 +193,23 @@ def unseen_pairs(members: DataFrame, found: DataFrame, texts: DataFrame, width:
     need = F.ceil(F.col("n") * percent / F.lit(100.0))
     prefix = materialize(ranked.where(F.col("pos") <= F.col("n") - need), "prefix")
     per = prefix.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-    most = per.groupBy("token").agg(F.max(F.struct("k", "component")).alias("most"), F.count(F.lit(1)).alias("c"))
-    most = most.where("c > 1").select("token", F.col("most.component").alias("major"))
-    here = prefix.join(most, "token")
-    left = here.where("component <> major").select(
-        "token", *[F.col(c).alias(f"{c}_1") for c in ("id", "n", "pos", "component")]
+    most = per.groupBy("token").agg(F.max(F.struct("k", "component")).alias("most"), F.count(F.lit(1)).alias("c"), F.sum("k").alias("k"))
+    most = most.where("c > 1").select(
+        "token", F.col("most.component").alias("major"), F.col("k").alias("all"), (F.col("k") - F.col("most.k")).alias("minor"), "k"
     )
-    right = here.select("token", "major", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "pos", "component")])
+    here = join_by_count(prefix, materialize(most, "prefix-shared"), ["token"], "k", prefix.count())
+    # a shingle's members are dealt to a grid of cells, each with a part of either side
+    sides = [F.ceil(F.col(c) / CELL).cast("int") for c in ("minor", "all")]
+    own = [F.pmod(F.xxhash64("id"), n).cast("int") for n in sides]
+    every = [F.explode(F.sequence(F.lit(0), n - 1)) for n in sides]
+    named = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "pos", "component")]
+    left = here.where("component <> major").select("token", own[0].alias("row"), every[1].alias("col"), *named(1))
+    right = here.select("token", every[0].alias("row"), own[1].alias("col"), "major", *named(2))
     room = 1 + F.least(F.col("n_1") - F.col("pos_1") - 1, F.col("n_2") - F.col("pos_2") - 1)
     total = F.col("n_1") + F.col("n_2")
     both = left.join(
         right,
-        (left["token"] == right["token"])
+        (left["token"] == right["token"]) & (left["row"] == right["row"]) & (left["col"] == right["col"])
         & (F.col("component_1") != F.col("component_2"))
         & ((F.col("component_2") == F.col("major")) | (F.col("id_1") < F.col("id_2")))
         & _fit(F.col("n_1"), F.col("n_2"), percent)
@@ -227,12 +242,14 @@ def near_duplicates(
     signed = materialize(sign(own, width, bands, rows, seed), "signatures")
     usable = signed.where("id is not null and n > 0")
     classes = usable.groupBy("same", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    marked = usable.join(classes.where("size > 1").drop("size"), ["same", "n"], "left")
-    marked = marked.withColumn("rep", F.coalesce("rep", "id"))
+    classes = materialize(classes.where("size > 1"), "classes")
+    total = signed.count()
+    marked = join_by_count(usable, classes, ["same", "n"], "size", total, "left")
+    marked = materialize(marked.withColumn("rep", F.coalesce("rep", "id")).drop("same"), "marked")
     buckets = marked.where("id = rep").select("id", "n", F.explode("keys").alias("key"))
-    pivots = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.max("id").alias("last"))
-    pivots = pivots.where("pivot.id <> last").select("key", "pivot")
-    members = materialize(buckets.join(pivots, "key"), "buckets")
+    pivots = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.max("id").alias("last"), F.count(F.lit(1)).alias("k"))
+    pivots = materialize(pivots.where("pivot.id <> last").select("key", "pivot", "k"), "pivots")
+    members = materialize(join_by_count(buckets, pivots, ["key"], "k", total), "buckets")
     texts = own.join(members.select("id").distinct(), "id")
     texts = materialize(texts, "bucket-texts")
     stars = members.where((F.col("id") != F.col("pivot.id")) & _fit(F.col("n"), F.col("pivot.n"), percent))
