@@ -31,6 +31,38 @@ def unescape(text: Column) -> Column:
     return text
 
 
+#: Entries that a running sum copies at a time, and lengths in code points to which a text is cut.
+FEW, LONG, SHORT = 64, 1 << 20, 1 << 13
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _cut(text: Column, size: int) -> Column:
+    """A text in parts of ``size`` code points, the last one shorter; an empty text is one part."""
+    last = F.greatest(F.lit(0), ((F.length(text) - 1) / size).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.substr(text, k * size + 1, F.lit(size)))
+
+
+def _scan(xs: Column) -> Column:
+    """What lies before each entry, summed. Every step copies the sums so far, so ``xs`` should be short."""
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(xs, start, lambda a, x: F.struct((a["n"] + x).alias("n"), F.concat(a["out"], F.array(a["n"])).alias("out")), lambda a: a["out"])
+
+
+def _starts(sizes: Column, levels: int = 2) -> Column:
+    """What lies before each entry of any number of entries, summed: within groups of ``FEW``, and over the groups' sums alike."""
+    if not levels:
+        return _scan(sizes)
+    last = F.greatest(F.lit(0), ((F.size(sizes) - 1) / FEW).cast("int"))
+    groups = lambda xs: F.transform(F.sequence(F.lit(0), last), lambda g: F.slice(xs, g * FEW + 1, F.lit(FEW)))
+    total = lambda g: F.aggregate(g, F.lit(0), lambda n, x: n + x)
+    own = lambda gs, before: F.flatten(F.transform(gs, lambda g, i: F.transform(_scan(g), lambda v: v + F.get(before, i))))
+    return _let(_let(sizes, groups), lambda gs: _let(_let(F.transform(gs, total), lambda t: _starts(t, levels - 1)), lambda b: own(gs, b)))
+
+
 def format_chats(
     turns: DataFrame,
     conv_col: str = "conv_id",
@@ -67,23 +99,18 @@ def format_chats(
         )
 
     pieces = chats.select("conv", F.transform("t", piece).alias("p"))
-    written = pieces.select(
-        "conv",
-        "p",
-        F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], x["tail"])), "").alias("formatted"),
+    written = F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], x["tail"])), "")
+    size = F.transform("p", lambda x: F.length(x["head"]) + F.length(x["body"]) + F.length(x["tail"]))
+    mark = lambda starts: F.filter(
+        F.transform(
+            "p",
+            lambda x, i: F.when(
+                x["trained"], F.struct((F.get(starts, i) + F.length(x["head"])).alias("start"), F.length(x["body"]).alias("length"))
+            ),
+        ),
+        lambda x: x.isNotNull(),
     )
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def walk(acc: Column, x: Column) -> Column:
-        begin, size = acc["at"] + F.length(x["head"]), F.length(x["body"])
-        span = F.array(F.struct(begin.alias("start"), size.alias("length")))
-        return F.struct(
-            (begin + size + F.length(x["tail"])).alias("at"),
-            F.when(x["trained"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    spans = F.aggregate("p", start, walk, lambda acc: acc["spans"])
-    return written.select(F.col("conv").alias(conv_col), "formatted", spans.alias("loss_spans"))
+    return pieces.select(F.col("conv").alias(conv_col), written.alias("formatted"), _let(_starts(size), mark).alias("loss_spans"))
 
 
 def read_chats(chats: DataFrame, text_col: str = "formatted") -> DataFrame:
@@ -100,10 +127,21 @@ def read_chats(chats: DataFrame, text_col: str = "formatted") -> DataFrame:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(
-        F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"]))), ""
-    )
+    """All text under the loss mask, unescaped, nothing between.
+
+    Counting code points from the start of a long text for each span would be quadratic, so the
+    text is cut into short parts first, and each span is taken from those that it lies in."""
+    parts = F.flatten(F.transform(_cut(formatted, LONG), lambda x: _cut(x, SHORT)))
+
+    def taken(parts: Column, s: Column) -> Column:
+        start, end = s["start"], s["start"] + s["length"]
+        at = F.sequence((start / SHORT).cast("int"), ((end - 1) / SHORT).cast("int"))
+        part = lambda k: F.substr(
+            F.get(parts, k), F.greatest(start - k * SHORT, F.lit(0)) + 1, F.least(end - k * SHORT, F.lit(SHORT)) - F.greatest(start - k * SHORT, F.lit(0))
+        )
+        return F.when(s["length"] > 0, unescape(F.array_join(F.transform(at, part), ""))).otherwise("")
+
+    return F.array_join(_let(parts, lambda c: F.transform(spans, lambda s: taken(c, s))), "")
 
 
 __all__ = ["escape", "unescape", "format_chats", "read_chats", "loss_text"]

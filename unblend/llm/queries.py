@@ -52,9 +52,7 @@ MARKED = r"\### Assistant: </turn> ok"
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame(
-        [(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string"
-    )
+    own = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', r'{MARKED}'), (-7L, 1L, 'assistant', r'{MARKED}') AS t(conv_id, turn, role, text)")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     chats = chat.format_chats(turns)
     read = chat.read_chats(chats)
