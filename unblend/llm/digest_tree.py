@@ -1,10 +1,11 @@
 """Exact deduplication: a tree merge of sorted digest runs.
 
 Every row's text becomes a digest. Rows are dealt to ``fan_in ** rounds`` runs
-by a hash of their id, so the copies of one text, however many, start out spread
+by a hash of their id and place, so the copies of one text, however many, start out spread
 over all runs. In each round the runs whose numbers differ in one digit (to the
 base ``fan_in``) exchange entries: an entry goes to the run whose digit there
-is the digest's own, and what arrives is merged, digest by digest, into one run.
+is the digest's own. A run is one partition's, sorted by digest; what arrives is merged in that
+order, digest by digest, into one sorted run, and written.
 After the last round each digest is in the one run that its digits name. A
 digest has at most one entry in a run, so no merge sees more than ``fan_in``
 entries of it, and a text that a third of all rows share costs no more than any
@@ -14,6 +15,8 @@ meets at most ``fan_in`` runs at a time, until rows find theirs by (run, digest)
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +34,11 @@ def _next_run(round_: int, fan_in: int) -> Column:
     return (F.col("run") + (goal - digit(F.col("run"))) * step).cast("int")
 
 
-def digest_entries(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
-    """One entry a row: its run, the facts of its text and ``row``, the pair of its
+def digest_entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One entry a row: the facts of its text and ``row``, the pair of its
     id and a number that tells repeated rows apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(runs)).cast("int").alias("run"),
         F.unhex(F.sha2(text, 256)).alias("sha"),
         F.octet_length(text).alias("bytes"),
         F.xxhash64(text).alias("check"),
@@ -48,16 +50,13 @@ def merge_levels(entries: DataFrame, keep: str, fan_in: int, rounds: int) -> lis
     """The runs after each round, from the rows' own runs (level 0) to the merged
     ones: a row per (run, digest) with the row that stays and the group's size."""
     pick = {"smallest": F.min, "largest": F.max}[keep]
-    level = entries.groupBy("run", *KEY).agg(pick("row").alias("row"), F.count(F.lit(1)).alias("n"))
-    levels = [materialize(level, "run-level")]
+    # dealt by run alone: grouping by (run, digest) then needs no further exchange, and goes through a sorted run in order
+    merged = lambda rows, n: (
+        rows.repartition("run").sortWithinPartitions("run", *KEY).groupBy("run", *KEY).agg(pick("row").alias("row"), n.alias("n"))
+    )
+    levels = [materialize(merged(entries, F.count(F.lit(1))), "run-level")]
     for r in range(rounds):
-        level = (
-            levels[-1]
-            .withColumn("run", _next_run(r, fan_in))
-            .groupBy("run", *KEY)
-            .agg(pick("row").alias("row"), F.sum("n").alias("n"))
-        )
-        levels.append(materialize(level, "run-level"))
+        levels.append(materialize(merged(levels[-1].withColumn("run", _next_run(r, fan_in)), F.sum("n")), "run-level"))
     return levels
 
 
@@ -67,7 +66,8 @@ def exact_dedup(
     text_col: str = "text",
     keep: str = "smallest",
     fan_in: int = 16,
-    rounds: int = 2,
+    rounds: int | None = None,
+    rows_per_run: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256.
 
@@ -76,9 +76,14 @@ def exact_dedup(
     (``keep="largest"``: largest) id stays, where a null id is smaller than
     all others; of rows that repeat both id and text one stays. Columns other
     than the two named are ignored, whatever their names. An empty table
-    gives no rows. Texts of any length are read whole.
+    gives no rows. Texts of any length are read whole. Unless ``rounds`` is given, there are as many (2 at
+    least) as leave about ``rows_per_run`` rows to a run.
     """
-    entries = materialize(digest_entries(docs, id_col, text_col, fan_in**rounds), "digests")
+    entries = materialize(digest_entries(docs, id_col, text_col), "digests")
+    if rounds is None:
+        rounds = max(2, math.ceil(math.log(max(1, entries.count() / rows_per_run), fan_in)))
+    run = F.pmod(F.xxhash64("row.id", "row.no"), F.lit(fan_in**rounds)).cast("int")
+    entries = entries.withColumn("run", run)
     levels = merge_levels(entries, keep, fan_in, rounds)
     answer = levels[-1].where("n > 1").select("run", *KEY, F.col("row").alias("keep"), F.col("n").alias("size"))
     for r in reversed(range(rounds)):
