@@ -72,7 +72,7 @@ def plain_targets(sizes, share=1.5, cap=2.0, weights=(5, 2, 1)):
 
 
 def test_mix(spark, some):
-    got = mixing.mix(docs(spark, some), rows_per_bucket=40).collect()
+    got = mixing.mix(docs(spark, some), buckets=14).collect()
     assert len(got) == len(some)
     size = lambda t: len((t or "").split())
     totals = {}
@@ -89,7 +89,7 @@ def test_mix(spark, some):
         longest[s] = max(longest.get(s, 0), r.size)
     for s in totals:
         assert abs(taken[s] - want[s]) <= longest[s]
-    again = mixing.mix(docs(spark, some[::-1]), rows_per_bucket=40).collect()
+    again = mixing.mix(docs(spark, some[::-1]), buckets=14).collect()
     key = lambda r: (r.doc_id, r.size, r.taken)
     assert sorted(map(key, again)) == sorted(map(key, got))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,14 +56,14 @@ def mix(
     max_epochs: float = 2.0,
     weights: tuple[int, ...] = WEIGHTS,
     seed: int = 0,
-    rows_per_bucket: int = 50_000,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per input row: ``id_col``, size, source_size, target, taken and, for
     callers that need the row again, ``copies`` (times that the mix has it).
 
-    A document's key is a hash of its id; equal-width ranges of the keys, about
-    ``rows_per_bucket`` rows each, cut every source into sorted buckets, so a
-    source with a third of all rows is many tasks' work. Bucket totals are
+    A document's key is a hash of its id and text; equal-width ranges of the keys, by default about as
+    many as a range has rows, cut every source into sorted ``buckets``, so a
+    source with a third of all rows is many tasks' work, and so are rows without an id. Bucket totals are
     summed along each source, and windows inside a bucket give each document the
     number of words before it. A source takes whole passes while its target holds
     them, then documents in key order up to the target, the last one only if that
@@ -70,10 +72,10 @@ def mix(
 
     Null texts have size 0 and are taken in whole passes only; a null
     source is a source of its own, the last in order. Rows that repeat an id are
-    separate rows with equal keys. Other columns are ignored. An empty table gives
-    no rows. Reruns agree: keys depend on ids and ``seed`` alone.
+    separate rows, with equal keys if they repeat the text too. Other columns are ignored. An empty table gives
+    no rows. Reruns agree: keys depend on ids, texts and ``seed`` alone.
     """
-    plan = _planned(docs, id_col, text_col, source_col, share, max_epochs, weights, seed, rows_per_bucket)
+    plan = _planned(docs, id_col, text_col, source_col, share, max_epochs, weights, seed, buckets)
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return plan.select(F.col("id").alias(id_col), "size", "source_size", "target", taken, "copies")
 
@@ -87,7 +89,7 @@ def _planned(
     max_epochs: float = 2.0,
     weights: tuple[int, ...] = WEIGHTS,
     seed: int = 0,
-    rows_per_bucket: int = 50_000,
+    buckets: int | None = None,
 ) -> DataFrame:
     """A row per input row: id, source, size, source_size, target and copies."""
     sizes = materialize(
@@ -95,12 +97,12 @@ def _planned(
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("key"),
+            F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("key"),
         ),
         "mix-sizes",
     )
     targets = materialize(source_targets(sizes, share, max_epochs, weights), "mix-targets")
-    buckets = max(1, -(-sizes.count() // rows_per_bucket))
+    buckets = buckets or max(1, math.isqrt(sizes.count()))
     width = 2.0**64 / buckets
     bucket = F.least(F.floor((F.col("key").cast("double") + 2.0**63) / width), F.lit(buckets - 1)).cast("int")
     rows = sizes.withColumn("bucket", bucket)
