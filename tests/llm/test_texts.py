@@ -73,6 +73,42 @@ def test_rules_tell_bad_from_good(spark):
     assert rules.quality_rules(docs.limit(0), known).count() == 0
 
 
+def test_a_rule_is_what_a_search_finds(spark):
+    """One rule grown and pruned by plain loops over the same rows and cut points."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(600):
+        x, y, z = (round(rng.random(), 2) for _ in range(3))
+        rows.append((i, x, y, z, int(x >= 0.7 and y < 0.4 if i % 50 else rng.random() < 0.5)))
+    table = spark.createDataFrame(rows, "id long, x double, y double, z double, bad int")
+    names = ["x", "y", "z"]
+    got = rules.learn_rules(table, {c: rules.F.col(c) for c in names}, rules.F.col("bad"), rules.F.col("id"), thresholds=10, max_rules=1, max_conditions=3, min_precision=0.5)
+    held = {r.id for r in table.where("pmod(xxhash64(id), 3) = 0").collect()}
+    points = [k / 10 for k in range(1, 10)]
+    cuts = {c: sorted({v for b in (0, 1) for v in table.where(f"bad = {b}").selectExpr(f"percentile_approx({c}, array({','.join(map(str, points))}), 1000) AS q").first().q}) for c in names}
+    holds = lambda r, rule: all((r[1 + names.index(c)] >= t) == above for c, above, t in rule)
+    rule = []
+    while len(rule) < 3:
+        part = [r for r in rows if r[0] not in held and holds(r, rule)]
+        p0, n0 = sum(r[4] for r in part), sum(1 - r[4] for r in part)
+        best = None
+        for c in names:
+            for t in cuts[c]:
+                for above in (False, True):
+                    p, n = (sum(f(r[4]) for r in part if holds(r, [(c, above, t)])) for f in (int, lambda b: 1 - b))
+                    gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else -1
+                    if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                        best = (gain, (c, above, t))
+        if best is None or not n0:
+            break
+        rule.append(best[1])
+    def worth(k):
+        own = [r[4] for r in rows if r[0] in held and holds(r, rule[:k])]
+        return (2 * sum(own) - len(own)) / max(1, len(own))
+    size = max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))
+    assert [(c.feature, c.above, c.threshold) for c in got.rules[0]] == rule[:size] and size >= 2
+
+
 def test_archive_round_trip(spark, tmp_path):
     big, other = "<p>" + "x" * 1500 + "</p>", "é" * 700
     pages = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, big), (4, "http://a b/\n", other), (5, "u", other), (6, "u", "small"),
@@ -248,6 +284,40 @@ def test_weak_labels_need_no_labels(spark):
     assert weak.classify_quality(docs.limit(0)).count() == 0
 
 
+def test_label_model_matches_a_loop_over_documents():
+    rng = random.Random(12)
+    n, shares, own = 4, [0.8, 0.08, 0.06, 0.04, 0.02], [0.95, 0.8, 0.9, 0.85]
+    docs = []
+    for _ in range(3000):
+        kind = rng.choices(range(5), shares)[0]
+        rate = [own[j] if kind == j + 1 else 0.4 if (kind, j) == (2, 0) else 0.002 for j in range(n)]
+        docs.append((kind, tuple(0 if rng.random() < 0.1 else -1 if rng.random() < r else 1 for r in rate)))
+    patterns = Counter(v for _, v in docs)
+    votes, counts = weak.np.array(list(patterns)), weak.np.array(list(patterns.values()), float)
+    start = [[0.003] * n] + [[0.9 if j == k else 0.01 for j in range(n)] for k in range(n)]
+    pi, rates = [0.9] + [0.1 / n] * n, [list(r) for r in start]
+    for _ in range(15):
+        mass, bad, all_ = [0.0] * 5, [[0.0] * n for _ in range(5)], [[0.0] * n for _ in range(5)]
+        for _, v in docs:
+            p = [pi[k] * math.prod(rates[k][j] if v[j] == -1 else 1 - rates[k][j] if v[j] == 1 else 1 for j in range(n)) for k in range(5)]
+            for k in range(5):
+                w = p[k] / sum(p)
+                mass[k] += w
+                for j in range(n):
+                    bad[k][j] += w * (v[j] == -1)
+                    all_[k][j] += w * (v[j] != 0)
+        pi = [(m + 1) / (len(docs) + 5) for m in mass]
+        rates = [[(bad[k][j] + 10 * start[k][j]) / (all_[k][j] + 10) for j in range(n)] for k in range(5)]
+    model = weak.fit_label_model(votes, counts, rounds=15)
+    assert model.shares == pytest.approx(pi) and model.bad_vote == pytest.approx(weak.np.array(rates))
+    model = weak.fit_label_model(votes, counts)
+    assert model.shares[0] == pytest.approx(0.8, abs=0.02)
+    true = weak.LabelModel(weak.np.array(shares), weak.np.array([[own[j] if k == j + 1 else 0.4 if (k, j) == (2, 0) else 0.002 for j in range(n)] for k in range(5)]))
+    every, good = weak.np.array([v for _, v in docs]), weak.np.array([k == 0 for k, _ in docs])
+    right = [((m.posterior(every) >= 0.5) == good).mean() for m in (model, true)]
+    assert right[0] >= right[1] - 0.003  # as good as knowing the rates that made the votes
+
+
 def test_every_token_shape_counts(spark):
     shapes = ["".join(t) for n in range(1, 6) for t in itertools.product("a0-+", repeat=n) if not re.search("aa|00", "".join(t))]
     _, k, v = weak.describe(" ".join(shapes), 1 << 14)
@@ -281,3 +351,49 @@ def test_chain_finds_held_out_toxic_texts(spark):
     assert sum(got[i].flagged == bool(t) for i, _, t in held) >= 0.97 * len(held)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert not any(r.flagged for r in toxicity.classify_toxicity(docs, none).collect())
+    assert toxicity.classify_toxicity(docs.limit(0), known).count() == 0
+    clash = docs.selectExpr("*", "1 AS label_id", "2 AS y_0", "3 AS h")
+    assert {r.doc_id: r.flagged for r in toxicity.classify_toxicity(clash, known).collect()} == {i: r.flagged for i, r in got.items()}
+
+
+def test_a_chain_link_is_a_least_loss():
+    """A link's weights against the penalised loss worked out directly, and out-of-fold inputs of the next one."""
+    np, rng = toxicity.np, random.Random(13)
+    words = [rng.sample(range(30), 6) + ([77] if k % 4 == 0 else []) for k in range(200)]
+    hashes = [np.array(w, np.uint32) for w in words]
+    target = np.array([float(k % 4 == 0 and k % 20 > 0) for k in range(200)])
+    before = np.array([[rng.random()] for _ in range(200)])
+    link = toxicity.fit_link(hashes, before, target, 5, 2.0)
+    rate, n = target.mean(), len(target)
+    want = set()
+    for w in {x for ws in words for x in ws}:
+        has = [k for k in range(n) if w in words[k]]
+        z = (sum(target[k] for k in has) - len(has) * rate) / math.sqrt(max(len(has) * rate * (1 - rate) * (1 - len(has) / n), 1e-9))
+        want |= {w} if len(has) >= 5 and abs(z) >= 2.0 else set()
+    assert set(link.words) == want and 77 in want
+    order = sorted(want)
+    x = np.array([[float(w in ws) for w in order] for ws in words])
+    x = np.column_stack([x, before])
+    scale = np.sqrt((x**2).mean(0))
+    def loss(v, b):
+        m = x @ v + b
+        return (np.logaddexp(0, m) - target * m).mean() + 0.25 / n * ((v * scale) ** 2).sum()
+    w = np.r_[[link.words[k] for k in order], link.earlier]
+    base = loss(w, link.bias)
+    for k in range(len(w) + 1):
+        for step in (-0.05, 0.05):
+            v, b = w.copy(), link.bias
+            if k < len(w):
+                v[k] += step / scale[k]
+            else:
+                b += step
+            assert loss(v, b) > base - 1e-6
+    folds = np.arange(200) % 3
+    first = np.zeros(200)
+    for f in range(3):
+        rest = np.flatnonzero(folds != f)
+        part = toxicity.fit_link([hashes[i] for i in rest], np.zeros((len(rest), 0)), target[rest], 5, 4.0)
+        first[folds == f] = part.predict([h for h, g in zip(hashes, folds) if g == f], np.zeros(((folds == f).sum(), 0)))
+    chain = toxicity.fit_chain(hashes, np.column_stack([target, target]), folds)
+    second = toxicity.fit_link(hashes, first[:, None], target, 5, 4.0)
+    assert chain[1].earlier == pytest.approx(second.earlier) and chain[1].bias == pytest.approx(second.bias)

@@ -74,8 +74,6 @@ def _share(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
 
 
-
-
 def features() -> dict[str, Column]:
     """What the learned conditions look at, each a share or a mean."""
     return {
@@ -149,7 +147,9 @@ def learn_rules(
     All rows of ``labelled`` count; rows where ``bad`` is null are left out. A third
     of the rows, picked by a hash of ``split_by``, prunes. A rule stays
     if at least ``min_precision`` of what it covers in either part is bad and it
-    covers ``min_covered`` bad rows; the first that fails ends the list. Without
+    covers ``min_covered`` bad rows; the first that fails ends the list. ``max_rules`` and
+    ``max_conditions`` bound what a reader has to understand, and with it the number of passes; they
+    bound no rows. ``thresholds`` quantiles of each feature and class are the cut points. Without
     labels, or without bad rows, the list is empty.
     """
     names = list(columns)

@@ -61,8 +61,8 @@ class Link:
         return sigmoid(z)
 
 
-def _pick(rows: np.ndarray, hashes: np.ndarray, target: np.ndarray, min_docs: int, min_z: float, most: int) -> np.ndarray:
-    """Hashes whose documents differ from the rest in the target, the clearest first."""
+def _pick(rows: np.ndarray, hashes: np.ndarray, target: np.ndarray, min_docs: int, min_z: float) -> np.ndarray:
+    """Hashes of at least ``min_docs`` documents that differ from the rest in the target by ``min_z`` deviations, in order."""
     names, at = np.unique(hashes, return_inverse=True)
     docs = np.bincount(at, minlength=len(names))
     hits = np.bincount(at, target[rows], len(names))
@@ -70,17 +70,17 @@ def _pick(rows: np.ndarray, hashes: np.ndarray, target: np.ndarray, min_docs: in
     rate = p / n
     z = (hits - docs * rate) / np.sqrt(np.maximum(docs * rate * (1 - rate) * (1 - docs / n), 1e-9))
     good = np.flatnonzero((docs >= min_docs) & (np.abs(z) >= min_z))
-    return names[good[np.argsort(-np.abs(z[good]), kind="stable")][:most]]
+    return names[good]
 
 
-def fit_link(hashes: list[np.ndarray], before: np.ndarray, target: np.ndarray, min_docs: int, min_z: float, most: int) -> Link:
+def fit_link(hashes: list[np.ndarray], before: np.ndarray, target: np.ndarray, min_docs: int, min_z: float) -> Link:
     """A linear model of one category; constant where only one class occurs."""
     if not len(target) or target.min() == target.max():
         rate = np.clip(target.mean() if len(target) else 0.0, 1e-4, 1 - 1e-4)
         return Link({}, np.zeros(before.shape[1]), float(np.log(rate / (1 - rate))))
     rows = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
     flat = np.concatenate(hashes)
-    names = np.sort(_pick(rows, flat, target, min_docs, min_z, most))
+    names = _pick(rows, flat, target, min_docs, min_z)
     at = np.searchsorted(names, flat) if len(names) else np.zeros(0, int)
     hit = np.zeros(len(flat), bool)
     if len(names):
@@ -100,20 +100,20 @@ def fit_chain(
     folds: np.ndarray,
     min_docs: int = 5,
     min_z: float = 4.0,
-    most: int = 4096,
 ) -> list[Link]:
-    """A link for each column of ``targets``, in order; ``folds`` numbers each row's fold."""
+    """A link for each column of ``targets``, in order; ``folds`` numbers each row's fold. A link
+    takes every word that passes the test of ``_pick``, so its size is bounded by the sample's words alone."""
     before = np.zeros((len(hashes), 0))
     chain = []
     for k in range(targets.shape[1]):
         y = targets[:, k].astype(float)
-        chain.append(fit_link(hashes, before, y, min_docs, min_z, most))
+        chain.append(fit_link(hashes, before, y, min_docs, min_z))
         if k + 1 == targets.shape[1]:
             break
         out = np.zeros(len(hashes))
         for f in np.unique(folds):
             rest, held = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
-            part = fit_link([hashes[i] for i in rest], before[rest], y[rest], min_docs, min_z, most)
+            part = fit_link([hashes[i] for i in rest], before[rest], y[rest], min_docs, min_z)
             out[held] = part.predict([hashes[i] for i in held], before[held])
         before = np.column_stack([before, out])
     return chain
@@ -164,7 +164,8 @@ def classify_toxicity(
 
     Whole texts are scored. Null and empty texts have no words: their probabilities
     come from the models' constants. Without labels every probability is near 0.
-    Repeated rows are scored each; other columns are ignored.
+    Repeated rows are scored each; other columns are ignored. An empty table gives no rows. Models are fitted
+    on at most ``max_sample`` labelled rows, with every word of theirs that tells a category apart.
     """
     names = categories() if names is None else names
     chain = train(docs, labels, id_col, text_col, names, max_sample, n_folds)

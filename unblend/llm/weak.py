@@ -1,8 +1,11 @@
 """A quality classifier from weak labels.
 
 Overlapping heuristics vote good, bad or nothing on every document. Expectation
-maximisation over the counts of vote patterns estimates how often each votes
-what on good and on bad documents, without any given label. The posterior of a
+maximisation over the counts of vote patterns estimates, without any given label, what share of
+documents is good and how often each labeller is right. Labellers depend on each
+other, as each knows one kind of defect and calls documents with another one good; so a
+document is good or has one of as many kinds of defect as there are labellers, and each labeller
+has its own rates on every kind: those that notice the same defect overlap there. The posterior of a
 document's pattern is its soft label; a linear scorer on hashed token
 shapes learns from a bounded sample of those and then scores every document.
 """
@@ -26,9 +29,8 @@ from .linear import fit_logistic, sigmoid
 from .shared import bounded_sample, materialize
 
 GOOD, BAD, NONE = 1, -1, 0
-#: Weight of a good vote. It only says that one kind of defect is absent, which all
-#: labellers but one or two say of any bad document, so good votes don't add up in full.
-GOOD_VOTE = 0.25
+#: Where estimation starts: a labeller's rate of bad votes on its own kind of defect, on other kinds and on good documents.
+OWN, OTHER, FALSE = 0.9, 0.01, 0.003
 LABELLERS = ("symbols", "capitals", "top_word", "marks", "bare_tokens", "sentences", "line_copies", "neighbours")
 
 # Classes of bytes (fixed values): letters to a or A (bytes beyond ASCII count as letters), digits to 0.
@@ -90,38 +92,39 @@ def describe(text: str | None, dims: int) -> tuple[list[int], list[int], list[fl
 
 @dataclass(frozen=True)
 class LabelModel:
-    """prior: share of good documents; bad_vote[labeller, class]: how often a
-    labeller that votes on a document of the class (0 bad, 1 good) calls it bad."""
+    """shares[kind]: of good documents (kind 0) and of each kind of defect; bad_vote[kind, labeller]: how
+    often a labeller that votes on a document of the kind calls it bad."""
 
-    prior: float
+    shares: np.ndarray
     bad_vote: np.ndarray
 
+    def kinds(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of each kind for documents with these votes. Not voting says nothing."""
+        z = np.log(self.shares) + (votes == BAD) @ np.log(self.bad_vote).T + (votes == GOOD) @ np.log1p(-self.bad_vote).T
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability that documents with these votes are good. Not voting says nothing."""
-        for_bad = np.log(self.bad_vote[:, 1]) - np.log(self.bad_vote[:, 0])
-        for_good = np.log1p(-self.bad_vote[:, 1]) - np.log1p(-self.bad_vote[:, 0])
-        odds = (votes == BAD) @ for_bad + GOOD_VOTE * ((votes == GOOD) @ for_good)
-        return sigmoid(odds + np.log(self.prior) - np.log1p(-self.prior))
+        """Probability that documents with these votes are good."""
+        return self.kinds(votes)[:, 0]
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.9) -> LabelModel:
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.9, weight: float = 10.0) -> LabelModel:
     """Expectation maximisation over patterns of votes and how many documents have each.
 
-    It starts from what such heuristics are like: each knows one kind of bad
-    document, so on most bad ones it votes good, but it seldom calls a good one bad.
-    That also fixes which of the two classes is the good one. The share of good
-    documents, ``prior``, is given and not estimated: down-weighted votes can't tell it.
+    Shares and rates are all estimated. They start from what such heuristics are like: each knows one kind
+    of defect and seldom calls another document bad, which also fixes which kind is the good one. ``prior``
+    is only the share of good documents to start from; ``weight`` votes of each labeller on each kind, as the start has them, keep rates off 0 and 1.
     """
-    start = np.tile([0.3, 0.003], (votes.shape[1], 1))
-    model = LabelModel(prior, start)
+    n = votes.shape[1]
+    start = np.full((n + 1, n), OTHER)
+    start[0], start[1:][np.eye(n, dtype=bool)] = FALSE, OWN
+    model = LabelModel(np.r_[prior, np.full(n, (1 - prior) / n)], start)
     is_bad, is_good = votes == BAD, votes == GOOD
     for _ in range(rounds):
-        good = model.posterior(votes) * counts
-        rates = []
-        for weight, first in ((counts - good, start[:, 0]), (good, start[:, 1])):
-            bad_votes, all_votes = weight @ is_bad, weight @ (is_bad | is_good)
-            rates.append((bad_votes + 10 * first) / (all_votes + 10))
-        model = LabelModel(prior, np.stack(rates, 1))
+        of = (model.kinds(votes) * counts[:, None]).T
+        rates = (of @ is_bad + weight * start) / (of @ (is_bad | is_good) + weight)
+        model = LabelModel((of.sum(1) + 1) / (counts.sum() + n + 1), rates)
     return model
 
 
@@ -171,7 +174,7 @@ class Classifier:
 def fit_classifier(seen: DataFrame, max_sample: int, dims: int) -> Classifier | None:
     """From ``described`` documents; None if there are none.
 
-    All of them count for the labellers' accuracies: the driver gets one row a vote
+    All of them count for shares and accuracies: the driver gets one row a vote
     pattern, of which there are at most 3 to the power 8. The scorer is fitted on the
     ``max_sample`` documents at most, picked by hashes of their ids.
     """
