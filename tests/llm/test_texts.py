@@ -271,6 +271,11 @@ def test_bpe_matches_the_library(spark):
     assert coded.columns == ["doc_id", "text", "ids", "decoded"]
     for r in coded.collect():
         assert r.ids == own.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    clash = table.limit(0).selectExpr("*", "1 AS coded_from", "2 AS __in")
+    empty = bpe.decode_ids(bpe.encode_texts(clash, path, pattern, ids_col="text"), path, pattern, ids_col="text", bytes_col="text")
+    assert empty.count() == 0 and empty.columns == ["doc_id", "ids", "coded_from", "__in", "text"]
+    same = bpe.encode_texts(table.limit(3).selectExpr("*", "1 AS coded_from"), path, pattern, ids_col="text")
+    assert [r.text for r in same.orderBy("doc_id").collect()] == [own.encode_ordinary(t) for t in texts[:3]]
 
 
 def test_weak_labels_need_no_labels(spark):

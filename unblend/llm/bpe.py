@@ -34,6 +34,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import fresh
+
 #: Longest match that is encoded at once, in bytes, and longest leaf of a text, in characters.
 PIECE, LEAF = 64, 8192
 #: Rank of a pair that doesn't merge.
@@ -238,7 +240,7 @@ def _mapped(docs: DataFrame, column: str, name: str, kind: T.DataType, make) ->
     column of that name is replaced and all others pass through untouched."""
     kept = docs.drop(name)
     at, same = (kept.columns.index(column), False) if column in kept.columns else (len(kept.columns), True)
-    rows = kept.withColumn("__in", docs[name]) if same else kept
+    rows = kept.withColumn(fresh(kept, "coded_from")[0], docs[name]) if same else kept
     schema = T.StructType([*kept.schema.fields, T.StructField(name, kind)])
     n = len(kept.columns)
 
@@ -255,7 +257,7 @@ def _mapped(docs: DataFrame, column: str, name: str, kind: T.DataType, make) ->
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds ``ids_col``: the token ids of the whole text, array<int>. Null and empty
     texts have no ids (an empty array). A column of that name is replaced;
-    all others, and repeated rows, stay. ``ranks_path`` must exist on every executor."""
+    all others, and repeated rows, stay. An empty table gives no rows. ``ranks_path`` must exist on every executor."""
 
     def encode(texts: pa.Array) -> pa.Array:
         packed = list(map(tokenizer(ranks_path, pattern).packed, (t or "" for t in texts.to_pylist())))
@@ -266,7 +268,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
 
 
 def decode_ids(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """Adds ``bytes_col``: the bytes that the ids stand for. Null ids count as none."""
+    """Adds ``bytes_col``: the bytes that the ids stand for. Null ids count as none; a column of that name is
+    replaced, all others stay; an empty table gives no rows."""
 
     def decode(ids: pa.Array) -> pa.Array:
         own = tokenizer(ranks_path, pattern)
