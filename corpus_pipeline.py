@@ -1,7 +1,9 @@
 """A corpus from raw documents to token ids, in five stages.
 
 Each stage takes all that the one before has kept, written as Parquet and read
-again, so a lost executor or a restart costs one stage at most.
+again, so a lost executor or a restart costs one stage at most. In every stage null texts count as empty, rows
+may share an id or have none, further columns stay as they are up to the last stage, and an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,10 +36,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, and their number."""
+    """Token ids of every document of the mix, their number, and whether they decode to the text's own bytes."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), path, pattern)
-    return coded.selectExpr("doc_id", "lang", "source", "cast(size(ids) as long) as n_tokens", "ids")
+    own = docs.selectExpr("doc_id", "lang", "source", "text", "sha2(coalesce(text, ''), 256) as text_sha256")
+    coded = bpe.decode_ids(bpe.encode_texts(own, path, pattern).drop("text"), path, pattern)
+    exact = "sha2(decoded, 256) = text_sha256 as exact"
+    return coded.selectExpr("doc_id", "lang", "source", "cast(size(ids) as long) as n_tokens", "ids", exact)
 
 
 STAGES = [
@@ -48,7 +52,7 @@ STAGES = [
     ("tokenize", tokenize),
 ]
 
-#: Models, hash orders and merges aren't SQL; the stages' operators are tested one by one, run() as a whole isn't.
+#: Models, hash orders and merges aren't SQL; tests hold every stage, and run(), against plain Python.
 ORACLE_SQL = None
 
 
