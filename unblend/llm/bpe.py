@@ -235,46 +235,54 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return own
 
 
-def _mapped(docs: DataFrame, column: str, name: str, kind: T.DataType, make) -> DataFrame:
-    """Adds ``name``, made from ``column`` by ``make`` in small slices of Arrow batches; a
-    column of that name is replaced and all others pass through untouched."""
-    kept = docs.drop(name)
+def _mapped(docs: DataFrame, column: str, added: dict[str, T.DataType], make) -> DataFrame:
+    """Adds columns, made from ``column`` by ``make`` in small slices of Arrow batches; columns
+    of those names are replaced and all others pass through untouched."""
+    kept = docs.drop(*added)
     at, same = (kept.columns.index(column), False) if column in kept.columns else (len(kept.columns), True)
-    rows = kept.withColumn(fresh(kept, "coded_from")[0], docs[name]) if same else kept
-    schema = T.StructType([*kept.schema.fields, T.StructField(name, kind)])
+    rows = docs.withColumn(fresh(docs, "coded_from")[0], docs[column]).drop(*added) if same else kept
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(n, k) for n, k in added.items()]])
     n = len(kept.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                columns = [*part.columns[:n], make(part.column(at))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *make(part.column(at))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode_texts(
+    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", exact_col: str | None = None
+) -> DataFrame:
     """Adds ``ids_col``: the token ids of the whole text, array<int>. Null and empty
-    texts have no ids (an empty array). A column of that name is replaced;
+    texts have no ids (an empty array). With ``exact_col`` the ids are decoded too: it says whether
+    they give the text's own bytes. Columns of those names are replaced;
     all others, and repeated rows, stay. An empty table gives no rows. ``ranks_path`` must exist on every executor."""
 
-    def encode(texts: pa.Array) -> pa.Array:
-        packed = list(map(tokenizer(ranks_path, pattern).packed, (t or "" for t in texts.to_pylist())))
+    def encode(texts: pa.Array) -> list[pa.Array]:
+        own, texts = tokenizer(ranks_path, pattern), [t or "" for t in texts.to_pylist()]
+        packed = list(map(own.packed, texts))
         ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))]
+        if exact_col:
+            back = (own.decode(np.frombuffer(p, "<i4").tolist()) for p in packed)
+            out.append(pa.array([b == t.encode("utf-8", "replace") for b, t in zip(back, texts)], pa.bool_()))
+        return out
 
-    return _mapped(docs, text_col, ids_col, T.ArrayType(T.IntegerType()), encode)
+    added = {ids_col: T.ArrayType(T.IntegerType())} | ({exact_col: T.BooleanType()} if exact_col else {})
+    return _mapped(docs, text_col, added, encode)
 
 
 def decode_ids(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Adds ``bytes_col``: the bytes that the ids stand for. Null ids count as none; a column of that name is
     replaced, all others stay; an empty table gives no rows."""
 
-    def decode(ids: pa.Array) -> pa.Array:
+    def decode(ids: pa.Array) -> list[pa.Array]:
         own = tokenizer(ranks_path, pattern)
         flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
         ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)).tolist()
-        return pa.array([own.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())
+        return [pa.array([own.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())]
 
-    return _mapped(docs, ids_col, bytes_col, T.BinaryType(), decode)
+    return _mapped(docs, ids_col, {bytes_col: T.BinaryType()}, decode)

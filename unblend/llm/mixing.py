@@ -138,9 +138,9 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.min("copies").alias(low), (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias(more)
     )
     row = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])
-    placed = docs.withColumn(
-        group, F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    )
+    # of the plan's own type, nullable size included, or else rows would be exchanged once more for the join
+    size = F.nullif(word_count(F.col(text_col)), F.lit(-1)).alias("size")
+    placed = docs.withColumn(group, F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size))
     placed = placed.withColumn(nth, F.row_number().over(Window.partitionBy(group).orderBy(row)))
     copies = F.col(low) + F.when(F.col(nth) <= F.col(more), 1).otherwise(0)
     taken = placed.join(plan, group).withColumn(copy, copies).where(F.col(copy) > 0)
