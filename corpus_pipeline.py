@@ -38,10 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, their number, and whether they decode to the text's own bytes."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    own = docs.selectExpr("doc_id", "lang", "source", "text", "sha2(coalesce(text, ''), 256) as text_sha256")
-    coded = bpe.decode_ids(bpe.encode_texts(own, path, pattern).drop("text"), path, pattern)
-    exact = "sha2(decoded, 256) = text_sha256 as exact"
-    return coded.selectExpr("doc_id", "lang", "source", "cast(size(ids) as long) as n_tokens", "ids", exact)
+    coded = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), path, pattern, exact_col="exact")
+    return coded.selectExpr("doc_id", "lang", "source", "cast(size(ids) as long) as n_tokens", "ids", "exact")
 
 
 STAGES = [
