@@ -134,16 +134,16 @@ def train(
     known = known.dropna()
     known = materialize(bounded_sample(known, "label_id", max_sample, known.count()), "toxic-labels")
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("binary")
     def words_of(text: pd.Series) -> pd.Series:
-        return pd.Series([hashed_words(t).astype(np.int64) for t in text], dtype=object)
+        return pd.Series([hashed_words(t).tobytes() for t in text], dtype=object)
 
     # the labels are at most max_sample rows of a few numbers, so they may be sent to every task
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         F.broadcast(known), F.col("id") == F.col("label_id")
     )
     rows = joined.select("id", *known.columns[1:], words_of("text").alias("h")).orderBy("id").limit(max_sample).collect()
-    hashes = [np.array(r["h"], np.uint32) for r in rows]
+    hashes = [np.frombuffer(r["h"], np.uint32) for r in rows]
     targets = np.array([[r[f"y_{k}"] for k in range(len(names))] for r in rows]).reshape(len(rows), len(names))
     folds = np.array([zlib.crc32(str(r["id"]).encode()) % n_folds for r in rows], int)
     return fit_chain(hashes, targets, folds)
