@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize, new_dir
+from .spread import join_by_count
 
 # Fixed values of the two formats.
 ARC_FIELDS = {
@@ -234,7 +235,8 @@ def index_arc(spark: SparkSession, folder: str) -> DataFrame:
 def revisit_plan(index: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """The index with refers_to_id: of records with equal payloads of at least
     ``min_bytes`` bytes the one with the largest page id (then archive and offset)
-    has none and all others name it. Smaller ones name nothing."""
+    has none and all others name it. Smaller ones name nothing. A payload that very
+    many records share is joined apart from the others."""
     key = [F.col("payload_digest"), F.col("payload_bytes")]
     first = F.max(F.struct("page_id", "archive", "offset", "record_id"))
     groups = (
@@ -242,10 +244,11 @@ def revisit_plan(index: DataFrame, min_bytes: int = 1000) -> DataFrame:
         .groupBy(*key)
         .agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("payload_digest", "payload_bytes", F.col("first.record_id").alias("first_id"))
+        .select("payload_digest", "payload_bytes", F.col("first.record_id").alias("first_id"), "n")
     )
     refers = F.when(F.col("first_id") != F.col("record_id"), F.col("first_id"))
-    return index.join(groups, ["payload_digest", "payload_bytes"], "left").withColumn("refers_to_id", refers)
+    named = join_by_count(index, groups, ["payload_digest", "payload_bytes"], "n", index.count(), "left")
+    return named.withColumn("refers_to_id", refers)
 
 
 def _digest(data: bytes) -> str:
@@ -376,9 +379,12 @@ def archive_pages(
     convert_arc(spark, arc, warc, min_bytes)
     rows = read_warc(spark, warc, payloads=False).drop("payload")
     rows = materialize(rows, "warc-rows")
-    whole = rows.where("refers_to_id is null").select(F.col("record_id").alias("whole_id"), F.col("page_id").alias("refers_to"))
-    named = rows.join(whole, F.col("refers_to_id") == F.col("whole_id"), "left")
-    return named.select(
+    whole = rows.where("refers_to_id is null").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    revisits = rows.where("refers_to_id is not null")
+    named = whole.join(revisits.groupBy("refers_to_id").agg(F.count(F.lit(1)).alias("n")), "refers_to_id")
+    found = join_by_count(revisits, named, ["refers_to_id"], "n", revisits.count(), "left")
+    responses = rows.where("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("long"))
+    return found.unionByName(responses).select(
         F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
     )
 
