@@ -333,8 +333,9 @@ def hierarchical_deconvolve(r: Roles) -> DataFrame:
 
 @query
 def parent_local_bulk(r: Roles) -> DataFrame:
-    level = r.tree().where("depth = 1").select("node", F.when(F.col("node") == "high", 0.4).otherwise(0.6).alias("mass"))
-    masses = _tissue_bulk(r).select("tissue", "mixture").distinct().join(F.broadcast(level))
+    level = r.tree().where("depth = 1").select("node").collect()  # a hierarchy's few dozen names
+    each = F.array(*[F.struct(F.lit(n).alias("node"), F.lit(0.4 if n == "high" else 0.6).alias("mass")) for (n,) in level])
+    masses = _tissue_bulk(r).select("tissue", "mixture").distinct().select("tissue", "mixture", F.inline(each))
     nodes = profiles.aggregate_profiles_by_node(_shares(r), r.node_leaf())
     return tree.parent_local_bulk(_tissue_bulk(r), masses, nodes)
 
