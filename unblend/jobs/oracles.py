@@ -484,7 +484,7 @@ ORACLES: dict[str, str] = {
     "read_matrix_tsv": sql("""SELECT tissue, gene, dense_rank() OVER (PARTITION BY tissue ORDER BY gene) - 1 AS gene_idx, cell_type, dense_rank() OVER (PARTITION BY tissue ORDER BY cell_type) - 1 AS cell_type_idx,
       coalesce(value, 0) AS value FROM (SELECT DISTINCT tissue, gene FROM sig) JOIN (SELECT DISTINCT tissue, cell_type FROM sig) USING (tissue) LEFT JOIN sig USING (tissue, gene, cell_type)""", "value"),
     "read_labels": sql("SELECT tissue, row_number() OVER (PARTITION BY tissue ORDER BY cell_id) - 1 AS pos, cell_id::VARCHAR AS cell_id, cell_type FROM cel"),
-    "read_hierarchy_json": sql("""SELECT tissue, node, parent, depth, CASE WHEN depth = 0 THEN 0 ELSE row_number() OVER (PARTITION BY tissue, parent ORDER BY node) - 1 END AS child_pos, depth = 2 AS is_leaf, 0.0 AS distance, n_leaves FROM (
+    "read_hierarchy_json": sql("""SELECT tissue, node, parent, depth, CASE WHEN depth = 0 THEN 0 ELSE row_number() OVER (PARTITION BY tissue, parent ORDER BY node) - 1 END AS child_pos, depth = 2 AS is_leaf, CAST(0 AS DOUBLE) AS distance, n_leaves FROM (
       SELECT tissue, node, any_value(parent) AS parent, any_value(CASE WHEN node = 'root' THEN 0 WHEN node IN ('high', 'low') THEN 1 ELSE 2 END) AS depth, count(*) AS n_leaves
       FROM siz JOIN leaf ON leaf = cell_type LEFT JOIN edge USING (node) GROUP BY tissue, node)""", "distance", longs="depth child_pos"),
     "write_results": sql("SELECT * FROM det", "truth prediction abs_error signed_error"),
