@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, bpe, chat, density, digest_tree, minmax, mixing, rules, toxicity, weak
+from . import archive, bpe, chat, density, digest_tree, minmax, mixing, phrases, rules, toxicity, weak
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(_table(spark, sf_dir, "documents"), kept=False)
+
+
 SQL7 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -130,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_chat_format": op9_chat_format,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_phrase_repeats": op13_phrase_repeats,
 }
 
 ORACLES: dict[str, str] = {"op4_legacy_archive": SQL4, "op7_exact_dedup": SQL7, "op9_chat_format": SQL9}
