@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, bpe, chat, density, digest_tree, minmax, mixing, phrases, rules, toxicity, weak
+from . import archive, bpe, chat, codes, density, digest_tree, minmax, mixing, phrases, rules, toxicity, weak, whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, codebooks = codes.compress_vectors(_table(spark, sf_dir, "embeddings"))
+    hexed = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return rows.select("vec_id", hexed.alias("code"), "error", "label_error", F.lit(codes.codebooks_digest(codebooks)).alias("codebooks_sha256"))
+
+
+def op12_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten.whiten(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_phrase_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(_table(spark, sf_dir, "documents"), kept=False)
 
@@ -123,6 +134,28 @@ SELECT conv_id, n_turns, turns_sha256, CAST(len(loss) AS BIGINT) AS loss_chars,
 FROM lost
 """
 
+
+def _lloyd_sql(rounds: int = 2) -> str:
+    """Vectors of 64 dimensions in parts of four. Distance and entry make one number, so the least has the lowest entry of the nearest."""
+    comps = ", ".join(f"CAST(floor(256 * CAST(embedding[4 * pos + {j}] AS DOUBLE)) AS BIGINT) AS v{j}" for j in range(1, 5))
+    far = " + ".join(f"(p.v{j} - c.v{j}) * (p.v{j} - c.v{j})" for j in range(1, 5))
+    mean = ", ".join(f"coalesce(CAST(floor(s.v{j} / s.k) AS BIGINT), c.v{j}) AS v{j}" for j in range(1, 5))
+    sums = ", ".join(f"CAST(sum(v{j}) AS BIGINT) AS v{j}" for j in range(1, 5))
+    ctes = [
+        "kept AS (SELECT vec_id, label, embedding FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS (SELECT vec_id, label, pos, {comps} FROM kept, range(16) r(pos))",
+        "c0 AS (SELECT pos, e, v1, v2, v3, v4 FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS e FROM p) WHERE e < 64)",
+    ]
+    for k in range(rounds + 1):
+        ctes.append(f"a{k} AS (SELECT vec_id, any_value(p.label) AS label, pos, any_value(p.v1) AS v1, any_value(p.v2) AS v2, any_value(p.v3) AS v3, any_value(p.v4) AS v4, min(({far}) * 64 + e) AS m FROM p JOIN c{k} c USING (pos) GROUP BY vec_id, pos)")
+        if k < rounds:
+            ctes.append(f"c{k + 1} AS (SELECT c.pos, c.e, {mean} FROM c{k} c LEFT JOIN (SELECT pos, m % 64 AS e, count(*) AS k, {sums} FROM a{k} GROUP BY ALL) s ON s.pos = c.pos AND s.e = c.e)")
+    books = f"SELECT sha256(string_agg(v1 || ',' || v2 || ',' || v3 || ',' || v4, ',' ORDER BY pos, e)) FROM c{rounds}"
+    return f"""WITH {', '.join(ctes)}, done AS (
+      SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', m % 64), '' ORDER BY pos) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, ({books}) AS codebooks_sha256 FROM done"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_main_text": op2_main_text,
@@ -134,7 +167,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_chat_format": op9_chat_format,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_part_codes": op11_part_codes,
+    "op12_lobpcg_whitening": op12_lobpcg_whitening,
     "op13_phrase_repeats": op13_phrase_repeats,
 }
 
-ORACLES: dict[str, str] = {"op4_legacy_archive": SQL4, "op7_exact_dedup": SQL7, "op9_chat_format": SQL9}
+ORACLES: dict[str, str] = {"op4_legacy_archive": SQL4, "op7_exact_dedup": SQL7, "op9_chat_format": SQL9, "op11_part_codes": _lloyd_sql()}
