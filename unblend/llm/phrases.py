@@ -181,28 +181,29 @@ def joined(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return d[new], a[new], top[last] - a[new]
 
 
-CHUNK = "bucket int, kind int, id array<long>, s array<int>, n array<tinyint>, x array<long>, l array<long>, r array<long>"
+FIELDS = {"kind": np.int8, "id": np.int64, "s": np.int32, "n": np.int8, "x": np.uint64, "l": np.uint64, "r": np.uint64}
+CHUNK = "bucket int, kind array<tinyint>, id array<long>, s array<int>, n array<tinyint>, x array<long>, l array<long>, r array<long>"
 MARK = "kind int, id long, s int, n int, key long"
 
 
-def _list(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    flat = pa.array(values.view(np.int64) if values.dtype == np.uint64 else values).cast(kind, safe=False)
-    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), flat)
-
-
-def _chunks(kind: int, key: np.ndarray, buckets: int, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """A row per bucket of the key with the columns' entries there."""
-    bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+def _chunks(entries: list[tuple[int, np.ndarray, dict[str, np.ndarray]]], buckets: int) -> pa.RecordBatch:
+    """One row per bucket with its entries, given as (kind, key that names the bucket, fields); a field that a kind lacks is 0."""
+    key = np.concatenate([k for _, k, _ in entries])
+    bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     have, first = np.unique(bucket[order], return_index=True)
-    cuts = np.append(first, len(order))
-    none = np.zeros(len(order), np.int64)
-    lists = [_list(cols.get(c, none)[order] if c in cols else none[:0], cuts if c in cols else np.zeros(len(cuts)), t) for c, t in (
-        ("id", pa.int64()), ("s", pa.int32()), ("n", pa.int8()), ("x", pa.int64()), ("l", pa.int64()), ("r", pa.int64()))]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(have.astype(np.int32)), pa.array(np.full(len(have), kind, np.int32)), *lists],
-        names=["bucket", "kind", "id", "s", "n", "x", "l", "r"],
-    )
+    cuts = pa.array(np.append(first, len(order)).astype(np.int32))
+    lists = []
+    for name, kind in FIELDS.items():
+        whole = np.concatenate([np.full(len(k), n) if name == "kind" else np.asarray(f.get(name, np.zeros(len(k)))).astype(kind) for n, k, f in entries])[order]
+        flat = pa.array(whole.view(np.int64) if kind is np.uint64 else whole.astype(kind))
+        lists.append(pa.ListArray.from_arrays(cuts, flat))
+    return pa.RecordBatch.from_arrays([pa.array(have), *lists], names=["bucket", *FIELDS])
+
+
+def _of(ids: np.ndarray) -> np.ndarray:
+    """Keys that deal entries out by their documents."""
+    return _mix(ids.astype(np.uint64))
 
 
 def _ranges(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
@@ -215,21 +216,15 @@ def _ranges(doc: np.ndarray, s: np.ndarray, n: np.ndarray) -> dict[str, np.ndarr
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[str, np.ndarray]]:
-    """All chunks of a partition, by kind."""
-    parts: dict[int, dict[str, list]] = {}
+    """All entries of a partition, by kind."""
+    parts: dict[str, list[np.ndarray]] = {name: [np.zeros(0, kind)] for name, kind in FIELDS.items()}
     for batch in batches:
-        kinds = batch.column("kind").to_numpy()
-        for kind in np.unique(kinds).tolist():
-            rows = batch.filter(pa.array(kinds == kind))
-            into = parts.setdefault(kind, {})
-            for c in ("id", "s", "n", "x", "l", "r"):
-                into.setdefault(c, []).append(rows.column(c).flatten().to_numpy(zero_copy_only=False))
-    out = {}
-    for kind, cols in parts.items():
-        out[kind] = {c: np.concatenate(v) for c, v in cols.items()}
-        for c in ("x", "l", "r"):
-            out[kind][c] = out[kind][c].astype(np.int64, copy=False).view(np.uint64)
-    return out
+        for name, kind in FIELDS.items():
+            flat = batch.column(name).flatten().to_numpy()
+            parts[name].append(flat.view(np.uint64) if kind is np.uint64 else flat)
+    whole = {name: np.concatenate(v) for name, v in parts.items()}
+    kind = whole.pop("kind")
+    return {k: {c: v[kind == k] for c, v in whole.items()} for k in np.unique(kind).tolist()}
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -253,11 +248,9 @@ def _parse_texts(length: int, buckets: int, block: int):
             f["id"] = ids[f.pop("doc")]
             order, new = firsts([f["x"], f["l"], f["r"]], [f["id"], f["s"]])
             f = {c: v[order] for c, v in f.items()}
-            if not new.all():
-                again = _ranges(*(f[c][~new] for c in ("id", "s", "n")))
-                yield _chunks(INTERVAL, _mix(again["id"].astype(np.uint64)), buckets, again)
+            again = _ranges(*(f[c][~new] for c in ("id", "s", "n")))
             f = {c: v[new] for c, v in f.items()}
-            yield _chunks(PHRASE, f["x"], buckets, {"n": f["o"], **{c: f[c] for c in ("id", "s", "x", "l", "r")}})
+            yield _chunks([(INTERVAL, _of(again["id"]), again), (PHRASE, f["x"], f | {"n": f["o"]})], buckets)
 
     return run
 
@@ -267,31 +260,28 @@ def _dictionary(length: int, buckets: int):
     half = length // 2 - GRAM // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = _read(batches)
+        kinds, entries = _read(batches), []
         if INTERVAL in kinds:
-            f = kinds.pop(INTERVAL)
-            yield _chunks(INTERVAL, _mix(f["id"].astype(np.uint64)), buckets, {c: f[c] for c in ("id", "s", "n")})
-        if PHRASE not in kinds:
-            return
-        f = kinds[PHRASE]
-        order, new = firsts([f["x"], f["l"], f["r"]], [f["id"], f["s"]])
-        f = {c: v[order] for c, v in f.items()}
-        o, n = f["n"].astype(np.int64), (f["x"] & np.uint64(127)).astype(np.int64)
-        if not new.all():
+            entries.append((INTERVAL, _of(kinds[INTERVAL]["id"]), kinds[INTERVAL]))
+        if PHRASE in kinds:
+            f = kinds[PHRASE]
+            order, new = firsts([f["x"], f["l"], f["r"]], [f["id"], f["s"]])
+            f = {c: v[order] for c, v in f.items()}
+            o, n = f["n"].astype(np.int64), (f["x"] & np.uint64(127)).astype(np.int64)
             again = _ranges(f["id"][~new], f["s"][~new], n[~new])
-            yield _chunks(INTERVAL, _mix(again["id"].astype(np.uint64)), buckets, again)
-        late = np.clip(o - half, 0, n)  # the strings that the left key is for come first
-        for kind, c, begin, num in ((LEFT, "l", f["s"], late), (RIGHT, "r", f["s"] + late, n - late)):
-            has = np.flatnonzero(new & (f[c] != 0))
-            key, ids, s = f[c][has], f["id"][has], begin[has]
-            order, first = firsts([key], [ids, s])
-            group = np.cumsum(first) - 1
-            known = np.bincount(group)[group] > 1 if len(group) else first
-            cols = {"id": ids[order], "s": s[order], "n": num[has][order], "x": key[order], "l": np.where(known, 2, 1).astype(np.uint64)}
-            # one of each key is enough to meet those of other tasks; the others are shared anyway and go by their documents
-            for some, by in ((first, cols["x"]), (~first, _mix(cols["id"].astype(np.uint64)))):
-                if some.any():
-                    yield _chunks(kind, by[some], buckets, {c: v[some] for c, v in cols.items()})
+            entries.append((INTERVAL, _of(again["id"]), again))
+            late = np.clip(o - half, 0, n)  # the strings that the left key is for come first
+            for kind, c, begin, num in ((LEFT, "l", f["s"], late), (RIGHT, "r", f["s"] + late, n - late)):
+                has = np.flatnonzero(new & (f[c] != 0))
+                key, ids, s = f[c][has], f["id"][has], begin[has]
+                order, first = firsts([key], [ids, s])
+                group = np.cumsum(first) - 1
+                known = np.bincount(group)[group] > 1 if len(group) else first
+                cols = {"id": ids[order], "s": s[order], "n": num[has][order], "x": key[order], "l": np.where(known, 2, 1)}
+                # one of each key is enough to meet those of other tasks; the others are shared anyway and go by their documents
+                entries.append((kind, np.where(first, cols["x"], _of(cols["id"])), cols))
+        if entries:
+            yield _chunks(entries, buckets)
 
     return run
 
@@ -448,9 +438,8 @@ def _results(length: int, whole: bool):
 def _marks(docs: DataFrame, length: int, block: int) -> DataFrame:
     """(kind, id, s, n, key), written: ranges of starts that occur before, and halves of phrases that others share."""
     parts = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    buckets = 8 * min(parts, 4096)
-    rows = docs.mapInArrow(_parse_texts(length, buckets, block), CHUNK).repartition(parts, "bucket")
-    rows = rows.mapInArrow(_dictionary(length, buckets), CHUNK).repartition(parts, "bucket")
+    rows = docs.mapInArrow(_parse_texts(length, parts, block), CHUNK).repartitionById(parts, "bucket")
+    rows = rows.mapInArrow(_dictionary(length, parts), CHUNK).repartitionById(parts, "bucket")
     return materialize(rows.mapInArrow(_shared, MARK), "phrase-marks")
 
 
