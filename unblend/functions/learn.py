@@ -1,7 +1,9 @@
-"""Learned gene weights and the weighted deconvolution of one mixture, in numpy.
+"""Learned gene weights and weighted deconvolution of stacks of mixtures, in numpy.
 
-The solver works on one mixture: A (genes, K), b (genes). Everything here is called
-inside Spark tasks on packed rows; one mixture's arrays are all a call holds.
+A stack is A (mixtures, genes, K) and b (mixtures, genes). All mixtures of a stack go through the loop in step: one
+pass of numpy over the stack for each loss, each eigenproblem and each trial of the line searches. A mixture that
+is done leaves the passes that follow. Each takes the same steps as it would alone, bit by bit. Everything here is called
+inside Spark tasks; ``stack_size`` says how many mixtures of a shape a task should hold at a time.
 """
 
 from __future__ import annotations
@@ -41,44 +43,70 @@ class Config:
     seed: int = 0
     fix_mean: bool = True
 
+    def __post_init__(self):
+        if not self.baseline > 0:
+            raise ValueError("baseline must be above 0")
+        if not 0 < self.floor <= self.baseline:
+            raise ValueError("floor must be above 0 and at most the baseline")
+        if not self.kappa > 0 or not self.epsilon > 0:
+            raise ValueError("kappa and epsilon must be above 0")
+        if self.max_iter < 1 or self.rounds < 0 or self.steps < 0 or self.old_weight < 0:
+            raise ValueError("max_iter must be 1 or more, rounds, steps and old_weight 0 or more")
+
+
+#: Pairs of steps that the quasi-Newton method remembers.
+MEMORY = 20
+#: What a loss is made of.
+PARTS = ["hessian_loss", "avg_gradient_loss", "residual_penalty", "importance_loss", "reg_loss", "min_eig", "mean_eig", "max_eig"]
+
+
+def stack_size(genes: int, k: int, budget: int = 64 << 20) -> int:
+    """Mixtures whose arrays stay within so many bytes."""
+    return int(max(1, min(256, budget // (8 * max(1, genes) * (2 * MEMORY + 3 * max(1, k) + 24)))))
+
 
 def to_simplex(x: np.ndarray) -> np.ndarray:
+    """Shares of the last axis' sum, negative values as 0."""
     x = np.maximum(np.asarray(x, float), 0.0)
-    total = x.sum()
-    if not total > 0:
+    total = x.sum(-1, keepdims=True)
+    if not (total > 0).all():
         raise ValueError("nothing is left of the proportions")
     return x / total
 
 
-def fit_mean(raw: np.ndarray, floor: float, mean: float, fix: bool) -> tuple[np.ndarray, float]:
-    """max(floor, h * max(raw, floor)) with the given mean, and h.
+def fit_mean(raw: np.ndarray, floor: float, mean: float, fix: bool) -> tuple[np.ndarray, np.ndarray]:
+    """max(floor, h * max(raw, floor)) with the given mean over the last axis, and h.
 
     The mean grows with h piecewise linearly, so h follows from sorted values: if the k
     largest are above the floor, h is what fills the rest of the mean.
     """
     m = np.maximum(raw, floor)
     if not fix:
-        return m, 1.0
-    n = len(m)
-    s = np.sort(m)[::-1]
-    above = np.cumsum(s)
+        return m, np.ones(m.shape[:-1])
+    n = m.shape[-1]
+    s = -np.sort(-m, -1)
     k = np.arange(1, n + 1)
-    h = (mean * n - floor * (n - k)) / above
+    h = (mean * n - floor * (n - k)) / np.cumsum(s, -1)
     ok = h * s >= floor * (1 - 1e-15)
-    h = h[np.flatnonzero(ok)[-1]] if ok.any() else floor / s[0]
-    return np.maximum(floor, h * m), float(h)
+    last = n - 1 - ok[..., ::-1].argmax(-1)
+    found = np.take_along_axis(h, last[..., None], -1)[..., 0]
+    h = np.where(ok.any(-1), found, floor / s[..., 0])
+    return np.maximum(floor, h[..., None] * m), h
+
+
+def _flat_basis(k: int) -> np.ndarray:
+    """Directions along which shares can change."""
+    return np.linalg.qr(np.vstack([np.eye(k - 1), -np.ones(k - 1)]))[0]
 
 
-def _basis(p: np.ndarray, sphere: bool, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-    """(tangent basis, scaling u of the columns; ones without the sphere form)."""
-    k = len(p)
-    plain = np.vstack([np.eye(k - 1), -np.ones(k - 1)])
-    if not sphere:
-        return np.linalg.qr(plain)[0], np.ones(k)
+def _sphere_basis(p: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """(tangent basis at the roots of the shares, those roots)."""
+    k = p.shape[1]
     u = np.sqrt(np.maximum(p, epsilon))
-    u = u / np.linalg.norm(u)
-    seed = np.delete(np.eye(k), np.abs(u).argmax(), 1)
-    return np.linalg.qr(seed - np.outer(u, u @ seed))[0], u
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    each = np.array([[j for j in range(k) if j != i] for i in range(k)])[u.argmax(1)]
+    seed = np.eye(k)[each].transpose(0, 2, 1)
+    return np.linalg.qr(seed - u[:, :, None] * np.einsum("mk,mkj->mj", u, seed)[:, None, :])[0], u
 
 
 class Loss:
@@ -87,154 +115,257 @@ class Loss:
     def __init__(self, a: np.ndarray, b: np.ndarray, p: np.ndarray, confidence: np.ndarray, cfg: Config):
         self.a, self.cfg, self.c = a, cfg, confidence
         p = to_simplex(p)
-        k = a.shape[1]
-        self.residual = (a @ p - b) ** 2
-        self.k = k
+        self.k = k = a.shape[2]
+        fit = (a @ p[:, :, None])[:, :, 0]
+        self.residual = (fit - b) ** 2
+        self.rows = None
         if k > 1:
-            q, u = _basis(p, cfg.sphere, cfg.epsilon)
-            self.rows = (2.0 if cfg.sphere else 1.0) * (a * u) @ q
-            self.flat = np.linalg.qr(np.vstack([np.eye(k - 1), -np.ones(k - 1)]))[0]
-        rng = np.random.default_rng(cfg.seed)
+            self.flat = _flat_basis(k)
+            if cfg.sphere:
+                q, u = _sphere_basis(p, cfg.epsilon)
+                self.rows = 2.0 * (a * u[:, None, :]) @ q
+            else:
+                self.rows = a @ self.flat
         base = np.maximum(p, 1e-12)
-        base = base / base.sum()
-        other = [base + rng.normal(0.0, cfg.perturb_scale, k) for _ in range(max(1, cfg.perturbations))]
-        other = [np.maximum(x, 1e-12) / np.maximum(x, 1e-12).sum() for x in other]
-        self.drift = a @ p - a @ np.mean(other, 0)
-        mean, var = a.mean(1), a.var(1)
+        base = base / base.sum(1, keepdims=True)
+        draws = np.random.default_rng(cfg.seed).normal(0.0, cfg.perturb_scale, (max(1, cfg.perturbations), k))
+        other = np.maximum(base[:, None, :] + draws, 1e-12)
+        other = (other / other.sum(2, keepdims=True)).mean(1)
+        self.drift = fit - (a @ other[:, :, None])[:, :, 0]
+        mean, var = a.mean(2), a.var(2)
         score = np.maximum(var / np.maximum(mean, cfg.importance_epsilon), 0.0)
-        self.importance = score / score.max() if score.max() > 0 else np.ones(len(b))
+        top = score.max(1, keepdims=True)
+        self.importance = np.where(top > 0, score / np.where(top > 0, top, 1.0), 1.0)
+
+    def take(self, at: np.ndarray) -> Loss:
+        """The loss of some of the mixtures."""
+        if len(at) == len(self.c):
+            return self
+        out = object.__new__(Loss)
+        out.cfg, out.k = self.cfg, self.k
+        out.flat = getattr(self, "flat", None)
+        for name in ("c", "residual", "importance", "rows", *(("a", "drift") if self.cfg.lambda_avg_gradient else ())):
+            have = getattr(self, name)
+            setattr(out, name, None if have is None else have[at])
+        return out
 
-    def at_weights(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+    def _eigen(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.linalg.eigh(np.swapaxes(self.rows, 1, 2) @ (t[:, :, None] * self.rows))
+
+    def at_weights(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cfg, c = self.cfg, self.c
         t = w * c
-        value = cfg.lambda_residual * float(self.residual @ t) - cfg.lambda_importance * float(w @ self.importance)
+        value = cfg.lambda_residual * (self.residual * t).sum(1) - cfg.lambda_importance * (w * self.importance).sum(1)
         grad = cfg.lambda_residual * self.residual * c - cfg.lambda_importance * self.importance
         if self.k > 1:
-            e, v = np.linalg.eigh(self.rows.T @ (t[:, None] * self.rows))
+            e, v = self._eigen(t)
             kept = np.maximum(e, cfg.epsilon)
-            value -= cfg.lambda_hessian * float(np.log(kept + cfg.epsilon).sum())
+            value -= cfg.lambda_hessian * np.log(kept + cfg.epsilon).sum(1)
             inner = np.where(e > cfg.epsilon, 1.0 / (kept + cfg.epsilon), 0.0)
-            grad = grad - cfg.lambda_hessian * c * (((self.rows @ v) ** 2) @ inner)
+            grad = grad - cfg.lambda_hessian * c * (((self.rows @ v) ** 2) @ inner[:, :, None])[:, :, 0]
             if cfg.lambda_avg_gradient:
-                g = self.flat.T @ (2.0 * (self.a.T @ (t * self.drift)))
-                value += cfg.lambda_avg_gradient * float(g @ g)
-                grad = grad + 4.0 * cfg.lambda_avg_gradient * c * self.drift * (self.a @ (self.flat @ g))
+                g = self._mean_gradient(t)
+                value += cfg.lambda_avg_gradient * (g * g).sum(1)
+                along = (self.a @ np.swapaxes(g[:, None, :] @ self.flat.T, 1, 2))[:, :, 0]
+                grad = grad + 4.0 * cfg.lambda_avg_gradient * c * self.drift * along
         else:
-            value -= cfg.lambda_hessian * float(np.log(1.0 + cfg.epsilon))
+            value -= cfg.lambda_hessian * np.log(1.0 + cfg.epsilon)
         d = w - cfg.baseline
-        norm = float(np.linalg.norm(d))
+        norm = np.sqrt((d * d).sum(1))
         s = 1.0 / (1.0 + np.exp(-norm / cfg.kappa))
         value += (cfg.lambda3 * s + cfg.lambda4) * norm**2
-        grad = grad + (2.0 * (cfg.lambda3 * s + cfg.lambda4) + cfg.lambda3 * s * (1 - s) * norm / cfg.kappa) * d
+        grad = grad + (2.0 * (cfg.lambda3 * s + cfg.lambda4) + cfg.lambda3 * s * (1 - s) * norm / cfg.kappa)[:, None] * d
         return value, grad
 
-    def __call__(self, raw: np.ndarray) -> tuple[float, np.ndarray]:
+    def _mean_gradient(self, t: np.ndarray) -> np.ndarray:
+        # products of stacks, so that a mixture's bits don't depend on the others
+        return (2.0 * ((t * self.drift)[:, None, :] @ self.a) @ self.flat)[:, 0]
+
+    def parts(self, w: np.ndarray) -> dict[str, np.ndarray]:
+        """What the loss at these weights adds up from, and the extremes and mean of the curvature's eigenvalues."""
+        cfg, t = self.cfg, w * self.c
+        if self.k > 1:
+            e = np.maximum(self._eigen(t)[0], cfg.epsilon)
+            g = self._mean_gradient(t)
+        else:
+            e, g = np.ones((len(w), 1)), np.zeros((len(w), 1))
+        d = ((w - cfg.baseline) ** 2).sum(1)
+        return {
+            "hessian_loss": -cfg.lambda_hessian * np.log(e + cfg.epsilon).sum(1),
+            "avg_gradient_loss": cfg.lambda_avg_gradient * (g * g).sum(1),
+            "residual_penalty": cfg.lambda_residual * (self.residual * t).sum(1),
+            "importance_loss": -cfg.lambda_importance * (w * self.importance).sum(1),
+            "reg_loss": (cfg.lambda3 / (1.0 + np.exp(-np.sqrt(d) / cfg.kappa)) + cfg.lambda4) * d,
+            "min_eig": e.min(1),
+            "mean_eig": e.mean(1),
+            "max_eig": e.max(1),
+        }
+
+    def __call__(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cfg = self.cfg
         w, h = fit_mean(raw, cfg.floor, cfg.baseline, cfg.fix_mean)
         value, g = self.at_weights(w)
-        m = np.maximum(raw, cfg.floor)
         if cfg.fix_mean:
+            m = np.maximum(raw, cfg.floor)
+            h = h[:, None]
             free = h * m > cfg.floor
-            total = m[free].sum()
-            g = np.where(free, h * g - (h * float(g[free] @ m[free]) / total if total > 0 else 0.0), 0.0)
+            total = np.where(free, m, 0.0).sum(1)
+            pull = np.where(free, g * m, 0.0).sum(1) / np.where(total > 0, total, 1.0)
+            g = np.where(free, h * (g - pull[:, None]), 0.0)
         return value, np.where(raw > cfg.floor, g, 0.0)
 
 
-def lbfgs(f, x: np.ndarray, steps: int, tol: float, memory: int = 20) -> np.ndarray:
-    """Minimise by limited-memory quasi-Newton steps with a strong Wolfe line search."""
-    value, g = f(x)
-    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
-    for it in range(steps):
-        if np.abs(g).max() <= tol:
-            break
-        d = -g
-        if pairs:
-            alphas = []
-            for s, y, r in reversed(pairs):
-                al = r * float(s @ d)
-                alphas.append(al)
-                d = d - al * y
-            s, y, _ = pairs[-1]
-            d = d * (float(s @ y) / float(y @ y))
-            for (s, y, r), al in zip(pairs, reversed(alphas)):
-                d = d + s * (al - r * float(y @ d))
-        slope = float(g @ d)
-        if slope >= 0:
-            d, slope, pairs = -g, -float(g @ g), []
-        t = min(1.0, 1.0 / np.abs(g).sum()) if it == 0 else 1.0
-        low, high, new = 0.0, np.inf, None
-        for _ in range(25):
-            new = f(x + t * d)
-            if not np.isfinite(new[0]) or new[0] > value + 1e-4 * t * slope:
-                high = t
-            elif float(new[1] @ d) < 0.9 * slope:
-                low = t
-            elif abs(float(new[1] @ d)) > -0.9 * slope:
-                high = t
-            else:
-                break
-            t = 0.5 * (low + high) if np.isfinite(high) else 2.0 * t
-        if new is None or not new[0] <= value:
+class _Pairs:
+    """The last steps of each mixture and how its gradient turned on them, newest first."""
+
+    def __init__(self, m: int, n: int):
+        self.s, self.y = np.zeros((MEMORY, m, n)), np.zeros((MEMORY, m, n))
+        self.r, self.next, self.count = np.zeros((MEMORY, m)), np.zeros(m, int), np.zeros(m, int)
+
+    def push(self, at: np.ndarray, step: np.ndarray, turn: np.ndarray, curve: np.ndarray) -> None:
+        slot = self.next[at]
+        self.s[slot, at], self.y[slot, at], self.r[slot, at] = step, turn, 1.0 / curve
+        self.next[at] = (slot + 1) % MEMORY
+        self.count[at] = np.minimum(MEMORY, self.count[at] + 1)
+
+    def direction(self, at: np.ndarray, g: np.ndarray) -> np.ndarray:
+        d, k, alphas = -g, self.count[at], []
+        for j in range(k.max(initial=0)):
+            slot = (self.next[at] - 1 - j) % MEMORY
+            al = np.where(j < k, self.r[slot, at], 0.0) * (self.s[slot, at] * d).sum(1)
+            alphas.append(al)
+            d = d - al[:, None] * self.y[slot, at]
+        if alphas:
+            slot = (self.next[at] - 1) % MEMORY
+            y = self.y[slot, at]
+            d = d * np.where(k > 0, (self.s[slot, at] * y).sum(1) / np.maximum((y * y).sum(1), 1e-300), 1.0)[:, None]
+        for j in reversed(range(len(alphas))):
+            slot = (self.next[at] - 1 - j) % MEMORY
+            be = np.where(j < k, self.r[slot, at], 0.0) * (self.y[slot, at] * d).sum(1)
+            d = d + self.s[slot, at] * np.where(j < k, alphas[j] - be, 0.0)[:, None]
+        return d
+
+
+def _search(loss: Loss, at: np.ndarray, x: np.ndarray, value: np.ndarray, d: np.ndarray, slope: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(step lengths, values, gradients) by a strong Wolfe line search; where it finds none, of its last trial."""
+    low, high = np.zeros(len(at)), np.full(len(at), np.inf)
+    new, grad = np.full(len(at), np.inf), np.zeros_like(d)
+    todo, last = np.arange(len(at)), t.copy()
+    for _ in range(25):
+        v, g = loss.take(at[todo])(x[todo] + t[todo, None] * d[todo])
+        new[todo], grad[todo], last[todo] = v, g, t[todo]
+        along, down = (g * d[todo]).sum(1), slope[todo]
+        far = ~np.isfinite(v) | (v > value[todo] + 1e-4 * t[todo] * down)
+        short = ~far & (along < 0.9 * down)
+        past = ~far & ~short & (np.abs(along) > -0.9 * down)
+        high[todo[far | past]] = t[todo[far | past]]
+        low[todo[short]] = t[todo[short]]
+        todo = todo[far | short | past]
+        if not len(todo):
             break
-        step, turn = t * d, new[1] - g
-        change = value - new[0]
-        x, value, g = x + step, new[0], new[1]
-        curve = float(step @ turn)
-        if curve > 1e-10 * float(turn @ turn) + 1e-300:
-            pairs = [*pairs[-memory + 1 :], (step, turn, 1.0 / curve)]
-        if np.abs(step).max() <= tol or change <= tol:
+        t[todo] = np.where(np.isfinite(high[todo]), 0.5 * (low[todo] + high[todo]), 2.0 * t[todo])
+    return last, new, grad
+
+
+def lbfgs(loss: Loss, x: np.ndarray, steps: int, tol: float) -> np.ndarray:
+    """Minimise each mixture's loss by limited-memory quasi-Newton steps."""
+    x = x.copy()
+    value, g = loss(x)
+    pairs, live = _Pairs(*x.shape), np.ones(len(x), bool)
+    for it in range(steps):
+        live &= np.abs(g).max(1) > tol
+        at = np.flatnonzero(live)
+        if not len(at):
             break
+        d = pairs.direction(at, g[at])
+        slope = (g[at] * d).sum(1)
+        up = slope >= 0
+        if up.any():
+            d[up], pairs.count[at[up]] = -g[at[up]], 0
+            slope[up] = -(d[up] ** 2).sum(1)
+        t = np.minimum(1.0, 1.0 / np.abs(g[at]).sum(1)) if it == 0 else np.ones(len(at))
+        t, new, grad = _search(loss, at, x[at], value[at], d, slope, t)
+        good = new <= value[at]
+        live[at[~good]] = False
+        at, t, new, grad, d = at[good], t[good], new[good], grad[good], d[good]
+        step, turn, change = t[:, None] * d, grad - g[at], value[at] - new
+        x[at], value[at], g[at] = x[at] + step, new, grad
+        curve, size = (step * turn).sum(1), (turn * turn).sum(1)
+        keep = curve > 1e-10 * size + 1e-300
+        pairs.push(at[keep], step[keep], turn[keep], curve[keep])
+        live[at[(np.abs(step).max(1, initial=0.0) <= tol) | (change <= tol)]] = False
     return x
 
 
-def learn_weights(a: np.ndarray, b: np.ndarray, p: np.ndarray, confidence: np.ndarray, before: np.ndarray, cfg: Config) -> tuple[np.ndarray, float]:
-    """Weights of the genes for these proportions, and their loss; the best round is kept."""
-    loss = Loss(a, b, p, confidence, cfg)
-    x = fit_mean(before, cfg.floor, cfg.baseline, cfg.fix_mean)[0]
-    best, best_value = x, np.inf
-    last, last_value = x, None
+def learn_weights(loss: Loss, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the genes for the loss's proportions, and their loss; each mixture's best round is kept."""
+    cfg = loss.cfg
+    fit = lambda raw: fit_mean(raw, cfg.floor, cfg.baseline, cfg.fix_mean)[0]
+    norm = lambda x: np.maximum(np.sqrt((x * x).sum(1)), 1e-12)
+    best = fit(before)
+    last, best_value, last_value = best.copy(), np.full(len(best), np.inf), np.full(len(best), np.nan)
+    at = np.arange(len(best))
     for _ in range(cfg.rounds):
-        x = fit_mean(lbfgs(loss, x, cfg.steps, cfg.learn_tol), cfg.floor, cfg.baseline, cfg.fix_mean)[0]
-        value = loss(x)[0]
-        if value < best_value:
-            best, best_value = x, value
-        moved = np.linalg.norm(x - last) / max(np.linalg.norm(last), 1e-12)
-        gained = np.inf if last_value is None else abs(value - last_value) / max(abs(last_value), 1e-12)
-        last, last_value = x, value
-        if moved < cfg.learn_tol and gained < cfg.learn_tol:
+        own = loss.take(at)
+        x = fit(lbfgs(own, last[at], cfg.steps, cfg.learn_tol))
+        value = own(x)[0]
+        better = value < best_value[at]
+        best[at[better]], best_value[at[better]] = x[better], value[better]
+        moved = np.sqrt(((x - last[at]) ** 2).sum(1)) / norm(last[at])
+        gained = np.abs(value - last_value[at]) / np.maximum(np.abs(last_value[at]), 1e-12)
+        last[at], last_value[at] = x, value
+        at = at[~((moved < cfg.learn_tol) & (gained < cfg.learn_tol))]
+        if not len(at):
             break
-    return best, float(best_value)
+    return best, best_value
 
 
 def weighted_ls(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    aw = a * w[:, None]
-    return simplex_ls((aw.T @ a)[None], (aw.T @ b)[None])[0]
+    aw = np.swapaxes(a * w[:, :, None], 1, 2)
+    return simplex_ls(aw @ a, (aw @ b[:, :, None])[:, :, 0])
+
 
+def deconvolve(a: np.ndarray, b: np.ndarray, cfg: Config, confidence: np.ndarray | None = None) -> dict[str, np.ndarray | list]:
+    """Weights and proportions by turns until the averaged proportions settle, for every mixture of a stack.
 
-def deconvolve(a: np.ndarray, b: np.ndarray, cfg: Config, confidence: np.ndarray | None = None) -> dict:
-    """Weights and proportions by turns until the averaged proportions settle."""
-    if not (np.isfinite(a).all() and np.isfinite(b).all()) or not len(b):
+    proportions, raw (before they are made shares), initial_proportions, iterations, converged, change_history (a list a
+    mixture), meta_weights, weight_stats, loss and what it is made of (``PARTS``).
+    """
+    m, n = b.shape
+    if not n or not (np.isfinite(a).all() and np.isfinite(b).all()):
         raise ValueError("signature and bulk must be finite and not empty")
-    c = np.maximum(np.ones(len(b)) if confidence is None else confidence, cfg.weight_floor)
-    x = weighted_ls(a, b, np.ones(len(b)))
-    first, w = to_simplex(x), np.full(len(b), cfg.baseline)
-    history: list[float] = []
-    while len(history) < cfg.max_iter:
-        w, loss = learn_weights(a, b, x, c, w, cfg)
-        new = weighted_ls(a, b, np.maximum(w * c, cfg.weight_floor))
-        averaged = (new + cfg.old_weight * x) / (cfg.old_weight + 1)
-        history.append(float(np.linalg.norm(averaged - x)))
-        x = averaged
-        if history[-1] <= cfg.tol:
+    c = np.maximum(np.ones((m, n)) if confidence is None else confidence, cfg.weight_floor)
+    x = weighted_ls(a, b, np.ones((m, n)))
+    first, w, loss = to_simplex(x), np.full((m, n), cfg.baseline), np.zeros(m)
+    parts = {p: np.zeros(m) for p in PARTS}
+    history: list[list[float]] = [[] for _ in range(m)]
+    at = np.arange(m)
+    for _ in range(cfg.max_iter):
+        goal = Loss(a[at], b[at], x[at], c[at], cfg)
+        w[at], loss[at] = learn_weights(goal, w[at])
+        new = weighted_ls(a[at], b[at], np.maximum(w[at] * c[at], cfg.weight_floor))
+        averaged = (new + cfg.old_weight * x[at]) / (cfg.old_weight + 1)
+        change = np.sqrt(((averaged - x[at]) ** 2).sum(1))
+        for i, v in zip(at.tolist(), change.tolist()):
+            history[i].append(v)
+        x[at] = averaged
+        done = np.array([len(history[i]) == cfg.max_iter for i in at.tolist()]) | (change <= cfg.tol)
+        if done.any():
+            for p, v in goal.parts(w[at]).items():
+                parts[p][at[done]] = v[done]
+        at = at[~done]
+        if not len(at):
             break
     total = np.maximum(w * c, cfg.weight_floor)
     return {
         "proportions": to_simplex(x),
+        "raw": x,
         "initial_proportions": first,
-        "iterations": len(history),
-        "converged": bool(history and history[-1] <= cfg.tol),
+        "iterations": [len(h) for h in history],
+        "converged": [h[-1] <= cfg.tol for h in history],
         "change_history": history,
         "meta_weights": w,
-        "weight_stats": [w.min(), w.mean(), w.max(), total.min(), total.mean(), total.max()],
+        "weight_stats": np.stack([w.min(1), w.mean(1), w.max(1), total.min(1), total.mean(1), total.max(1)], 1),
         "loss": loss,
+        **parts,
     }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded
 from ..functions.learn import Config
 from ..functions.storage import materialize, new_dir
-from ..operators import anchor, evaluate, markers, normalize, profiles, solve, summarize, tree, weighted
+from ..operators import anchor, evaluate, markers, normalize, packed, profiles, solve, summarize, tree, weighted
 from ..sources import files
 from ..sources.roles import PRIORITIES, Roles
 
@@ -269,13 +269,13 @@ def nnls_solve(r: Roles) -> DataFrame:
 @query
 def weighted_deconvolve(r: Roles) -> DataFrame:
     by = ["tissue", "mixture"]
-    return weighted.weighted_deconvolve(normalize.prepared(r.signature(), r.bulk()), by).drop("genes", "meta_weights", "change_history")
+    return weighted.weighted_deconvolve(packed.solver_pack(r.signature(), r.bulk()), by).drop("genes", "meta_weights", "change_history")
 
 
 @query
 def learn_gene_weights(r: Roles) -> DataFrame:
     by = ["tissue", "mixture"]
-    return weighted.long_weights(weighted.weighted_deconvolve(normalize.prepared(r.signature(), r.bulk()), by), by)
+    return weighted.long_weights(weighted.weighted_deconvolve(packed.solver_pack(r.signature(), r.bulk()), by), by)
 
 
 @query
@@ -720,9 +720,10 @@ def batch_evaluation(r: Roles) -> DataFrame:
     """Prepare, solve by two methods, score against the truth, sum up."""
     by = ["tissue", "mixture"]
     signature, bulk = r.once("signature", r.signature), r.once("bulk", r.bulk)
-    scored = solve.simplex_ls(solve.gram_stats(normalize.prepared(signature, bulk), by, k=3))
+    signed = packed.pack_signature(signature, bulk)
+    scored = solve.simplex_ls(packed.solver_grams(signature, bulk, packed=signed))
     # non-negative least squares take shares as they are: on joint z-scores of these tables their best fit is 0
-    plain = solve.nnls_solve(solve.gram_stats(normalize.prepared(signature, bulk, zscore=False), by, k=3))
+    plain = solve.nnls_solve(packed.solver_grams(signature, bulk, zscore=False, packed=signed))
     solved = [solve.named(x, signature, by).withColumn("method", F.lit(n)) for n, x in (("simplex", scored), ("nnls", plain))]
     scored = evaluate.mixture_metrics(evaluate.prediction_detail(solved[0].unionByName(solved[1]), r.truth(), RARE))
     log = scored.withColumns({"error": F.lit(None).cast("string"), "converged": F.lit(True), "iterations": F.lit(1)})

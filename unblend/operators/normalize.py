@@ -39,12 +39,16 @@ def pick_mixtures(bulk: DataFrame, wanted: DataFrame, keys: list[str] = KEYS) ->
 
 
 def normalize_columns(long: DataFrame, column: str, genes: DataFrame | None = None, keys: list[str] = KEYS) -> DataFrame:
-    """Values as shares of their column's sum over the shared genes."""
+    """Values as shares of their column's sum over the shared genes.
+
+    A column is gathered once and added up in gene order, so a share's bits don't depend on how rows arrive.
+    """
     if genes is not None:
         long = long.join(genes, [*keys, "gene"], "left_semi")
-    total = long.groupBy(*keys, column).agg(F.sum("value").alias("total"))
-    joined = long.join(total, [*keys, column])
-    return joined.select(*keys, column, "gene", (F.col("value") / positive_or_fail(F.col("total"), column)).alias("value"))
+    packed = long.groupBy(*keys, column).agg(F.array_sort(F.collect_list(F.struct("gene", "value"))).alias("g"))
+    total = F.aggregate("g.value", F.lit(0.0), lambda s, v: s + F.coalesce(v.cast("double"), F.lit(0.0)))
+    packed = packed.withColumn("total", positive_or_fail(total, column))
+    return packed.select(*keys, column, "total", F.inline("g")).select(*keys, column, "gene", (F.col("value") / F.col("total")).alias("value"))
 
 
 def unusable(long: DataFrame, column: str, genes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -92,30 +96,14 @@ def prepared(signature: DataFrame, bulk: DataFrame, keys: list[str] = KEYS, zsco
     ``zscore`` is false, each gene z-scored over the signature's values and the one
     mixture's (population deviation, 0 counts as 1).
 
-    The signature is normalised once a tissue and joined as one array a gene, so
-    rows number mixtures x genes, not that times cell types. Mixtures that lack
-    a gene of their tissue have 0 there. ``genes``: those of both tables, if they are known.
+    Rows number mixtures x genes. Mixtures that lack a gene of their tissue have 0 there. A column that can't be made
+    shares stops the job. ``genes``: those of both tables, if they are known. See ``packed``, whose rows these are.
     """
-    genes = shared_genes(bulk, signature, keys) if genes is None else genes
-    sig = signature_rows(normalize_columns(signature, "cell_type", genes, keys), keys)
-    shares = normalize_columns(bulk, "mixture", genes, keys)
-    grid = shares.select(*keys, "mixture").distinct().join(genes, keys)
-    full = grid.join(shares, [*keys, "mixture", "gene"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    rows = full.join(sig.drop("types"), [*keys, "gene"]).withColumnRenamed("value", "b")
-    if not zscore:
-        return rows.select(*keys, "mixture", "gene", "a", "b")
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    rows = rows.withColumn("all", F.concat("a", F.array("b")))
-    rows = rows.withColumn("mean", total("all") / F.size("all"))
-    var = total(F.transform("all", lambda x: (x - F.col("mean")) * (x - F.col("mean")))) / F.size("all")
-    rows = rows.withColumn("sd", F.when(var > 0, F.sqrt(var)).otherwise(1.0))
-    return rows.select(
-        *keys,
-        "mixture",
-        "gene",
-        F.transform("a", lambda x: (x - F.col("mean")) / F.col("sd")).alias("a"),
-        ((F.col("b") - F.col("mean")) / F.col("sd")).alias("b"),
-    )
+    from .packed import solver_pack
+
+    rows = solver_pack(signature, bulk, keys, zscore, genes)
+    fine = F.when(F.col("error").isNull(), True).otherwise(F.raise_error(F.col("error")).cast("boolean"))
+    return rows.where(fine).select(*keys, "mixture", F.inline(F.arrays_zip("gene", "a", "b")))
 
 
 def joint_zscore_all(signature: DataFrame, bulk: DataFrame, keys: list[str] = KEYS, dense: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -37,8 +37,8 @@ def _stacked(solver):
     @F.pandas_udf("array<double>")
     def solve(h: pd.Series, l: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(l), dtype=object)
-        sizes = l.map(len)
-        for k in sizes.unique():
+        sizes = l.map(lambda x: -1 if x is None else len(x))  # rows with an error have no equations
+        for k in sizes[sizes >= 0].unique():
             at = np.flatnonzero(sizes == k)
             left = np.stack(h.iloc[at].to_list()).reshape(len(at), k, k)
             got = solver(left, np.stack(l.iloc[at].to_list()))
