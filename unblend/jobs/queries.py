@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
@@ -411,21 +411,22 @@ def recover_reference_rank1(r: Roles) -> DataFrame:
     return solve.recover_rank1(r.signature(), r.bulk(), _p(r), 0.6)
 
 
-def _sampled(r: Roles) -> DataFrame:
-    order = F.pmod(F.col("gene") * 7919 + F.col("repeat") * 104729 + F.col("mixture") * 31, F.lit(1009))
-    return solve.subsample_genes(_two_rows(r).withColumn("w", 1.0 + F.col("gene") / 10.0), 5, 0.7, order, ["tissue", "mixture"])
+def _order(repeat: Column) -> Column:
+    return F.pmod(F.col("gene") * 7919 + repeat * 104729 + F.col("mixture") * 31, F.lit(1009))
 
 
 @query
 def subsample_genes(r: Roles) -> DataFrame:
-    return _sampled(r).select("tissue", "mixture", "repeat", "gene")
+    flags = solve.subsample_genes(_two_rows(r), 5, 0.7, _order, ["tissue", "mixture"])
+    return flags.select("tissue", "mixture", "gene", F.posexplode("in_repeats").alias("repeat", "has")).where("has").drop("has")
 
 
 @query
 def stability_solve(r: Roles) -> DataFrame:
     by = ["tissue", "mixture"]
-    full = solve.simplex_ls(solve.gram_stats(_two_rows(r), by, 1.0 + F.col("gene") / 10.0)).select(*by, F.col("x").alias("full_x"))
-    return solve.stability_solve(_sampled(r), full, by).withColumn("x0", F.col("x")[0]).drop("x")
+    rows = _two_rows(r).withColumn("w", 1.0 + F.col("gene") / 10.0)
+    full = solve.simplex_ls(solve.gram_stats(rows, by, F.col("w"))).select(*by, F.col("x").alias("full_x"))
+    return solve.stability_solve(rows, full, 5, 0.7, _order, by).withColumn("x0", F.col("x")[0]).drop("x")
 
 
 # ---------------------------------------------------------------- evaluation

@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import guarded_corr, mid_rank, number_or_zero
+from ..functions.numbering import numbered
 from ..functions.pvalues import corr_p_column as corr_p
+from ..functions.storage import materialize
 from .normalize import KEYS, normalize_nonnegative
 
 
 def orient(cells: DataFrame, types: DataFrame, keys: list[str], columns_first: bool) -> DataFrame:
-    """Raw matrix entries (keys, method, r, r_idx, c, c_idx, v) with rows as mixtures and columns as cell types.
+    """Raw matrix entries (keys, method, r, r_idx, c, c_idx, v) with rows as mixtures and columns as cell types; entries of
+    other types go.
 
     One decision per matrix: turned where more row names than column names are cell types
-    (``columns_first``: only where no column name is one).
+    (``columns_first``: only where no column name is one). The entries are read once and written with what they may be; a
+    matrix's decision is one aggregate over that, which gathers no more names than the tissue has types.
     """
     own = [*keys, "method"]
-    known = types.select(*keys, F.col("cell_type").alias("name")).distinct()
-    names = lambda side: (
-        cells.select(*own, F.col(side).alias("name")).distinct().join(known, [*keys, "name"]).groupBy(*own).agg(F.count(F.lit(1)).alias(f"{side}_hits"))
-    )
-    flags = cells.select(*own).distinct().join(names("r"), own, "left").join(names("c"), own, "left").fillna(0, ["r_hits", "c_hits"])
+    known = types.groupBy(*keys).agg(F.collect_set("cell_type").alias("_types"))  # a taxonomy's few dozen names
+    own_type = lambda side: F.coalesce(F.array_contains("_types", F.col(side)), F.lit(False))
+    seen = cells.join(F.broadcast(known), keys, "left").withColumns({"_r": own_type("r"), "_c": own_type("c")}).where("_r or _c").drop("_types")
+    seen = materialize(seen, "matrix-entries")
+    hits = lambda side: F.size(F.collect_set(F.when(F.col(f"_{side}"), F.col(side))))
+    flags = seen.groupBy(*own).agg(hits("r").alias("r_hits"), hits("c").alias("c_hits"))
     turn = (F.col("c_hits") == 0) & (F.col("r_hits") > 0) if columns_first else F.col("r_hits") > F.col("c_hits")
-    flags = flags.select(*own, turn.alias("turned"))
-    swap = lambda a, b: F.when(F.col("turned"), F.col(b)).otherwise(F.col(a))
-    return cells.join(flags, own).select(
+    turned = seen.join(flags.select(*own, turn.alias("_turned")), own)
+    swap = lambda a, b: F.when(F.col("_turned"), F.col(b)).otherwise(F.col(a))
+    return turned.where(swap("_c", "_r")).select(
         *own, swap("r", "c").alias("row"), swap("r_idx", "c_idx").alias("row_idx"), swap("c", "r").alias("cell_type"), "v"
     )
 
@@ -37,27 +45,25 @@ def align_predictions(cells: DataFrame, truth: DataFrame, keys: list[str] = KEYS
     name matches, else by the number that a row's name ends with, else by place. The lenient
     rule keeps the common cell types; it matches by name only if all names are there, else
     takes the first rows by place. The strict rule drops matrices that lack a cell type or have
-    rows to spare that nothing names.
+    rows to spare that nothing names. Places come from counts of stretches of rows, so no task sees a whole matrix.
     """
     own = [*keys, "method"]
-    turned = orient(cells, truth, keys, lenient)
     wanted = truth.select(*keys, "mixture", "mixture_idx").distinct()
     types = truth.select(*keys, "cell_type").distinct()
-    kept = turned.join(types, [*keys, "cell_type"], "left_semi")
+    kept = materialize(orient(cells, types, keys, lenient), "oriented")
     n_types = types.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_types"))
     n_want = wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_want"))
-    rows = kept.select(*own, "row", "row_idx").distinct()
     digits = F.regexp_extract("row", r"(\d+)$", 1)
-    rows = rows.withColumn("number", F.when(digits != "", digits.cast("long")))
-    place = F.row_number().over(Window.partitionBy(*own).orderBy("row_idx"))
-    rows = rows.withColumn("place", place.cast("long"))
-    by_name = rows.join(wanted.select(*keys, F.col("mixture").cast("string").alias("row"), F.col("mixture").alias("m_name")), [*keys, "row"], "left")
+    rows = kept.select(*own, "row", "row_idx").distinct().withColumn("number", F.when(digits != "", digits.cast("long")))
     # of rows that end with one number the last one counts
-    last = F.row_number().over(Window.partitionBy(*own, "number").orderBy(F.desc("row_idx"))) == 1
-    by_name = by_name.withColumn("number", F.when(last, F.col("number")))
+    last = rows.where("number is not null").groupBy(*own, "number").agg(F.max("row_idx").alias("row_idx"), F.lit(True).alias("last"))
+    rows = numbered(rows, own, ["row_idx", "row"], "place").withColumn("place", F.col("place") + 1)
+    rows = rows.join(last, [*own, "number", "row_idx"], "left").withColumn("number", F.when(F.col("last"), F.col("number"))).drop("last")
+    by_name = rows.join(wanted.select(*keys, F.col("mixture").cast("string").alias("row"), F.col("mixture").alias("m_name")), [*keys, "row"], "left")
     spots = wanted.select(*keys, F.col("mixture_idx").cast("long").alias("spot"), F.col("mixture").alias("m_spot"))
-    numbered = by_name.join(spots.withColumnRenamed("spot", "number").withColumnRenamed("m_spot", "m_number"), [*keys, "number"], "left")
-    matched = numbered.join(spots.withColumnRenamed("spot", "place").withColumnRenamed("m_spot", "m_place"), [*keys, "place"], "left")
+    by_number = by_name.join(spots.withColumnRenamed("spot", "number").withColumnRenamed("m_spot", "m_number"), [*keys, "number"], "left")
+    matched = by_number.join(spots.withColumnRenamed("spot", "place").withColumnRenamed("m_spot", "m_place"), [*keys, "place"], "left")
+    matched = materialize(matched, "matched-rows")
     found = matched.groupBy(*own).agg(
         F.count("m_name").alias("names"), F.count("m_number").alias("numbers"), F.count(F.lit(1)).alias("n_rows")
     )
@@ -98,11 +104,15 @@ def common_mixtures(predictions: DataFrame, n_methods: int, keys: list[str] = KE
 
 def prediction_detail(predictions: DataFrame, truth: DataFrame, rare: float = 0.05, keys: list[str] = KEYS) -> DataFrame:
     """Predictions beside the truth, one row each: errors and whether the type is rare (0 < truth < ``rare``).
-    A key that occurs twice on the truth's side stops the job."""
+    A key that occurs twice on either side (a method's predictions, the truth) stops the job."""
     by = [*keys, "mixture", "cell_type"]
-    once = truth.groupBy(*by).agg(F.max("truth").alias("truth"), F.count(F.lit(1)).alias("n"))
-    once = once.withColumn("truth", F.when(F.col("n") == 1, F.col("truth")).otherwise(F.raise_error(F.lit("truth isn't one to one")).cast("double")))
-    both = predictions.join(once.drop("n"), by)
+
+    def once(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
+        one = rows.groupBy(*groups).agg(F.max(value).alias(value), F.count(F.lit(1)).alias("_n"))
+        fail = F.raise_error(F.lit(f"{value} isn't one to one")).cast("double")
+        return one.select(*groups, F.when(F.col("_n") == 1, F.col(value)).otherwise(fail).alias(value))
+
+    both = once(predictions, ["method", *by], "prediction").join(once(truth, by, "truth"), by)
     gap = F.col("prediction") - F.col("truth")
     return both.select(
         "method", *by, "truth", "prediction", F.abs(gap).alias("abs_error"), gap.alias("signed_error"),
@@ -145,13 +155,43 @@ def method_correlations(detail: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return out.withColumn("pearson_p", corr_p("pearson", "n")).withColumn("spearman_p", corr_p("spearman", "n"))
 
 
+def mid_ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties at the mean of theirs."""
+    order = np.argsort(x, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], x[order][1:] != x[order][:-1]]))
+    size = np.diff(np.append(new, len(x)))
+    out = np.empty(len(x))
+    out[order] = np.repeat(new + (size + 1) / 2.0, size)
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def _rank_corr(values: pd.Series, ranks: pd.Series, whole: pd.Series) -> pd.Series:
+    """Spearman of values and the other side's ranks; ranks over more than these rows are ranked again."""
+
+    def one(x: np.ndarray, r: np.ndarray, n: int) -> float | None:
+        x, r = mid_ranks(np.asarray(x, float)), np.asarray(r, float)
+        r = r if len(r) == n else mid_ranks(r)
+        dx, dr = x - x.mean(), r - r.mean()
+        size = np.sqrt((dx @ dx) * (dr @ dr))
+        return float(dx @ dr / size) if size > 0 else None
+
+    return pd.Series([one(*z) for z in zip(values, ranks, whole)], dtype="float64")
+
+
 def spearman_by_group(recovered: DataFrame, true_profiles: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Spearman over genes of recovered and true profiles per mixture and cell type, ties at mean
-    ranks. True profiles are ranked once a tissue where a mixture has all genes of it."""
-    by = [*keys, "mixture", "cell_type"]
-    both = recovered.join(true_profiles.withColumnRenamed("value", "true_value"), [*keys, "gene", "cell_type"])
-    ranked = both.withColumn("rr", mid_rank("recovered", by)).withColumn("rt", mid_rank("true_value", by))
-    return ranked.groupBy(*by).agg(guarded_corr("rr", "rt").alias("spearman"))
+    ranks; null for one gene or without spread.
+
+    True profiles are ranked once a tissue and type. A mixture that has all genes takes those ranks, one that lacks some ranks them
+    again among its own. A mixture's type is gathered in one row; no window runs over the recovered values.
+    """
+    by, profile = [*keys, "mixture", "cell_type"], [*keys, "cell_type"]
+    true = true_profiles.select(*profile, "gene", mid_rank("value", profile).alias("rt"), F.count(F.lit(1)).over(Window.partitionBy(*profile)).alias("n"))
+    both = recovered.join(true, [*keys, "gene", "cell_type"]).groupBy(*by)
+    packed = both.agg(F.sort_array(F.collect_list(F.struct("gene", "recovered", "rt"))).alias("g"), F.max("n").alias("n"))
+    rank = _rank_corr(F.col("g.recovered"), F.col("g.rt"), F.col("n"))
+    return packed.select(*by, rank.alias("spearman")).withColumn("spearman", F.when(~F.isnan("spearman"), F.col("spearman")))
 
 
 def recovery_summary(spearman: DataFrame, passing: float = 0.8, keys: list[str] = KEYS) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import guarded_corr
+from ..functions.numbering import numbered
 from ..functions.storage import materialize
 from .normalize import KEYS, dense_signature, log1p_counts, normalize_columns
 
@@ -88,8 +92,7 @@ def allocate_counts(shares: DataFrame, total: int, groups: list[str], name: str,
 def draw_cells(plan: DataFrame, cells: DataFrame, slot: Column, keys: list[str] = KEYS) -> DataFrame:
     """Cells for a plan (keys, mixture, cell_type, draw), with replacement: the draw's
     ``slot`` modulo the number of cells of the type picks one. Counts of draws per cell."""
-    order = Window.partitionBy(*keys, "cell_type").orderBy("cell_id")
-    placed = cells.select(*keys, "cell_type", "cell_id", (F.row_number().over(order) - 1).alias("at"))
+    placed = numbered(cells.select(*keys, "cell_type", "cell_id"), [*keys, "cell_type"], ["cell_id"], "at")
     sizes = cells.groupBy(*keys, "cell_type").agg(F.count(F.lit(1)).alias("size"))
     drawn = plan.join(sizes, [*keys, "cell_type"]).withColumn("at", F.pmod(slot, F.col("size")))
     counted = drawn.groupBy(*keys, "mixture", "cell_type", "at").agg(F.count(F.lit(1)).alias("times"))
@@ -118,14 +121,52 @@ def perturb_reference(signature: DataFrame, noise: Column, sigma: float, keys: l
 
 def profile_correlation(profiles: DataFrame, name: str = "cell_type", keys: list[str] = KEYS) -> DataFrame:
     """Distance 1 - r of every two profiles of a tissue over all its genes, in [0, 2]; absent
-    values are 0, without spread r counts as 0. Both sides of a pair share the gene's row, so
-    genes are joined, not crossed."""
+    values are 0, without spread r counts as 0.
+
+    A gene is one row with the values that are there: zeros add nothing to sums of products. Tasks add up a
+    matrix of types x types a tissue over their genes, and hand on that many sums.
+    """
     profiles = materialize(profiles, "correlation-profiles")
-    grid = profiles.select(*keys, "gene").distinct().join(profiles.select(*keys, name).distinct(), keys)
-    pick = [*keys, "gene", name]
-    profiles = grid.join(profiles, pick, "left").select(*pick, F.coalesce("value", F.lit(0.0)).alias("value"))
-    left = profiles.select(*keys, "gene", F.col(name).alias("name_1"), F.col("value").alias("x"))
-    right = profiles.select(*keys, "gene", F.col(name).alias("name_2"), F.col("value").alias("y"))
-    pairs = left.join(right, [*keys, "gene"]).where("name_1 < name_2").groupBy(*keys, "name_1", "name_2")
-    r = F.coalesce(guarded_corr("x", "y"), F.lit(0.0))
-    return pairs.agg(F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - r)).alias("distance"))
+    packed = profiles.where(F.coalesce("value", F.lit(0.0)) != 0).groupBy(*keys, "gene").agg(F.collect_list(F.struct(F.col(name).alias("name"), "value")).alias("g"))
+    packed = packed.select(*keys, F.col("g.name").alias("names"), F.col("g.value").alias("values"))
+    kind = {f.name: f.dataType.simpleString() for f in profiles.schema}
+    schema = ", ".join([f"`{k}` {kind[k]}" for k in keys] + [f"name_1 {kind[name]}", f"name_2 {kind[name]}", "xy double", "x double", "y double"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: dict[tuple, dict] = {}
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                key = tuple(row[k] for k in keys)
+                own = at.setdefault(key, {})
+                place = np.array([own.setdefault(n, len(own)) for n in row["names"]], int)
+                have = sums.setdefault(key, np.zeros((8, 8, 3)))
+                if len(own) > len(have):
+                    wide = np.zeros((2 * len(own), 2 * len(own), 3))
+                    wide[: len(have), : len(have)] = have
+                    have = sums[key] = wide
+                v = np.asarray(row["values"], float)
+                have[np.ix_(place, place)] += np.stack([np.outer(v, v), *np.broadcast_arrays(v[:, None], v[None, :])], -1)
+        out = []
+        for key, own in at.items():
+            for n, i in own.items():
+                out += [(*key, n, m, *sums[key][i, j]) for m, j in own.items() if n <= m]
+        yield pd.DataFrame(out, columns=[*keys, "name_1", "name_2", "xy", "x", "y"])
+
+    pair = [*keys, "name_1", "name_2"]
+    xy = packed.mapInPandas(run, schema).groupBy(*pair).agg(F.sum("xy").alias("xy"))
+    xy = materialize(xy, "correlation-sums")
+    every = profiles.select(*keys, F.col(name).alias("name")).distinct()
+    total = profiles.groupBy(*keys, F.col(name).alias("name")).agg(F.sum("value").alias("s"))
+    square = xy.where("name_1 = name_2").select(*keys, F.col("name_1").alias("name"), F.col("xy").alias("ss"))
+    n = profiles.select(*keys, "gene").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    one = every.join(total, [*keys, "name"]).join(square, [*keys, "name"], "left").join(n, keys)
+    mean = F.coalesce("s", F.lit(0.0)) / F.col("n")
+    var = F.coalesce("ss", F.lit(0.0)) / F.col("n") - mean * mean
+    # what is left of equal squares by rounding isn't spread
+    one = one.select(*keys, "name", "n", mean.alias("m"), F.when(var > 1e-13 * F.coalesce("ss", F.lit(0.0)) / F.col("n"), F.sqrt(var)).alias("d"))
+    one = materialize(one, "correlation-spread")
+    side = lambda i: one.select(*keys, "n", F.col("name").alias(f"name_{i}"), F.col("m").alias(f"m{i}"), F.col("d").alias(f"d{i}"))
+    both = side(1).join(side(2).drop("n"), keys).where("name_1 < name_2").join(xy, pair, "left")
+    r = (F.coalesce("xy", F.lit(0.0)) / F.col("n") - F.col("m1") * F.col("m2")) / (F.col("d1") * F.col("d2"))
+    return both.select(*pair, F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - F.coalesce(r, F.lit(0.0)))).alias("distance"))

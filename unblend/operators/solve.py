@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import qp
@@ -95,27 +97,70 @@ def recover_rank1(signature: DataFrame, bulk: DataFrame, proportions: DataFrame,
     )
 
 
-def subsample_genes(rows: DataFrame, repeats: int, fraction: float, order: Column, by: list[str]) -> DataFrame:
-    """``repeats`` samples without replacement of round(fraction * n) genes (at least 1) of each group.
+#: For the number of a repeat, what its sample's genes are ordered by; may use the rows' columns.
+Order = Callable[[Column], Column]
+
+
+def _packed_orders(rows: DataFrame, repeats: int, order: Order, by: list[str]) -> DataFrame:
+    """A group's rows as one, genes in order, each with what every repeat orders it by."""
+    orders = F.array(*[order(F.lit(r)).cast("double") for r in range(repeats)])
+    fields = ["gene", *[c for c in ("a", "b", "w") if c in rows.columns]]
+    packed = rows.select(*by, *fields, orders.alias("orders")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields, "orders"))).alias("g"))
+    return packed.select(*by, *[F.col(f"g.{c}").alias(c) for c in (*fields, "orders")])
+
+
+def _masks(orders: np.ndarray, fraction: float) -> np.ndarray:
+    """For each repeat whether it has the gene (repeats, genes), from (genes, repeats) orders; ties go to the earlier gene."""
+    n = len(orders)
+    size = max(1, round(n * fraction))  # halves to even
+    out = np.zeros((orders.shape[1], n), bool)
+    np.put_along_axis(out, np.argsort(orders.T, 1, kind="stable")[:, :size], True, 1)
+    return out
+
 
-    ``order`` may use ``repeat`` and ``gene``; the smallest values are taken."""
-    each = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    w = Window.partitionBy(*by, "repeat")
-    ranked = each.withColumn("place", F.row_number().over(w.orderBy(order, "gene"))).withColumn("n", F.count(F.lit(1)).over(w))
-    size = F.greatest(F.lit(1), F.bround(F.col("n") * fraction).cast("int"))
-    return ranked.where(F.col("place") <= size).drop("place", "n")
+def subsample_genes(rows: DataFrame, repeats: int, fraction: float, order: Order, by: list[str]) -> DataFrame:
+    """(by, gene, in_repeats): in which of the ``repeats`` samples without replacement of round(fraction * n) genes (at
+    least 1) of its group each gene is, as one array of flags a gene. A sample takes the genes that are first in its ``order``."""
+    packed = _packed_orders(rows.select(*by, *[c for c in rows.columns if c not in ("a", "b", *by)]), repeats, order, by).select(*by, "gene", "orders")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([f"`{k}` {kind[k]}" for k in by] + [f"gene array<{kind['gene']}>", "in_repeats array<array<boolean>>"])
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["in_repeats"] = [list(_masks(np.stack(o), fraction).T) for o in batch["orders"]]
+            yield batch.drop(columns="orders")
 
-def stability_solve(sample: DataFrame, full: DataFrame, by: list[str], k: int | None = None) -> DataFrame:
-    """Weighted solves of gene samples (``w``: fixed weights) against the solution over all genes
-    (by, full_x): x, distances l1 and l2, and what the sample's weights were."""
-    groups = [*by, "repeat"]
-    stats = sample.groupBy(*groups).agg(F.min("w").alias("w_min"), F.avg("w").alias("w_mean"), F.max("w").alias("w_max"))
-    solved = simplex_ls(gram_stats(sample, groups, F.col("w"), k)).join(stats, groups).join(full, by)
+    return packed.mapInPandas(run, schema).select(*by, F.inline(F.arrays_zip("gene", "in_repeats")))
+
+
+def stability_solve(rows: DataFrame, full: DataFrame, repeats: int, fraction: float, order: Order, by: list[str]) -> DataFrame:
+    """Weighted solves of gene samples (``w``: fixed weights) against the solution over all genes (by, full_x):
+    (by, repeat, x, n_genes, distances l1 and l2, and what the sample's weights were).
+
+    A group's rows are packed once, whatever the number of repeats: each repeat is a mask of genes, and one product of a
+    stack gives the normal equations of all.
+    """
+    packed = _packed_orders(rows, repeats, order, by)
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([f"`{k}` {kind[k]}" for k in by] + ["repeat int, h array<double>, l array<double>, n_genes long, w_min double, w_mean double, w_max double"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                a, b, w = np.stack(row["a"]).astype(float), np.asarray(row["b"], float), np.asarray(row["w"], float)
+                for r, mask in enumerate(_masks(np.stack(row["orders"]), fraction)):
+                    own, x = w[mask], a[mask]
+                    left = x.T * own
+                    out.append([*[row[k] for k in by], r, (left @ x).ravel(), left @ b[mask], int(mask.sum()), own.min(), own.mean(), own.max()])
+            yield pd.DataFrame(out, columns=[*by, "repeat", "h", "l", "n_genes", "w_min", "w_mean", "w_max"])
+
+    solved = simplex_ls(packed.mapInPandas(run, schema)).join(full, by)
     gaps = F.zip_with("x", "full_x", lambda p, q: p - q)
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + v)
     return solved.select(
-        *groups,
+        *by,
+        "repeat",
         "x",
         "n_genes",
         total(F.transform(gaps, F.abs)).alias("l1"),
@@ -124,4 +169,3 @@ def stability_solve(sample: DataFrame, full: DataFrame, by: list[str], k: int |
         "w_mean",
         "w_max",
     )
-
