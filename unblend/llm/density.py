@@ -5,8 +5,9 @@ are links. Text that can't belong to an article, by the element, role or name ar
 counts as links do: it is what a page leads with and not what it says. The node whose
 children's densities have the largest sum is the core of the main text. The smallest density
 on the way from it up to the body is the threshold: going up, a node joins unless most of the text
-that it adds is sparser than that (headings aside) and is much beside what is there. The highest that joins is
-the article, and what counts as links by its element or name is left out of it.
+that it adds is sparser than that (headings aside) and is much beside what is there. A box that isn't an element for text is left out where it is light beside
+the sum of the core's densities, or comes before a core that begins with its heading: adverts and lead-ins, by density and
+place and not by name. The highest node that joins is the article, and what counts as links by its element or name is left out of it.
 
 Pages are read in one pass forward, so broken ones cost no more than others.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,8 +51,14 @@ AROUND_NAMES = set(
     "social related recommended recommendations newsletter subscribe subscription signup signin login widget widgets "
     "pagination pager paging copyright legal disclaimer skip tagcloud taboola outbrain".split()
 )
+#: Elements that are made for text, whatever their size.
+OF_TEXTS = HEADINGS | set("p pre blockquote ul ol dl table figure article section main".split())
 OWN_NAMES = set("article post entry story content main body text".split())
 
+#: A box beside the core, not an element for text, is none of its text if neither its density nor its children's sum is this much of the
+#: sum of the core's, or if it comes before a core that begins with its heading.
+LIGHT = 0.25
+
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 # Attributes as HTML reads them: a quote opens a value only right after "=", anywhere else it is a character like others.
 # Each piece stands at one place, so matching never goes back.
@@ -61,7 +68,7 @@ NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "around", "para", "near", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "around", "para", "near", "chars", "tags", "link_chars", "link_tags", "density", "total", "titled")
 
     def __init__(self, tag: str, parent: Node | None, around: bool = False):
         self.tag, self.parent, self.around = tag, parent, around
@@ -74,10 +81,12 @@ class Node:
         self.near = near | {KIND[tag]: self} if tag in KIND else near
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        #: whether it begins with a heading
+        self.titled = tag in HEADINGS
 
 
-def _around(tag: str, raw: str) -> bool:
-    """An element that its name, role or class says isn't part of a text."""
+def _around(tag: str, raw: str, names: Set[str]) -> bool:
+    """An element that its name, role or class (by ``names``) says isn't part of a text."""
     if tag in AROUND:
         return True
     if not raw or tag in ("html", "body", "main"):
@@ -94,7 +103,7 @@ def _around(tag: str, raw: str) -> bool:
             for part in value.split():
                 parts = [x.lower() for x in NAME_PARTS.findall(part)]
                 if parts and parts[0] not in ("has", "no", "with", "is", "without"):
-                    if any(x in AROUND_NAMES for x in parts) and not (
+                    if not names.isdisjoint(parts) and not (
                         OWN_NAMES.intersection(parts) and {"header", "body"}.intersection(parts)
                     ):
                         return True
@@ -134,7 +143,7 @@ class _Tags:
         return -1 if m is None else m.end()
 
 
-def parse(html: str) -> Node:
+def parse(html: str, names: Set[str] = AROUND_NAMES) -> Node:
     """The DOM, forgiving: unclosed and stray tags are put right as browsers mostly do. Character
     references are decoded in each text by itself."""
     root = node = Node("html", None)
@@ -197,7 +206,7 @@ def parse(html: str) -> Node:
             leave(node.para.parent)
         if tag in KIND and KIND[tag] in node.near:
             leave(node.near[KIND[tag]].parent)
-        new = Node(tag, node, _around(tag, raw))
+        new = Node(tag, node, _around(tag, raw, names))
         node.items.append(new)
         if tag not in VOID and not raw.endswith("/"):
             node = new
@@ -248,6 +257,9 @@ def score(order: list[Node]) -> None:
         lc, lt, other = max(1, n.link_chars), max(1, n.link_tags), max(1, n.chars - n.link_chars)
         base = math.log(c / other * n.link_chars + body_links / body_chars * c + math.e)
         n.density = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt))) / max(1.0, math.log(base) if base > math.e else 1.0)
+    for n in reversed(order):
+        first = next((x for x in n.items if (x.strip() if isinstance(x, str) else x.chars and not x.around)), "")
+        n.titled = n.tag in HEADINGS or not isinstance(first, str) and first.titled
     for n in order:
         n.total = sum(x.density for x in n.items if not isinstance(x, str))
 
@@ -272,6 +284,14 @@ def _blocks(n: Node, out: list[list[str]], without: set[int]) -> None:
             stack += [(y, False) for y in reversed(x.items)]
 
 
+def _before(n: Node, core: Node) -> list[Node]:
+    """Boxes of ``n`` that come before a core that begins with its heading, and aren't elements for text."""
+    if not core.titled:
+        return []
+    children = [x for x in n.items if not isinstance(x, str)]
+    return [x for x in children[: children.index(core)] if x.chars and x.tag not in OF_TEXTS]
+
+
 def article(order: list[Node]) -> tuple[Node | None, set[int]]:
     """The subtree with the main text, and nodes in it that aren't part of it. Nodes are scored."""
     best = max(order, key=lambda n: n.total)
@@ -283,9 +303,15 @@ def article(order: list[Node]) -> tuple[Node | None, set[int]]:
     while way[-1].parent is not None and way[-1].tag != "body":
         way.append(way[-1].parent)
     threshold = min(n.density for n in way)
-    top, out, seen = best, set(), set()
+    # a short article may be the densest of its parent's children without being the core
+    inner = [x for x in best.items if not isinstance(x, str) and x.chars and not x.around and x.titled]
+    out = {id(x) for x in _before(best, inner[0])} if inner else set()
+    top, seen = best, set(out)
     for below, n in zip(way, way[1:]):
         beside = [x for x in n.items if not isinstance(x, str) and x is not below and x.chars and not x.around]
+        light = {id(x) for x in _before(n, below)} | {id(x) for x in beside if x.tag not in OF_TEXTS and max(x.density, x.total) < LIGHT * best.total}
+        seen |= light
+        beside = [x for x in beside if id(x) not in light]
         dense = [x for x in beside if x.density >= threshold and 2 * x.link_chars < x.chars or x.tag in HEADINGS]
         gained = sum(x.chars for x in dense) + sum(len(" ".join(x.split())) for x in n.items if isinstance(x, str))
         seen |= {id(x) for x in beside if 2 * x.link_chars >= x.chars and x.tag not in HEADINGS}
@@ -298,11 +324,11 @@ def article(order: list[Node]) -> tuple[Node | None, set[int]]:
     return top, out
 
 
-def main_text(html: str | None) -> str:
-    """The page's main text, a block a line; "" for pages without one."""
+def main_text(html: str | None, names: Set[str] = AROUND_NAMES) -> str:
+    """The page's main text, a block a line; "" for pages without one. ``names``: words of class and id that mark what is around a text."""
     if not html:
         return ""
-    order = _in_order(parse(html))
+    order = _in_order(parse(html, names))
     score(order)
     top, out = article(order)
     if top is None:
@@ -313,19 +339,20 @@ def main_text(html: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
+def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str = "text", names: Set[str] = AROUND_NAMES) -> DataFrame:
     """Adds ``text_col`` with each page's main text; a column of that name is replaced.
 
     Null, empty and textless pages give "". Menus, headers, footers, sidebars,
     notices, adverts, forms, scripts, styles and comments go; white space inside a
     block becomes one space, character references are decoded. Pages are read whole and
     independently, in time that grows with their length: repeated rows give repeated results,
-    ties go to the first node of the page. An empty table gives no rows; all other columns stay.
+    ties go to the first node of the page. An empty table gives no rows; all other columns stay. ``names`` are the words by which a class or id
+    marks what surrounds a text; with none of them, elements, roles and density decide alone.
     """
 
     @F.pandas_udf("string")
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
-            yield pages.map(main_text, na_action=None).astype(object)
+            yield pages.map(lambda html: main_text(html, names), na_action=None).astype(object)
 
     return pages.withColumn(text_col, extract(F.col(html_col)))
