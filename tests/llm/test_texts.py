@@ -278,6 +278,34 @@ def test_bpe_matches_the_library(spark):
     assert [r.text for r in same.orderBy("doc_id").collect()] == [own.encode_ordinary(t) for t in texts[:3]]
 
 
+#: Its first branch looks past any white space for a line's end, so no number bounds how far it looks ahead.
+LINES = r"\s*[\r\n]+|\s+(?!\S)|\s+|\S+"
+#: Pairs of characters, then runs: at most two characters decide.
+PAIRS = r"..|\p{L}+|[\s\S]"
+
+
+def test_look_ahead_goes_with_the_pattern(spark, monkeypatch):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    assert bpe.look_ahead(tokenizers.PATTERN, None) == 3
+    table = spark.createDataFrame([("a \n b",)], "text string")
+    with pytest.raises(ValueError, match="looks ahead"):
+        bpe.encode_texts(table, path, LINES)
+    with pytest.raises(ValueError):
+        bpe.Tokenizer(ranks, LINES, ahead=0)
+    import regex
+
+    monkeypatch.setattr(bpe, "LEAF", 6)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab \n\t.") for _ in range(rng.randint(0, 60))) for _ in range(600)]
+    for pattern, ahead in ((LINES, bpe.UNBOUNDED), (PAIRS, 2), (tokenizers.PATTERN, None)):
+        tok = bpe.Tokenizer(ranks, pattern, ahead=ahead)
+        for t in texts:
+            assert tok.matches(t) == regex.findall(pattern, t), (pattern, t)
+    assert bpe.encode_texts(table, path, LINES, ahead=bpe.UNBOUNDED).first().ids == bpe.Tokenizer(ranks, LINES, ahead=bpe.UNBOUNDED).encode("a \n b")
+
+
 def test_weak_labels_need_no_labels(spark):
     rows, labels = corpus(2, 600)
     docs = spark.createDataFrame([*rows, (9000, None), (9001, "")], "doc_id long, text string").selectExpr("*", "1 AS k", "2 AS votes")

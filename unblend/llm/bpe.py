@@ -42,8 +42,22 @@ PIECE, LEAF = 64, 8192
 NEVER = 1 << 60
 #: Rows that a task encodes or decodes at a time, so a batch's results are never all in memory.
 SLICE = 256
-#: The split pattern looks at most so many characters ahead from a match's start before the match is decided.
-AHEAD = 3
+#: Known split patterns (fixed values) and how many characters they look ahead from a match's start, at most, before it is decided
+#: that the match doesn't go on to the text's end.
+AHEADS = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": 3}
+#: In place of that number: there is none, so a text's matches are found in one piece.
+UNBOUNDED = -1
+
+
+def look_ahead(pattern: str, ahead: int | None) -> int:
+    """The given number, or the one of a known pattern. An unknown pattern's has to be stated: with one that is too small matches near
+    the boundary of two parts could come out wrong."""
+    if ahead is None and pattern not in AHEADS:
+        raise ValueError("state how far this pattern looks ahead (ahead), or UNBOUNDED")
+    found = AHEADS[pattern] if ahead is None else ahead
+    if found < 1 and found != UNBOUNDED:
+        raise ValueError("ahead must be 1 or more, or UNBOUNDED")
+    return found
 
 
 class _Known(dict):
@@ -67,9 +81,11 @@ class _Known(dict):
 class Tokenizer:
     """Ranks of byte strings and the pattern that splits text before merging."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 1 << 20):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 1 << 20, ahead: int | None = None):
         import regex
 
+        self.ahead = look_ahead(pattern, ahead)
+
         compiled = regex.compile(pattern)
         self.ranks, self.find_all = ranks, compiled.findall
         self.bytes_of = {i: b for b, i in ranks.items()}
@@ -170,7 +186,7 @@ class Tokenizer:
         """Matches of a text from those of its two parts. Only what lies near the boundary is matched again."""
         keep, back = len(left), 0
         # unsettled: a match that ends at the boundary, or starts too near to it
-        while keep and (not back or back + len(left[keep - 1]) < AHEAD):
+        while keep and (not back or back + len(left[keep - 1]) < self.ahead):
             keep -= 1
             back += len(left[keep])
         tail, count = "".join(left[keep:]), 8
@@ -184,7 +200,7 @@ class Tokenizer:
             begin = 0
             for k, m in enumerate(found := self.find_all(window)):
                 end = begin + len(m)
-                if not all_in and (end >= len(window) or begin + AHEAD > len(window)):
+                if not all_in and (end >= len(window) or begin + self.ahead > len(window)):
                     break
                 if end in ends:
                     at, n = len(tail), 0
@@ -199,7 +215,7 @@ class Tokenizer:
 
     def matches(self, text: str) -> list[str]:
         """Matches of the whole text, by halves."""
-        if len(text) <= LEAF:
+        if len(text) <= LEAF or self.ahead == UNBOUNDED:
             return self.find_all(text)
         half = len(text) // 2
         return self.join_matches(self.matches(text[:half]), self.matches(text[half:]))
@@ -227,10 +243,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def tokenizer(path: str, pattern: str) -> Tokenizer:
+def tokenizer(path: str, pattern: str, ahead: int | None = None) -> Tokenizer:
     """One for each Python worker: the vocabulary's file is read where it is used,
     its size is fixed by the vocabulary and not by the data."""
-    own = Tokenizer(read_ranks(path), pattern)
+    own = Tokenizer(read_ranks(path), pattern, ahead=ahead)
     gc.freeze()  # a large cache of strings that no collection has to walk again
     return own
 
@@ -254,15 +270,17 @@ def _mapped(docs: DataFrame, column: str, added: dict[str, T.DataType], make) ->
 
 
 def encode_texts(
-    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", exact_col: str | None = None
+    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", exact_col: str | None = None, ahead: int | None = None
 ) -> DataFrame:
     """Adds ``ids_col``: the token ids of the whole text, array<int>. Null and empty
     texts have no ids (an empty array). With ``exact_col`` the ids are decoded too: it says whether
     they give the text's own bytes. Columns of those names are replaced;
-    all others, and repeated rows, stay. An empty table gives no rows. ``ranks_path`` must exist on every executor."""
+    all others, and repeated rows, stay. An empty table gives no rows. ``ranks_path`` must exist on every executor.
+    ``ahead``: how far the pattern looks ahead, which a pattern that isn't known (``AHEADS``) needs."""
+    ahead = look_ahead(pattern, ahead)
 
     def encode(texts: pa.Array) -> list[pa.Array]:
-        own, texts = tokenizer(ranks_path, pattern), [t or "" for t in texts.to_pylist()]
+        own, texts = tokenizer(ranks_path, pattern, ahead), [t or "" for t in texts.to_pylist()]
         packed = list(map(own.packed, texts))
         ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
         out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))]
@@ -280,7 +298,7 @@ def decode_ids(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "i
     replaced, all others stay; an empty table gives no rows."""
 
     def decode(ids: pa.Array) -> list[pa.Array]:
-        own = tokenizer(ranks_path, pattern)
+        own = tokenizer(ranks_path, pattern, AHEADS.get(pattern, UNBOUNDED))  # decoding splits nothing
         flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
         ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)).tolist()
         return [pa.array([own.decode(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())]

@@ -4,8 +4,9 @@ Every row's text becomes a digest. Rows are dealt to ``fan_in ** rounds`` runs
 by a hash of their id and place, so the copies of one text, however many, start out spread
 over all runs. In each round the runs whose numbers differ in one digit (to the
 base ``fan_in``) exchange entries: an entry goes to the run whose digit there
-is the digest's own. A run is one partition's, sorted by digest; what arrives is merged in that
-order, digest by digest, into one sorted run, and written.
+is the digest's own: with a base of 16 as four binomial rounds at once. A partition holds whole runs, several where there are more
+runs than partitions. Spark's exchange doesn't keep the order of the sorted blocks that arrive, so they are sorted again; then equal
+digests lie side by side and are merged in that order into one sorted run, which is written.
 After the last round each digest is in the one run that its digits name. A
 digest has at most one entry in a run, so no merge sees more than ``fan_in``
 entries of it, and a text that a third of all rows share costs no more than any
