@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+from pathlib import Path
 import re
 import time
 from collections import Counter
@@ -366,6 +367,30 @@ def test_every_token_shape_counts(spark):
     assert got[900] == got[901]
 
 
+GIVEN = Path("/root/testdata/sf0.1")
+
+
+@pytest.mark.skipif(not GIVEN.exists(), reason="the given tables aren't here")
+def test_held_out_labels_of_the_given_tables(spark):
+    """A third of the labels isn't trained on: nine in ten of its toxic texts are flagged, and hardly any other."""
+    labels = spark.read.parquet(f"{GIVEN}/labels.parquet")
+    known = labels.where("doc_id % 3 <> 0")
+    docs = spark.read.parquet(f"{GIVEN}/documents.parquet").join(labels, "doc_id", "left_semi")
+    got = toxicity.classify_toxicity(docs, known).join(labels.where("doc_id % 3 = 0"), "doc_id")
+    n = {(r.toxic, r.flagged): r["count"] for r in got.groupBy("toxic", "flagged").count().collect()}
+    assert n[1, True] >= 9 * n.get((1, False), 0)
+    assert n.get((0, True), 0) <= 0.01 * n[0, False]
+
+
+def test_threshold_of_the_largest_f1():
+    np = toxicity.np
+    assert toxicity.best_threshold(np.array([0.9, 0.6, 0.2, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.4)
+    assert toxicity.best_threshold(np.array([0.9, 0.5, 0.5, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.3)
+    assert toxicity.best_threshold(np.array([0.3, 0.2]), np.array([0, 0])) == 0.5
+    assert toxicity.best_threshold(np.zeros(0), np.zeros(0)) == 0.5
+    assert toxicity.best_threshold(np.array([0.3, 0.3]), np.array([0, 1])) == pytest.approx(0.3)
+
+
 def test_chain_finds_held_out_toxic_texts(spark):
     rng = random.Random(4)
     rows, labels = [], []
@@ -427,6 +452,6 @@ def test_a_chain_link_is_a_least_loss():
         rest = np.flatnonzero(folds != f)
         part = toxicity.fit_link([hashes[i] for i in rest], np.zeros((len(rest), 0)), target[rest], 5, 4.0)
         first[folds == f] = part.predict([h for h, g in zip(hashes, folds) if g == f], np.zeros(((folds == f).sum(), 0)))
-    chain = toxicity.fit_chain(hashes, np.column_stack([target, target]), folds)
+    chain, _ = toxicity.fit_chain(hashes, np.column_stack([target, target]), folds)
     second = toxicity.fit_link(hashes, first[:, None], target, 5, 4.0)
     assert chain[1].earlier == pytest.approx(second.earlier) and chain[1].bias == pytest.approx(second.bias)

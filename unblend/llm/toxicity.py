@@ -100,23 +100,34 @@ def fit_chain(
     folds: np.ndarray,
     min_docs: int = 5,
     min_z: float = 4.0,
-) -> list[Link]:
-    """A link for each column of ``targets``, in order; ``folds`` numbers each row's fold. A link
+) -> tuple[list[Link], np.ndarray]:
+    """A link for each column of ``targets``, in order, and the last one's out-of-fold predictions; ``folds`` numbers each row's fold. A link
     takes every word that passes the test of ``_pick``, so its size is bounded by the sample's words alone."""
     before = np.zeros((len(hashes), 0))
     chain = []
     for k in range(targets.shape[1]):
         y = targets[:, k].astype(float)
         chain.append(fit_link(hashes, before, y, min_docs, min_z))
-        if k + 1 == targets.shape[1]:
-            break
         out = np.zeros(len(hashes))
         for f in np.unique(folds):
             rest, held = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
             part = fit_link([hashes[i] for i in rest], before[rest], y[rest], min_docs, min_z)
             out[held] = part.predict([hashes[i] for i in held], before[held])
         before = np.column_stack([before, out])
-    return chain
+    return chain, before[:, -1]
+
+
+def best_threshold(scores: np.ndarray, target: np.ndarray) -> float:
+    """The cut with the largest F1 (the highest of equal ones), in the middle between the scores that it parts; a half where one
+    class is all there is."""
+    if not len(target) or target.min() == target.max():
+        return 0.5
+    order = np.argsort(-scores, kind="stable")
+    s, hits = scores[order], np.cumsum(target[order])
+    cut = np.flatnonzero(np.append(s[1:] < s[:-1], True))  # equal scores stay together
+    f1 = 2 * hits[cut] / (cut + 1 + target.sum())
+    at = cut[f1.argmax()]
+    return float((s[at] + s[at + 1]) / 2) if at + 1 < len(s) else float(s[at])
 
 
 def train(
@@ -127,8 +138,8 @@ def train(
     names: dict[str, Column],
     max_sample: int,
     n_folds: int,
-) -> list[Link]:
-    """The chain, fitted on at most ``max_sample`` labelled rows, picked by
+) -> tuple[list[Link], float]:
+    """The chain and the threshold that suits its out-of-fold predictions best, fitted on at most ``max_sample`` labelled rows, picked by
     hashes of their ids. Rows in which a category is null are left out."""
     known = labels.select(F.col(id_col).alias("label_id"), *[c.cast("int").alias(f"y_{k}") for k, c in enumerate(names.values())])
     known = known.dropna()
@@ -146,7 +157,8 @@ def train(
     hashes = [np.frombuffer(r["h"], np.uint32) for r in rows]
     targets = np.array([[r[f"y_{k}"] for k in range(len(names))] for r in rows]).reshape(len(rows), len(names))
     folds = np.array([zlib.crc32(str(r["id"]).encode()) % n_folds for r in rows], int)
-    return fit_chain(hashes, targets, folds)
+    chain, scores = fit_chain(hashes, targets, folds)
+    return chain, best_threshold(scores, targets[:, -1])
 
 
 def classify_toxicity(
@@ -157,10 +169,11 @@ def classify_toxicity(
     names: dict[str, Column] | None = None,
     max_sample: int = 12_000,
     n_folds: int = 5,
-    threshold: float = 0.5,
+    threshold: float | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, a probability ``p_<category>`` for each
-    category of the chain, and flagged (the last category's is >= ``threshold``).
+    category of the chain, and flagged (the last category's is >= ``threshold``, by default the one with the
+    largest F1 on out-of-fold predictions).
 
     Whole texts are scored. Null and empty texts have no words: their probabilities
     come from the models' constants. Without labels every probability is near 0.
@@ -168,7 +181,7 @@ def classify_toxicity(
     on at most ``max_sample`` labelled rows, with every word of theirs that tells a category apart.
     """
     names = categories() if names is None else names
-    chain = train(docs, labels, id_col, text_col, names, max_sample, n_folds)
+    chain, fitted = train(docs, labels, id_col, text_col, names, max_sample, n_folds)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = [f"p_{n}" for n in names]
     schema = T.StructType([own.schema["id"], *[T.StructField(n, T.DoubleType()) for n in found]])
@@ -184,4 +197,4 @@ def classify_toxicity(
             yield out
 
     scored = own.mapInPandas(run, schema)
-    return scored.select(F.col("id").alias(id_col), *found, (F.col(found[-1]) >= threshold).alias("flagged"))
+    return scored.select(F.col("id").alias(id_col), *found, (F.col(found[-1]) >= (fitted if threshold is None else threshold)).alias("flagged"))
