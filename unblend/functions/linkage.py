@@ -11,25 +11,41 @@ def linkage_tree(names: list[str], d: np.ndarray, method: str = "average", group
     """Rows (node, parent, depth, child_pos, is_leaf, distance, coarse), parents first.
 
     The closest two clusters merge (ties: the earlier ones) by average, single or complete
-    linkage; merged nodes are called merge_1, merge_2, ...
+    linkage; merged nodes are called merge_1, merge_2, ... Nearest clusters are kept, so that all merges
+    together take about n^2 steps and not n^3.
     """
     n = len(names)
-    size, kids, height, alive = dict.fromkeys(range(n), 1), {}, dict.fromkeys(range(n), 0.0), list(range(n))
-    dist = {(i, j): float(d[i, j]) for i in range(n) for j in range(i + 1, n)}
-    for new in range(n, 2 * n - 1):
-        i, j = min(((a, b) for k, a in enumerate(alive) for b in alive[k + 1 :]), key=lambda p: (dist[p], p))
-        kids[new], height[new], size[new] = (i, j), dist[i, j], size[i] + size[j]
-        alive = [x for x in alive if x not in (i, j)]
-        for x in alive:
-            p, q = dist[min(i, x), max(i, x)], dist[min(j, x), max(j, x)]
-            if method == "single":
-                v = min(p, q)
-            elif method == "complete":
-                v = max(p, q)
-            else:
-                v = (size[i] * p + size[j] * q) / size[new]
-            dist[x, new] = v
-        alive.append(new)
+    last = 2 * n - 1
+    size, kids, height = dict.fromkeys(range(n), 1), {}, dict.fromkeys(range(n), 0.0)
+    # distances to later clusters, and each cluster's nearest later one: a merge changes what was nearest to few of them
+    far = np.full((last, last), np.inf)
+    far[:n, :n] = np.where(np.triu(np.ones((n, n), bool), 1), d, np.inf)
+    near = far.argmin(1)
+    gap = far[np.arange(last), near]
+    alive = np.arange(last) < n
+    for new in range(n, last):
+        i = int(gap.argmin())
+        j = int(near[i])
+        kids[new], height[new], size[new] = (i, j), float(gap[i]), size[i] + size[j]
+        alive[[i, j]] = False
+        x = np.flatnonzero(alive)
+        p, q = (far[np.minimum(k, x), np.maximum(k, x)] for k in (i, j))
+        if method == "single":
+            v = np.minimum(p, q)
+        elif method == "complete":
+            v = np.maximum(p, q)
+        else:
+            v = (size[i] * p + size[j] * q) / size[new]
+        far[[i, j], :] = far[:, [i, j]] = np.inf
+        gap[[i, j]] = np.inf
+        far[x, new] = v
+        alive[new] = True
+        stale = x[np.isin(near[x], (i, j))]
+        near[stale] = far[stale].argmin(1)
+        gap[stale] = far[stale, near[stale]]
+        closer = x[v < gap[x]]
+        near[closer], gap[closer] = new, far[closer, new]
+    alive = np.flatnonzero(alive).tolist()
     root = alive[0]
     want = groups or max(1, math.ceil(math.sqrt(n)))
     cut = [root]

@@ -298,6 +298,131 @@ db2 AS (SELECT m.tissue, m.mixture, g.gene, coalesce(b.value / m.total, 0) AS b
         JOIN (SELECT DISTINCT tissue, gene FROM blk2 SEMI JOIN sig2 USING (tissue, gene)) g USING (tissue) LEFT JOIN blk2 b ON b.tissue = m.tissue AND b.mixture = m.mixture AND b.gene = g.gene)"""
 
 
+def _edges(rows: str) -> str:
+    """A tree with two children a node: edges (node, parent, depth, which child by name) and leaves below each node."""
+    return f"""
+he AS (SELECT * FROM (VALUES {rows}) t(node, parent, depth, k)),
+hl AS (WITH RECURSIVE w(node, leaf) AS (SELECT node, node FROM he WHERE node NOT IN (SELECT parent FROM he) UNION ALL
+  SELECT he.parent, w.leaf FROM w JOIN he USING (node)) SELECT * FROM w)"""
+
+
+def _down(depth: int) -> str:
+    """Solutions of all nodes' children at a depth (s), their masses (m), what the next depth has to explain (v) and its values (l)."""
+    gap = "(a.value - z.value)"
+    text = "'ValueError: signature and bulk must be finite and not empty'"
+    above = "(SELECT DISTINCT tissue, mixture, 'root' AS node, 1.0 AS mass, NULL::VARCHAR AS error FROM hb)" if depth == 1 else f"m{depth - 1}"
+    seen = "UNION ALL ".join(f"SELECT tissue, mixture, node, mass FROM m{d} WHERE mass IS NOT NULL AND (depth = {depth} OR node NOT IN (SELECT parent FROM he)) " for d in range(1, depth + 1))
+    return f"""
+s{depth} AS (SELECT tissue, mixture, l.node AS parent, bool_or(isinf(l.value)) AS bad, greatest(0.0, least(1.0, sum({gap} * (l.value - z.value)) FILTER (WHERE NOT isinf(l.value)) / sum({gap} * {gap}))) AS x
+  FROM l{depth} l JOIN hk USING (tissue, node, gene) JOIN he e ON e.parent = l.node AND e.k = 1 JOIN he f ON f.parent = l.node AND f.k = 2
+  JOIN hp a ON a.tissue = l.tissue AND a.gene = l.gene AND a.node = e.node JOIN hp z ON z.tissue = l.tissue AND z.gene = l.gene AND z.node = f.node GROUP BY ALL),
+m{depth} AS (SELECT *, above * raw AS mass FROM (SELECT u.tissue, u.mixture, e.node, e.parent, e.depth, u.mass AS above,
+    CASE WHEN u.error IS NULL AND NOT bad THEN CASE WHEN k = 1 THEN x ELSE 1 - x END END AS raw, coalesce(u.error, CASE WHEN bad THEN {text} END) AS error
+  FROM {above} u JOIN he e ON e.parent = u.node LEFT JOIN s{depth} s ON s.tissue = u.tissue AND s.mixture = u.mixture AND s.parent = u.node)),
+k{depth} AS (SELECT DISTINCT tissue, mixture, parent AS node, above AS mass FROM m{depth} WHERE mass IS NULL AND above IS NOT NULL{f' UNION ALL SELECT * FROM k{depth - 1}' if depth > 1 else ''}),
+v{depth} AS ({seen}UNION ALL SELECT * FROM k{depth}),
+t{depth} AS (SELECT tissue, mixture, gene, sum(mass * value) AS fit FROM v{depth} JOIN hp USING (tissue, node) GROUP BY ALL),
+l{depth + 1} AS (SELECT v.tissue, v.mixture, v.node, b.gene, greatest(1e-12, greatest(v.mass, 1e-12) * (p.value + (b.value - fit))) AS value
+  FROM v{depth} v JOIN m{depth} m ON m.tissue = v.tissue AND m.mixture = v.mixture AND m.node = v.node AND m.error IS NULL JOIN hp p ON p.tissue = v.tissue AND p.node = v.node
+  JOIN hb b ON b.tissue = v.tissue AND b.mixture = v.mixture AND b.gene = p.gene JOIN t{depth} t ON t.tissue = v.tissue AND t.mixture = v.mixture AND t.gene = p.gene
+  WHERE v.node IN (SELECT parent FROM he))"""
+
+
+def _hierarchy(edges: str, depth: int, bulk: str, signature: str, value: str) -> str:
+    """All levels of a tree over the bulk (whose ``value`` that is) and the signature."""
+    return _edges(edges) + f""",
+hg AS (SELECT DISTINCT tissue, gene FROM {bulk} SEMI JOIN {signature} USING (tissue, gene)),
+hb AS (SELECT m.tissue, m.mixture, g.gene, {value} AS value
+  FROM (SELECT DISTINCT tissue, mixture FROM {bulk}) m JOIN hg g USING (tissue) LEFT JOIN {bulk} b ON b.tissue = m.tissue AND b.mixture = m.mixture AND b.gene = g.gene),
+hd AS (SELECT g.tissue, g.gene, n.leaf, coalesce(s.value, 0) AS value FROM hg g, (SELECT DISTINCT leaf FROM hl) n LEFT JOIN {signature} s ON s.tissue = g.tissue AND s.gene = g.gene AND s.cell_type = n.leaf),
+hp AS (SELECT tissue, node, gene, avg(value) AS value FROM hd JOIN hl USING (leaf) GROUP BY ALL),
+hk AS (SELECT tissue, parent AS node, gene FROM (SELECT *, row_number() OVER (PARTITION BY tissue, parent ORDER BY score DESC, gene) AS place FROM (
+  SELECT tissue, parent, gene, var_pop(m) / (avg(v) + 1e-12) AS score FROM (
+    SELECT tissue, parent, node, gene, avg(value) AS m, var_pop(value) AS v FROM hd JOIN hl USING (leaf) JOIN he USING (node) GROUP BY ALL) GROUP BY ALL)) WHERE place <= 30),
+l1 AS (SELECT tissue, mixture, 'root' AS node, gene, value FROM hb),""" + ",".join(map(_down, range(1, depth + 1)))
+
+
+#: The tree of ``Roles.pairs_tree``; every seventh mixture has no finite value for gene 17.
+HIERARCHY = _hierarchy(
+    "('high','root',1,1),('low','root',1,2),('1-URGENT','high',2,1),('2-HIGH','high',2,2),('3-MEDIUM','low',2,1),('rest','low',2,2),('4-NOT SPECIFIED','rest',3,1),('5-LOW','rest',3,2)",
+    3, "psb", "shr", "CASE WHEN m.mixture % 7 = 3 AND g.gene = 17 AND b.value IS NOT NULL THEN 'inf'::DOUBLE ELSE coalesce(b.value, 0) END",
+)
+#: One cell type and the other two under a node of their own.
+ONE_AND_TWO = """
+hs AS (SELECT tissue, gene, cell_type, value / sum(value) OVER (PARTITION BY tissue, cell_type) AS value FROM sig),
+hm AS (SELECT tissue, mixture, gene, value / sum(value) OVER (PARTITION BY tissue, mixture) AS value FROM blk),""" + _hierarchy(
+    "('A','root',1,1),('rest','root',1,2),('N','rest',2,1),('R','rest',2,2)", 2, "hm", "hs", "coalesce(b.value, 0)"
+)
+UNUSABLE = "'mixture: the column sum isn''t finite and positive'"
+FAILED = f"SELECT tissue, mixture, method, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::INT, NULL::BOOLEAN, {UNUSABLE} FROM (SELECT DISTINCT tissue, mixture FROM blk WHERE mixture % 7 = 3)"
+
+
+DISTANCES = """SELECT a.tissue, a.cell_type AS name_1, b.cell_type AS name_2, greatest(0.0, least(2.0, 1 - CASE WHEN stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0
+  THEN corr(a.value, b.value) ELSE 0 END)) AS distance FROM dprof a JOIN dprof b ON a.tissue = b.tissue AND a.gene = b.gene AND a.cell_type < b.cell_type GROUP BY ALL"""
+
+
+def _linkage(distances: str, over: str, groups: str) -> str:
+    """Trees by linkage: a row a merge with all clusters left (numbers, members); the distance of two clusters is
+    ``over`` (avg, min, max) the distances of their members. Then the cut: the highest node opens until there are enough."""
+    gap = f"list_{over}(flatten(list_transform(a.m, lambda x: list_transform(b.m, lambda y: gaps[least(x, y) || '|' || greatest(x, y)]))))"
+    pairs = f"flatten(list_transform(c, lambda a: list_transform(list_filter(c, lambda b: b.id > a.id), lambda b: {{'d': {gap}, 'i': a.id, 'j': b.id}})))"
+    return f"""
+ld AS ({distances}),
+ln AS (SELECT tissue, list_sort(list_distinct(list(name_1) || list(name_2))) AS names, map_from_entries(list((name_1 || '|' || name_2, distance))) AS gaps FROM ld GROUP BY tissue),
+lm AS (WITH RECURSIVE w(tissue, step, c, gaps, best, n) AS (
+  SELECT tissue, 0, list_transform(names, lambda x, i: {{'id': i - 1, 'm': [x]}}), gaps, {{'d': 0.0::DOUBLE, 'i': -1::BIGINT, 'j': -1::BIGINT}}, len(names) FROM ln
+  UNION ALL SELECT tissue, step + 1, list_append(list_filter(c, lambda a: a.id <> b.i AND a.id <> b.j),
+      {{'id': n + step, 'm': list_filter(c, lambda a: a.id = b.i)[1].m || list_filter(c, lambda a: a.id = b.j)[1].m}}), gaps, b, n
+    FROM (SELECT *, list_min({pairs}) AS b FROM w WHERE len(c) > 1))
+  SELECT tissue, n + step - 1 AS id, best.d AS height, best.i AS i, best.j AS j, n FROM w WHERE step > 0),
+lp AS (SELECT tissue, i AS id, id AS up, 0 AS pos FROM lm UNION ALL SELECT tissue, j, id, 1 FROM lm),
+la AS (WITH RECURSIVE w(tissue, id, depth) AS (SELECT tissue, max(id), 0 FROM lm GROUP BY 1 UNION ALL SELECT lp.tissue, lp.id, depth + 1 FROM w JOIN lp ON lp.tissue = w.tissue AND lp.up = w.id) SELECT * FROM w),
+lc AS (WITH RECURSIVE w(tissue, cut, want) AS (SELECT tissue, [max(id)], {groups} FROM lm GROUP BY tissue UNION ALL
+    SELECT w.tissue, flatten(list_transform(cut, lambda x: CASE WHEN x = t.id THEN [t.i, t.j] ELSE [x] END)), want
+    FROM w JOIN LATERAL (SELECT id, i, j FROM lm WHERE lm.tissue = w.tissue AND list_contains(w.cut, lm.id) ORDER BY height DESC, id DESC LIMIT 1) t ON true WHERE len(cut) < want)
+  SELECT tissue, max_by(cut, len(cut)) AS cut FROM w GROUP BY tissue),
+lg AS (WITH RECURSIVE w(tissue, id, coarse) AS (SELECT tissue, unnest(cut), generate_subscripts(cut, 1) - 1 FROM lc UNION ALL SELECT lp.tissue, lp.id, coarse FROM w JOIN lp ON lp.tissue = w.tissue AND lp.up = w.id) SELECT * FROM w),
+lt AS (SELECT la.tissue, CASE WHEN la.id < n THEN names[la.id + 1] ELSE 'merge_' || (la.id - n + 1) END AS node, CASE WHEN up IS NOT NULL THEN 'merge_' || (up - n + 1) END AS parent, depth,
+  coalesce(pos, 0) AS child_pos, la.id < n AS is_leaf, coalesce(height, 0) AS distance, coarse FROM la JOIN (SELECT tissue, names, len(names) AS n FROM ln) USING (tissue)
+  LEFT JOIN lp USING (tissue, id) LEFT JOIN (SELECT tissue, id, height FROM lm) USING (tissue, id) LEFT JOIN lg USING (tissue, id))"""
+
+
+def _recovered(scored: bool, scored_again: bool) -> str:
+    """The anchor chain for two cell types under equal weights; whether each of its two solves is on joint z-scores of shares or on values."""
+    solve = "greatest(0.0, least(1.0, sum((a0 - a1) * (b - a1)) / sum((a0 - a1) * (a0 - a1))))"
+    pivot = lambda t: f"SELECT tissue, gene, max(value) FILTER (WHERE cell_type = 'F') AS a0, max(value) FILTER (WHERE cell_type = 'O') AS a1 FROM {t} GROUP BY ALL"
+    raw = "SELECT tissue, mixture, gene, a0, a1, value AS b FROM ab JOIN apv USING (tissue, gene)"
+    return f"""
+ag AS (SELECT DISTINCT tissue, gene FROM blk2 SEMI JOIN sig2 USING (tissue, gene)),
+asg AS (SELECT g.tissue, g.gene, t.cell_type, coalesce(s.value, 0) AS value FROM ag g JOIN (SELECT DISTINCT tissue, cell_type FROM sig2) t USING (tissue)
+  LEFT JOIN sig2 s ON s.tissue = g.tissue AND s.gene = g.gene AND s.cell_type = t.cell_type),
+ab AS (SELECT g.tissue, m.mixture, g.gene, coalesce(b.value, 0) AS value FROM ag g JOIN (SELECT DISTINCT tissue, mixture FROM blk2) m USING (tissue)
+  LEFT JOIN blk2 b ON b.tissue = g.tissue AND b.gene = g.gene AND b.mixture = m.mixture),
+apv AS ({pivot('asg')}),
+ash AS (SELECT tissue, gene, cell_type, value / sum(value) OVER (PARTITION BY tissue, cell_type) AS value FROM asg),
+abh AS (SELECT tissue, gene, mixture, value / sum(value) OVER (PARTITION BY tissue, mixture) AS value FROM ab),
+ast AS (SELECT tissue, gene, avg(value) AS m, stddev_pop(value) AS d FROM (SELECT tissue, gene, value FROM ash UNION ALL SELECT tissue, gene, value FROM abh) GROUP BY ALL),
+asz AS (SELECT tissue, gene, cell_type, (value - m) / CASE WHEN d > 0 THEN d ELSE 1 END AS value FROM ash JOIN ast USING (tissue, gene)),
+apz AS ({pivot('asz')}),
+az AS (SELECT tissue, mixture, gene, a0, a1, (value - m) / CASE WHEN d > 0 THEN d ELSE 1 END AS b FROM abh JOIN ast USING (tissue, gene) JOIN apz USING (tissue, gene)),
+ar AS ({raw}),
+af AS (SELECT tissue, mixture, {solve} AS x FROM {'az' if scored else 'ar'} GROUP BY ALL),
+am AS (SELECT tissue, gene, sqrt(avg(pow(b - fit, 2))) / greatest(sqrt(avg(b * b)) + sqrt(avg(fit * fit)), 1e-8) AS rel FROM (
+  SELECT *, a0 * x + a1 * (1 - x) AS fit FROM {'az' if scored else 'ar'} JOIN af USING (tissue, mixture)) GROUP BY ALL),
+an AS (SELECT tissue, gene, CASE WHEN passed < 10 THEN place <= 10 ELSE rel <= f END AS is_anchor FROM (SELECT *, count(*) FILTER (WHERE rel <= f) OVER (PARTITION BY tissue) AS passed,
+  row_number() OVER (PARTITION BY tissue ORDER BY rel, gene) AS place FROM am JOIN (SELECT tissue, quantile_cont(rel, 0.25) AS f FROM am GROUP BY 1) USING (tissue))),
+ap AS (SELECT tissue, mixture, {solve} AS x FROM {'az' if scored_again else 'ar'} SEMI JOIN (SELECT * FROM an WHERE is_anchor) USING (tissue, gene) GROUP BY ALL)"""
+
+
+RECOVERED = """SELECT tissue, gene, is_anchor, cell_type, value, recovered, recovered - value AS shift FROM (
+  SELECT tissue, gene, is_anchor, cell_type, CASE cell_type WHEN 'F' THEN a0 ELSE a1 END AS value,
+  CASE WHEN is_anchor THEN CASE cell_type WHEN 'F' THEN a0 ELSE a1 END ELSE greatest(0.0, CASE cell_type WHEN 'F' THEN (r0*g11 - r1*g01) / d ELSE (r1*g00 - r0*g01) / d END) END AS recovered FROM (
+    SELECT *, g00*g11 - g01*g01 AS d, b0 + 0.6*a0 AS r0, b1 + 0.6*a1 AS r1 FROM (
+      SELECT tissue, sum(x*x) + 0.6 + 1e-8 AS g00, sum(x*(1-x)) AS g01, sum((1-x)*(1-x)) + 0.6 + 1e-8 AS g11 FROM ap GROUP BY ALL) JOIN (
+      SELECT tissue, gene, sum(value*x) AS b0, sum(value*(1-x)) AS b1 FROM ab JOIN ap USING (tissue, mixture) GROUP BY ALL) USING (tissue)
+    JOIN apv USING (tissue, gene) JOIN an USING (tissue, gene)), (VALUES ('F'), ('O')) t(cell_type))"""
+
+
 ORACLES: dict[str, str] = {
     "shared_genes": sql("SELECT DISTINCT tissue, gene FROM blk SEMI JOIN sig USING (tissue, gene)"),
     "shared_cell_types": sql("SELECT DISTINCT tissue, cell_type, cell_type <> 'R' OR tissue = 'O' AS in_truth FROM sig"),
@@ -338,8 +463,9 @@ ORACLES: dict[str, str] = {
     "drawn_shares": sql("SELECT tissue, mixture, cell_type, sum(times) / sum(sum(times)) OVER (PARTITION BY tissue, mixture) AS truth FROM drawn GROUP BY tissue, mixture, cell_type", "truth"),
     "perturb_reference": sql("""SELECT tissue, gene, cell_type, v * sum(value) OVER g / sum(v) OVER g AS value FROM (
       SELECT *, value * exp(0.05 * (((gene * 37 + ascii(cell_type)) % 19) / 10.0 - 0.9)) AS v FROM sig) WINDOW g AS (PARTITION BY tissue, cell_type)""", "value"),
-    "profile_correlation": sql("""SELECT a.tissue, a.cell_type AS name_1, b.cell_type AS name_2, greatest(0.0, least(2.0, 1 - CASE WHEN stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0
-      THEN corr(a.value, b.value) ELSE 0 END)) AS distance FROM dprof a JOIN dprof b ON a.tissue = b.tissue AND a.gene = b.gene AND a.cell_type < b.cell_type GROUP BY ALL""", "distance"),
+    "profile_correlation": sql(DISTANCES, "distance"),
+    "build_hierarchy": sql("SELECT * FROM lt", "distance", _linkage(DISTANCES, "avg", "ceil(sqrt(any_value(n)))::INT"), "depth child_pos coarse"),
+    "build_hierarchy_ties": sql("SELECT * FROM lt", "distance", _linkage(f"SELECT * REPLACE (floor(distance * 10) / 10 AS distance) FROM ({DISTANCES})", "min", "2"), "depth child_pos coarse"),
     "gram_stats": sql("""SELECT tissue, mixture, sum(a0*a0) AS h0, sum(a0*a1) AS h1, sum(a0*a2) AS h2, sum(a1*a1) AS h4, sum(a1*a2) AS h5, sum(a2*a2) AS h8,
       sum(a0*b) AS l0, sum(a1*b) AS l1, sum(a2*b) AS l2, sum(b*b) AS bb, count(*) AS n_genes FROM z3 GROUP BY ALL""", "h0 h1 h2 h4 h5 h8 l0 l1 l2 bb", THREE),
     "simplex_ls": sql(_long_two(_two_solution("", "1.0")), "prediction", TWO),
@@ -358,9 +484,17 @@ ORACLES: dict[str, str] = {
       "max(1 + gene / 10.0) AS hi FROM z2 GROUP BY ALL) USING (tissue, mixture))", "proportions0 initial_proportions0 total_min total_mean total_max", TWO, "iterations steps"),
     "learn_gene_weights_parabola": sql("""SELECT tissue, mixture, gene, round(10 - (r - avg(r) OVER (PARTITION BY tissue, mixture)) / 2, 4) AS meta_weight FROM (
       SELECT tissue, mixture, gene, pow(x * a0 + (1 - x) * a1 - b, 2) AS r FROM z2 JOIN (""" + _two_solution("", "1.0") + ") USING (tissue, mixture))", "meta_weight", TWO),
-    "deconvolve_batch_given": sql("""SELECT tissue, mixture, 'weighted' AS method, max(prediction) FILTER (WHERE k = 1) AS p0, max(prediction) FILTER (WHERE k = 2) AS p1,
-      max(prediction) FILTER (WHERE k = 3) AS p2, 1 AS iterations, true AS converged, NULL::VARCHAR AS error FROM x3 GROUP BY tissue, mixture
-      UNION ALL SELECT tissue, mixture, 'nnls', x[1], x[2], x[3], NULL, NULL, NULL FROM nz""", "p0 p1 p2", THREE + "," + SUPPORTS + "," + _nnls_three("z3", "nz"), "iterations"),
+    "deconvolve_batch_given": sql(f"""SELECT tissue, mixture, 'weighted' AS method, max(prediction) FILTER (WHERE k = 1) AS p0, max(prediction) FILTER (WHERE k = 2) AS p1,
+      max(prediction) FILTER (WHERE k = 3) AS p2, 1 AS iterations, true AS converged, NULL::VARCHAR AS error FROM x3 WHERE mixture % 7 <> 3 GROUP BY tissue, mixture
+      UNION ALL SELECT tissue, mixture, 'nnls', x[1], x[2], x[3], NULL, NULL, NULL FROM nz WHERE mixture % 7 <> 3
+      UNION ALL {FAILED.replace(' FROM (', " FROM (VALUES ('weighted'), ('nnls')) v(method), (")}""", "p0 p1 p2", THREE + "," + SUPPORTS + "," + _nnls_three("z3m", "nz"), "iterations"),
+    "deconvolve_batch_tree_given": sql(f"""SELECT tissue, mixture, 'hierarchical' AS method, max(mass) FILTER (WHERE node = 'A') AS p0, max(mass) FILTER (WHERE node = 'N') AS p1,
+      max(mass) FILTER (WHERE node = 'R') AS p2, 2 AS iterations, true AS converged, NULL::VARCHAR AS error FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2) WHERE mixture % 7 <> 3 GROUP BY tissue, mixture
+      UNION ALL SELECT tissue, mixture, 'nnls', x[1], x[2], x[3], NULL, NULL, NULL FROM nz WHERE mixture % 7 <> 3
+      UNION ALL {FAILED.replace(' FROM (', " FROM (VALUES ('hierarchical'), ('nnls')) v(method), (")}""", "p0 p1 p2", THREE + "," + _nnls_three("z3m", "nz") + "," + ONE_AND_TWO, "iterations"),
+    "hierarchical_deconvolve_given": sql("""SELECT tissue, mixture, node, parent, depth, node NOT IN (SELECT parent FROM he) AS is_leaf, raw, mass,
+      CASE WHEN error IS NULL THEN 1 END AS iterations, CASE WHEN error IS NULL THEN true END AS converged, error FROM (
+      SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)""", "raw mass", HIERARCHY, "depth iterations"),
     "parent_local_bulk": sql("""SELECT tissue, mixture, node, gene, greatest(greatest(mass, 1e-12) * (profile + value - fit), 1e-12) AS value FROM (
       SELECT p.tissue, p.mixture, n.node, p.gene, n.value AS profile, CASE n.node WHEN 'high' THEN 0.4 ELSE 0.6 END AS mass, p.value,
       sum(n.value * CASE n.node WHEN 'high' THEN 0.4 ELSE 0.6 END) OVER (PARTITION BY p.tissue, p.mixture, p.gene) AS fit
@@ -401,6 +535,9 @@ ORACLES: dict[str, str] = {
       (VALUES ('F'), ('O')) t(cell_type))""", "value recovered shift", """pp AS (SELECT tissue, mixture, coalesce(max(p) FILTER (WHERE cell_type = 'F'), 0) AS p0,
       coalesce(max(p) FILTER (WHERE cell_type = 'O'), 0) AS p1 FROM tru2 GROUP BY ALL)"""),
     "reconstruction_error": sql("SELECT tissue, sqrt(sum(pow(value - fitted, 2))) AS error FROM dblk JOIN fit USING (tissue, mixture, gene) GROUP BY ALL", "error", RANK1),
+    "anchor_recover_given": sql(RECOVERED, "value recovered shift", _recovered(True, True)),
+    "anchor_recover_plain": sql(RECOVERED, "value recovered shift", _recovered(False, False)),
+    "anchor_recover_mixed": sql(RECOVERED, "value recovered shift", _recovered(True, False)),
     "recover_reference_rank1": sql("SELECT tissue, mixture, gene, cell_type, recovered FROM r1", "recovered", RANK1),
     "subsample_genes": sql("SELECT tissue, mixture, repeat, gene FROM smp", "", TWO + "," + SAMPLE),
     "stability_solve": sql("""SELECT tissue, mixture, repeat, x AS x0, n_genes, 2 * abs(x - f) AS l1, sqrt(2.0) * abs(x - f) AS l2, w_min, w_mean, w_max FROM (

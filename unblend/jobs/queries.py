@@ -214,6 +214,13 @@ def build_hierarchy(r: Roles) -> DataFrame:
     return tree.build_hierarchy(profiles.profile_correlation(_profiles(r)))
 
 
+@query
+def build_hierarchy_ties(r: Roles) -> DataFrame:
+    """Over distances in steps of a tenth, many of which are equal, by single linkage."""
+    d = profiles.profile_correlation(_profiles(r)).withColumn("distance", F.floor(F.col("distance") * 10) / 10)
+    return tree.build_hierarchy(d, groups=2, method="single")
+
+
 # ---------------------------------------------------------------- solvers
 
 
@@ -308,8 +315,26 @@ def learn_gene_weights_parabola(r: Roles) -> DataFrame:
 
 @query
 def deconvolve_batch_given(r: Roles) -> DataFrame:
-    out = weighted.deconvolve_batch(r.signature(), r.bulk(), GIVEN)
-    return out.select("tissue", "mixture", "method", *[F.col("proportions")[i].alias(f"p{i}") for i in range(3)], "iterations", "converged", "error")
+    """Non-negative least squares on shares; every seventh mixture has nothing and is a row with its error."""
+    return _three_shares(weighted.deconvolve_batch(r.signature(), _some_empty(r.bulk()), GIVEN, nnls_zscore=False))
+
+
+def _some_empty(bulk: DataFrame) -> DataFrame:
+    return bulk.withColumn("value", F.when(F.pmod("mixture", F.lit(7)) == 3, 0.0).otherwise(F.col("value")))
+
+
+def _three_shares(out: DataFrame) -> DataFrame:
+    return out.select("tissue", "mixture", "method", *[F.get("proportions", F.lit(i)).alias(f"p{i}") for i in range(3)], "iterations", "converged", "error")
+
+
+@query
+def deconvolve_batch_tree_given(r: Roles) -> DataFrame:
+    """The same down a tree of one cell type and the other two."""
+    rows = [("root", None, 0, 0, False), ("A", "root", 1, 0, True), ("rest", "root", 1, 1, False), ("N", "rest", 2, 0, True), ("R", "rest", 2, 1, True)]
+    edges = r.spark.createDataFrame(rows, "node string, parent string, depth int, child_pos int, is_leaf boolean")
+    leaves = r.spark.createDataFrame([(n, n) for n in "ANR"] + [("rest", "N"), ("rest", "R"), *[("root", n) for n in "ANR"]], "node string, leaf string")
+    signature, bulk = normalize.normalize_columns(r.signature(), "cell_type"), normalize.normalize_columns(r.bulk(), "mixture")
+    return _three_shares(weighted.deconvolve_batch(signature, _some_empty(bulk), GIVEN, tree=edges, node_leaf=leaves, genes=30, nnls_zscore=False))
 
 
 @query
@@ -331,6 +356,15 @@ def hierarchical_deconvolve(r: Roles) -> DataFrame:
     return tree.hierarchical_deconvolve(_shares(r), _tissue_bulk(r), r.tree(), r.node_leaf(), genes=30)
 
 
+@query
+def hierarchical_deconvolve_given(r: Roles) -> DataFrame:
+    """Down a tree with two children a node under given weights, so that each solve is a closed form. Every seventh mixture
+    has no finite value for one gene: nodes that are solved on it fail, and all below them."""
+    odd = (F.pmod("mixture", F.lit(7)) == 3) & (F.col("gene") == 17)
+    bulk = _tissue_bulk(r).withColumn("value", F.when(odd, float("inf")).otherwise(F.col("value")))
+    return tree.hierarchical_deconvolve(_shares(r), bulk, *r.pairs_tree(), GIVEN, genes=30)
+
+
 @query
 def parent_local_bulk(r: Roles) -> DataFrame:
     level = r.tree().where("depth = 1").select("node").collect()  # a hierarchy's few dozen names
@@ -406,6 +440,31 @@ def anchor_recover(r: Roles) -> DataFrame:
     return anchor.anchor_recover(r.signature(), r.bulk())["signature"]
 
 
+@query
+def anchor_recover_given(r: Roles) -> DataFrame:
+    """The chain under given weights, with two cell types: each solve is a closed form."""
+    return anchor.anchor_recover(*_two(r), GIVEN)["signature"]
+
+
+@query
+def anchor_recover_plain(r: Roles) -> DataFrame:
+    """The same on the values as they are, at both places where they could be scored."""
+    return anchor.anchor_recover(*_two(r), GIVEN, preprocess_selection=False, preprocess_proportions=False)["signature"]
+
+
+@query
+def anchor_recover_mixed(r: Roles) -> DataFrame:
+    """Anchors chosen on scores, proportions solved on the values as they are, and a given first solver: plain least squares, all weights 1."""
+
+    def first(rows: DataFrame, by: list[str]) -> DataFrame:
+        genes = rows.groupBy(*by).agg(F.array_sort(F.collect_list("gene")).alias("genes"))
+        ones = F.transform("genes", lambda _: F.lit(1.0)).alias("meta_weights")
+        solved = solve.simplex_ls(solve.gram_stats(rows, by, k=2)).select(*by, F.col("x").alias("proportions"))
+        return solved.join(genes, by).select(*by, "proportions", "genes", ones, F.lit(None).cast("string").alias("error"))
+
+    return anchor.anchor_recover(*_two(r), preprocess_proportions=False, initial=first)["signature"]
+
+
 @query
 def recover_reference_rank1(r: Roles) -> DataFrame:
     return solve.recover_rank1(r.signature(), r.bulk(), _p(r), 0.6)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -161,25 +163,56 @@ def reconstruction_error(signature: DataFrame, bulk: DataFrame, proportions: Dat
     return both.groupBy(*keys).agg(F.sqrt(F.sum(gap * gap)).alias("error"))
 
 
-def anchor_recover(signature: DataFrame, bulk: DataFrame, cfg: Config = Config(), lam: float = 0.6, keys: list[str] = KEYS, **anchors) -> dict[str, DataFrame]:
+#: Rows (a, b) by mixture to (by, proportions, genes, meta_weights, error), as ``weighted_deconvolve`` gives them.
+Initial = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def anchor_recover(
+    signature: DataFrame,
+    bulk: DataFrame,
+    cfg: Config = Config(),
+    lam: float = 0.6,
+    keys: list[str] = KEYS,
+    preprocess_selection: bool = True,
+    preprocess_proportions: bool = True,
+    initial: Initial | None = None,
+    **anchors,
+) -> dict[str, DataFrame]:
     """The whole chain: proportions, initial ones, signature (recovered), metrics (genes), errors before and
-    after, and failed: (keys, mixture, error) of mixtures that couldn't be normalised or solved, which nothing else uses."""
+    after, and failed: (keys, mixture, error) of mixtures that couldn't be normalised or solved, which nothing else uses.
+
+    The first solve and the choice of anchors run on joint z-scores of shares, unless ``preprocess_selection`` is false: then on the
+    values as they are. ``preprocess_proportions``: whether the proportions on anchor genes are solved on the same, or on the values as they are. ``initial``
+    takes the place of the weighted solver under ``cfg``. ``anchors``: what ``select_anchors`` takes.
+    """
+    for name in ("fit_quantile", "weight_quantile"):
+        if not 0 <= anchors.get(name, 0.5) <= 1:
+            raise ValueError(f"{name} must be 0 to 1")
+    if not 0 < anchors.get("most", 0.5) <= 1:
+        raise ValueError("most must be above 0 and at most 1")
     by = [*keys, "mixture"]
-    signature, bulk, genes, unfit = usable_columns(signature, bulk, keys)
+    if preprocess_selection:
+        signature, bulk, genes, unfit = usable_columns(signature, bulk, keys)
+    else:
+        genes = materialize(shared_genes(bulk, signature, keys), "genes")
+        unfit = bulk.select(*by, F.lit(None).cast("string").alias("error")).where("false")
     signature = materialize(dense_signature(signature, genes, keys), "anchor-reference")
     bulk = materialize(dense_bulk(bulk, genes, keys), "anchor-bulk")
-    s, b = joint_zscore_all(
-        normalize_columns(signature, "cell_type", keys=keys), normalize_columns(bulk, "mixture", keys=keys), keys, dense=True
-    )
+    s, b = signature, bulk
+    if preprocess_selection:
+        shares = normalize_columns(signature, "cell_type", keys=keys), normalize_columns(bulk, "mixture", keys=keys)
+        s, b = joint_zscore_all(*shares, keys, dense=True)
     # solved once, though proportions, weights and errors all read it
-    learned = materialize(weighted_deconvolve(anchor_rows(s, b, None, keys), by, cfg), "anchor-initial")
+    solver = initial or (lambda rows, groups: weighted_deconvolve(rows, groups, cfg))
+    learned = materialize(solver(anchor_rows(s, b, None, keys), by), "anchor-initial")
     failed = unfit.unionByName(learned.where("error is not null").select(*by, "error"))
     solved = learned.where("error is null")
     b, bulk = b.join(solved.select(*by), by, "left_semi"), bulk.join(solved.select(*by), by, "left_semi")
     first = named(solved, s, by, keys, "proportions", "p")
     metrics = select_anchors(anchor_gene_metrics(s, b, first, long_weights(solved, by), keys), keys=keys, **anchors)
     metrics = materialize(metrics, "anchor-genes")
-    p = materialize(anchor_proportions(s, b, metrics, keys), "anchor-proportions")
+    p = anchor_proportions(*((s, b) if preprocess_proportions else (signature, bulk)), metrics, keys)
+    p = materialize(p, "anchor-proportions")
     recovered = materialize(recover_signature(signature, bulk, p, metrics, lam, keys=keys), "anchor-signature")
     final = recovered.select(*keys, "gene", "cell_type", F.col("recovered").alias("value"))
     errors = reconstruction_error(signature, bulk, first, keys).withColumnRenamed("error", "initial_error").join(

@@ -101,6 +101,14 @@ class Roles:
         rows += [(p, "high" if k < 2 else "low", 2, k, True) for k, p in enumerate(PRIORITIES)]
         return self.spark.createDataFrame(rows, "node string, parent string, depth int, child_pos int, is_leaf boolean")
 
+    def pairs_tree(self) -> tuple[DataFrame, DataFrame]:
+        """``tree`` and ``node_leaf`` with two children a node: the lowest two priorities are under a node of their own."""
+        at = {"high": "root", "low": "root", "rest": "low"} | dict(zip(PRIORITIES, ("high", "high", "low", "rest", "rest")))
+        way = lambda n: [n, *(way(at[n]) if n in at else ())]
+        rows = [(n, p, len(way(n)) - 1, k % 2, n in PRIORITIES) for k, (n, p) in enumerate(at.items())]
+        tree = self.spark.createDataFrame([("root", None, 0, 0, False), *rows], "node string, parent string, depth int, child_pos int, is_leaf boolean")
+        return tree, self.spark.createDataFrame([(n, leaf) for leaf in PRIORITIES for n in way(leaf)], "node string, leaf string")
+
     def node_leaf(self) -> DataFrame:
         """(node, leaf): every node above or at a leaf"""
         rows = [(n, p) for k, p in enumerate(PRIORITIES) for n in ("root", "high" if k < 2 else "low", p)]
