@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from unblend.functions import learn
+from unblend.functions.linkage import linkage_tree
 from unblend.functions.numbering import numbered
-from unblend.operators import evaluate, profiles, solve
+from unblend.operators import anchor, evaluate, normalize, profiles, solve, summarize, weighted
 
 
 def test_numbers_of_a_hot_group(spark):
@@ -99,3 +101,71 @@ def test_repeated_predictions_stop_the_job(spark):
     assert evaluate.prediction_detail(twice.limit(1), truth).count() == 1
     with pytest.raises(Exception, match="prediction isn't one to one"):
         evaluate.prediction_detail(twice, truth).collect()
+
+
+def test_types_that_the_truth_lacks(spark):
+    sig = spark.createDataFrame([(t, g, c, 1.0) for t in "uv" for g in range(2) for c in "ab"], "tissue string, gene int, cell_type string, value double")
+    truth = spark.createDataFrame([("u", 1, "a", 0.5), ("u", 1, "b", 0.5), ("v", 1, "a", 1.0), ("v", 2, "x", 1.0)], "tissue string, mixture int, cell_type string, truth double")
+    got = {(r.tissue, r.cell_type): r.in_truth for r in normalize.shared_cell_types(sig, truth).collect()}
+    assert got == {("u", "a"): True, ("u", "b"): True, ("v", "a"): True, ("v", "b"): False}
+
+
+def test_winners_where_a_method_lacks_a_type(spark):
+    rows = [("t", "a", "m0", 0.3), ("t", "a", "m1", 0.1), ("t", "b", "m0", 0.2), ("t", "b", "m2", 0.2), ("t", "c", "m2", None)]
+    df = spark.createDataFrame(rows, "tissue string, cell_type string, method string, mae double")
+    got = {r.cell_type: r for r in summarize.winners(df, "mae", ["m0", "m1", "m2"], "m1").collect()}
+    assert (got["a"].best_method, got["a"].second_method, got["a"].rank, got["a"].is_best) == ("m1", "m0", 1, True)
+    assert got["a"].margin == pytest.approx(0.2)
+    assert (got["b"].best_method, got["b"].second_method, got["b"].rank, got["b"].is_best) == ("m0", "m2", None, False)
+    assert got["c"].best_error is None and got["c"].rank is None
+
+
+def test_linkage_with_ties_against_a_search_of_all_pairs():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 9, 24):
+        for method, over in (("average", np.mean), ("single", np.min), ("complete", np.max)):
+            d = np.triu(rng.integers(1, 5, (n, n)), 1).astype(float)
+            d = d + d.T
+            names = [f"n{k:02}" for k in range(n)]
+            clusters, merges = {k: [k] for k in range(n)}, {}
+            for new in range(n, 2 * n - 1):
+                gap = lambda a, b: float(over([[d[x, y] for y in clusters[b]] for x in clusters[a]]))  # noqa: B023, E731
+                at = sorted(clusters)
+                h, i, j = min((round(gap(a, b), 9), a, b) for k, a in enumerate(at) for b in at[k + 1 :])
+                clusters[new] = clusters.pop(i) + clusters.pop(j)
+                merges[new] = (i, j, h)
+            rows = {r[0]: r for r in linkage_tree(names, np.round(d, 9), method)}
+            assert len(rows) == 2 * n - 1
+            name = lambda x: names[x] if x < n else f"merge_{x - n + 1}"  # noqa: B023, E731
+            if method != "average":  # there sums of thirds differ in their last bits
+                for new, (i, j, h) in merges.items():
+                    assert rows[name(new)][5] == pytest.approx(h)
+                    assert (rows[name(i)][1], rows[name(i)][3]) == (name(new), 0) and (rows[name(j)][1], rows[name(j)][3]) == (name(new), 1)
+
+
+def test_anchor_switches_and_settings(spark):
+    rng = np.random.default_rng(2)
+    sig = spark.createDataFrame([("t", g, c, float(v)) for g in range(24) for c, v in zip("ab", rng.lognormal(0, 1, 2))], "tissue string, gene int, cell_type string, value double")
+    bulk = spark.createDataFrame([("t", m, g, float(rng.lognormal(0, 1))) for m in range(4) for g in range(24)], "tissue string, mixture int, gene int, value double")
+    for wrong in ({"fit_quantile": 1.5}, {"weight_quantile": -0.1}, {"most": 0.0}):
+        with pytest.raises(ValueError):
+            anchor.anchor_recover(sig, bulk, **wrong)
+    seen = []
+
+    def initial(rows, by):
+        seen.append(rows)
+        return weighted.weighted_deconvolve(rows, by, learn.Config(rounds=0))
+
+    kept = anchor.anchor_recover(sig, bulk, initial=initial, preprocess_selection=False, preprocess_proportions=False)
+    raw = {(r.mixture, r.gene): r.b for r in seen[0].collect()}
+    assert raw == {(r.mixture, r.gene): r.value for r in bulk.collect()}
+    anchors = {r.gene for r in kept["metrics"].where("is_anchor").collect()}
+    assert len(anchors) >= 10
+    want = solve.simplex_ls(solve.gram_stats(anchor.anchor_rows(sig, bulk, kept["metrics"]), ["tissue", "mixture"])).collect()
+    got = {}
+    for r in kept["proportions"].collect():
+        got.setdefault(r.mixture, {})[r.cell_type] = r.p
+    for r in want:
+        assert [got[r.mixture][c] for c in "ab"] == pytest.approx(r.x, abs=1e-9)
+    for r in kept["signature"].collect():
+        assert (r.recovered == r.value) if r.gene in anchors else r.recovered >= 0

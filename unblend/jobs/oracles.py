@@ -425,7 +425,7 @@ RECOVERED = """SELECT tissue, gene, is_anchor, cell_type, value, recovered, reco
 
 ORACLES: dict[str, str] = {
     "shared_genes": sql("SELECT DISTINCT tissue, gene FROM blk SEMI JOIN sig USING (tissue, gene)"),
-    "shared_cell_types": sql("SELECT DISTINCT tissue, cell_type, cell_type <> 'R' OR tissue = 'O' AS in_truth FROM sig"),
+    "shared_cell_types": sql("SELECT DISTINCT tissue, cell_type, EXISTS (SELECT 1 FROM tru WHERE tru.tissue = sig.tissue AND tru.cell_type = sig.cell_type) AS in_truth FROM sig"),
     "select_mixtures": sql("SELECT * FROM (SELECT tissue, mixture, dense_rank() OVER (PARTITION BY tissue ORDER BY mixture) AS place FROM (SELECT DISTINCT tissue, mixture FROM blk)) WHERE place <= 10"),
     "pick_mixtures": sql("SELECT t.tissue, s_suppkey AS mixture, EXISTS (SELECT 1 FROM blk WHERE blk.tissue = t.tissue AND blk.mixture = s_suppkey) AS found FROM supplier, (VALUES ('F'), ('X')) t(tissue)"),
     "normalize_columns": sql("SELECT tissue, mixture, gene, value / sum(value) OVER (PARTITION BY tissue, mixture) AS value FROM blk SEMI JOIN sig USING (tissue, gene)", "value"),
@@ -576,7 +576,7 @@ ORACLES: dict[str, str] = {
       SELECT *, row_number() OVER (PARTITION BY tissue ORDER BY round(l1, 12), method) AS nth, rank() OVER (PARTITION BY tissue ORDER BY round(l1, 12)) AS rank FROM (
         SELECT tissue, method, avg(l1) AS l1 FROM runs GROUP BY ALL)) GROUP BY tissue""", "m0 m1 m2 m3 best_l1"),
     "celltype_summary": sql(CTS, "mean_truth median_truth mae median_ae rare_mean_truth rare_mae rare_median_ae"),
-    "winners": sql(WIN.format(e="mae", src=f"SELECT * FROM ({CTS}) WHERE method <> 'm1' OR cell_type <> 'A'"), "best_error second_error margin relative_margin"),
+    "winners": sql(WIN.format(e="mae", src=CTS), "best_error second_error margin relative_margin"),
     "rare_winners": sql("SELECT w.*, n_rare, rare_mean_truth FROM (" + WIN.format(e="rare_mae", src=f"SELECT * FROM ({CTS}) SEMI JOIN (SELECT tissue, cell_type FROM ({CTS}) GROUP BY ALL HAVING max(n_rare) >= 5) USING (tissue, cell_type)")
       + f") w JOIN (SELECT tissue, cell_type, max(n_rare) AS n_rare, avg(rare_mean_truth) AS rare_mean_truth FROM ({CTS}) GROUP BY ALL) USING (tissue, cell_type)", "best_error second_error margin relative_margin rare_mean_truth"),
     "low_mean_winners": sql("SELECT w.*, mean_truth FROM (" + WIN.format(e="mae", src=f"SELECT * FROM ({CTS}) SEMI JOIN (SELECT tissue, cell_type FROM ({CTS}) GROUP BY ALL HAVING avg(mean_truth) < 0.3335) USING (tissue, cell_type)")

@@ -64,7 +64,7 @@ def shared_genes(r: Roles) -> DataFrame:
 
 @query
 def shared_cell_types(r: Roles) -> DataFrame:
-    return normalize.shared_cell_types(r.signature(), r.truth().where("cell_type <> 'R' or tissue = 'O'"))
+    return normalize.shared_cell_types(r.signature(), r.truth())
 
 
 @query
@@ -612,8 +612,7 @@ def celltype_summary(r: Roles) -> DataFrame:
 
 @query
 def winners(r: Roles) -> DataFrame:
-    some = summarize.celltype_summary(detail(r)).where("method <> 'm1' or cell_type <> 'A'")
-    return summarize.winners(some, "mae", METHODS, "m1")
+    return summarize.winners(summarize.celltype_summary(detail(r)), "mae", METHODS, "m1")
 
 
 @query
