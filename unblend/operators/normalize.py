@@ -77,18 +77,27 @@ def signature_rows(signature: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return by_type(signature, [*keys, "gene"], types_of(signature, keys), "value", "a", keys)
 
 
+def _filled(long: DataFrame, column: str, genes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``long`` on the given genes, with 0 for each of them that a column leaves out.
+
+    Only what is missing is made: a column's own genes are gathered and taken from its tissue's, which are one row a tissue.
+    That row is small enough to be broadcast; where it isn't, the skewed side of the join is the one that can be split.
+    """
+    every = genes.groupBy(*keys).agg(F.collect_set("gene").alias("_every"))
+    own = long.groupBy(*keys, column).agg(F.collect_set("gene").alias("_own")).join(every, keys)
+    missing = own.select(*keys, column, F.explode(F.array_except("_every", "_own")).alias("gene")).select(*order, F.lit(0.0).alias("value"))
+    have = long.join(genes, [*keys, "gene"], "left_semi")
+    return have.select(*order, F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value")).unionByName(missing)
+
+
 def dense_bulk(bulk: DataFrame, genes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Every mixture of a tissue with each of its ``genes``, 0 where the bulk leaves one out."""
-    by = [*keys, "mixture", "gene"]
-    grid = bulk.select(*keys, "mixture").distinct().join(genes, keys)
-    return grid.join(bulk, by, "left").select(*by, F.coalesce("value", F.lit(0.0)).alias("value"))
+    return _filled(bulk, "mixture", genes, keys, [*keys, "mixture", "gene"])
 
 
 def dense_signature(signature: DataFrame, genes: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Every cell type of a tissue with each of its ``genes``, 0 where the signature leaves one out."""
-    by = [*keys, "gene", "cell_type"]
-    grid = genes.join(signature.select(*keys, "cell_type").distinct(), keys)
-    return grid.join(signature, by, "left").select(*by, F.coalesce("value", F.lit(0.0)).alias("value"))
+    return _filled(signature, "cell_type", genes, keys, [*keys, "gene", "cell_type"])
 
 
 def prepared(signature: DataFrame, bulk: DataFrame, keys: list[str] = KEYS, zscore: bool = True, genes: DataFrame | None = None) -> DataFrame:

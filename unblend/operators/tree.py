@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.learn import Config
 from ..functions.linkage import linkage_tree
 from ..functions.storage import materialize
-from .normalize import KEYS, shared_genes
+from .normalize import KEYS, dense_bulk, shared_genes
 from .profiles import aggregate_profiles_by_node, leaf_grid, split_gene_selection
 from .weighted import weighted_deconvolve
 
@@ -72,13 +72,8 @@ def hierarchical_deconvolve(
     """
     by = [*keys, "mixture", "parent"]
     shared = materialize(shared_genes(bulk, signature, keys), "tree-shared")
-    pick = [*keys, "gene"]
-    signature = materialize(leaf_grid(signature.join(shared, pick, "left_semi"), node_leaf, keys), "tree-reference")
-    grid = bulk.select(*keys, "mixture").distinct().join(shared, keys)
-    bulk = grid.join(bulk, [*keys, "mixture", "gene"], "left").select(
-        *keys, "mixture", "gene", F.coalesce("value", F.lit(0.0)).alias("value")
-    )
-    bulk = materialize(bulk, "tree-bulk")
+    signature = materialize(leaf_grid(signature.join(shared, [*keys, "gene"], "left_semi"), node_leaf, keys), "tree-reference")
+    bulk = materialize(dense_bulk(bulk, shared, keys), "tree-bulk")
     profiles = materialize(aggregate_profiles_by_node(signature, node_leaf, keys), "tree-profiles")
     picked = split_gene_selection(signature, tree, node_leaf, genes, keys).select(*keys, "parent", "gene")
     picked = materialize(picked, "tree-genes")
