@@ -58,11 +58,16 @@ def test_a_failing_mixture_is_a_row(spark, known):
 
 
 def test_mixtures_are_dealt_to_tasks(spark):
-    rows = spark.range(2000).selectExpr("'t' AS tissue", "id AS mixture", "array(1, 2) AS gene", "array(1.0D) AS b")
-    dealt = weighted.dealt(rows, ["tissue", "mixture"])
+    rows = spark.range(2000).selectExpr("'t' AS tissue", "id AS mixture", "array(1, 2) AS gene", "array(array(1.0D)) AS a", "array(1.0D) AS b")
+    dealt = weighted.dealt(rows, ["tissue", "mixture"], 32)
     sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 63 and sum(sizes) == 2000 and max(sizes) < 80
     assert weighted.dealt(rows.limit(0), ["tissue", "mixture"]).count() == 0
+    # by default a task gets a stack, or less where that leaves cores without one
+    assert weighted.dealt(rows, ["tissue", "mixture"]).rdd.getNumPartitions() == 8
+    assert weighted.dealt(rows.limit(64), ["tissue", "mixture"]).rdd.getNumPartitions() == 4
+    wide = rows.limit(40).withColumn("b", F.array_repeat(F.lit(1.0), 20_000))
+    assert weighted.dealt(wide, ["tissue", "mixture"]).rdd.getNumPartitions() == 7
 
 
 def test_columns_that_cannot_be_normalised_are_error_rows(spark, known):
