@@ -368,7 +368,7 @@ def archive_pages(
     payload_bytes, payload_digest, record_type and refers_to, the id of the page
     whose record a revisit names (null for responses). Rows that repeat an id are
     records of their own; of equal payloads with one id, one is the response. A null html is an empty
-    payload, a null url is written as one that names nothing. A page is one record, however long; it is held whole by the task
+    payload, a null url is written as "-". A page is one record, however long; it is held whole by the task
     that writes or reads it. Other columns are ignored, whatever their names; an empty table gives no rows."""
     spark = pages.sparkSession
     arc, warc = new_dir(spark, "arc"), new_dir(spark, "warc")
