@@ -3,7 +3,8 @@
 Each stage takes all that the one before has kept, written as Parquet and read
 again, so a lost executor or a restart costs one stage at most. In every stage null texts count as empty, rows
 may share an id or have none, further columns stay as they are up to the last stage, and an
-empty table gives an empty one.
+empty table gives an empty one. Texts are read whole, however long. Of equal or similar texts the smallest id stays; rows that repeat both id
+and text are one document to the deduplication, of which one row stays.
 """
 
 from __future__ import annotations
