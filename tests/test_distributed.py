@@ -169,3 +169,25 @@ def test_anchor_switches_and_settings(spark):
         assert [got[r.mixture][c] for c in "ab"] == pytest.approx(r.x, abs=1e-9)
     for r in kept["signature"].collect():
         assert (r.recovered == r.value) if r.gene in anchors else r.recovered >= 0
+
+
+def test_draws_of_few_rows_are_not_broadcast(spark, tmp_path):
+    spark.range(30).write.parquet(str(tmp_path / "few"))
+    few = spark.read.parquet(str(tmp_path / "few")).select(F.col("id").alias("mixture"), F.lit("t").alias("tissue"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("cell_type"))
+    plan = few.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    cells = spark.range(50).selectExpr("'t' as tissue", "id as cell_id", "if(id % 5 = 0, 'b', 'a') as cell_type")
+    drawn = profiles.draw_cells(plan, spark.createDataFrame(cells.collect(), cells.schema), F.col("mixture") * 7 + F.col("draw") * 3)
+    want = {}
+    for m in range(30):
+        for t, own in (("a", [c for c in range(50) if c % 5]), ("b", list(range(0, 50, 5)))):
+            for d in range(100):
+                key = (m, t, own[(m * 7 + d * 3) % len(own)])
+                want[key] = want.get(key, 0) + 1
+    assert {(r.mixture, r.cell_type, r.cell_id): r.times for r in drawn.collect()} == want
+    lines = drawn._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+    deep = lambda line: len(line) - len(line.lstrip(" :+-*|"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = [x for x in lines[i + 1 :] if x.strip()]
+            end = next((k for k, x in enumerate(below) if deep(x) <= deep(line)), len(below))
+            assert not any("Generate" in x for x in below[:end])

@@ -91,12 +91,16 @@ def allocate_counts(shares: DataFrame, total: int, groups: list[str], name: str,
 
 def draw_cells(plan: DataFrame, cells: DataFrame, slot: Column, keys: list[str] = KEYS) -> DataFrame:
     """Cells for a plan (keys, mixture, cell_type, draw), with replacement: the draw's
-    ``slot`` modulo the number of cells of the type picks one. Counts of draws per cell."""
+    ``slot`` modulo the number of cells of the type picks one. Counts of draws per cell.
+
+    A plan that is made of few rows looks small to Spark however many draws it has, so both joins are told what to do:
+    sizes, a row a type, are broadcast and never the plan; draws and cells meet sorted.
+    """
     placed = numbered(cells.select(*keys, "cell_type", "cell_id"), [*keys, "cell_type"], ["cell_id"], "at")
     sizes = cells.groupBy(*keys, "cell_type").agg(F.count(F.lit(1)).alias("size"))
-    drawn = plan.join(sizes, [*keys, "cell_type"]).withColumn("at", F.pmod(slot, F.col("size")))
+    drawn = plan.join(F.broadcast(sizes), [*keys, "cell_type"]).withColumn("at", F.pmod(slot, F.col("size")))
     counted = drawn.groupBy(*keys, "mixture", "cell_type", "at").agg(F.count(F.lit(1)).alias("times"))
-    return counted.join(placed, [*keys, "cell_type", "at"]).drop("at")
+    return counted.join(placed.hint("merge"), [*keys, "cell_type", "at"]).drop("at")
 
 
 def drawn_shares(draws: DataFrame, keys: list[str] = KEYS) -> DataFrame:
