@@ -44,7 +44,7 @@ def broadcasts(df):
             yield "\n".join(below[: next((k for k, x in enumerate(below) if deep(x) <= deep(line)), len(below))])
 
 
-@pytest.mark.parametrize("name", ["pseudobulk"])
+@pytest.mark.parametrize("name", ["pseudobulk", "drawn_shares"])
 def test_all_draws_and_none_broadcast(spark, tables, name):
     df = queries.QUERIES[name](spark, tables)
     assert sorted((tuple(r) for r in df.collect()), key=str) == wanted(tables, name)
