@@ -49,3 +49,11 @@ def test_all_draws_and_none_broadcast(spark, tables, name):
     df = queries.QUERIES[name](spark, tables)
     assert sorted((tuple(r) for r in df.collect()), key=str) == wanted(tables, name)
     assert not any("Generate" in part for part in broadcasts(df))
+
+
+def test_the_tissue_bulk_is_made_once(spark, tables, monkeypatch):
+    made, make = [], profiles.pseudobulk
+    monkeypatch.setattr(profiles, "pseudobulk", lambda *a: made.append(1) or make(*a))
+    got = sorted((tuple(r) for r in queries.QUERIES["parent_local_bulk"](spark, tables).collect()), key=str)
+    assert got == wanted(tables, "parent_local_bulk")
+    assert len(made) == 1
