@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unblend.jobs import oracles, queries
-from unblend.operators import profiles
+from unblend.operators import profiles, tree, weighted
 from unblend.sources.roles import PRIORITIES
 
 
@@ -57,3 +57,17 @@ def test_the_tissue_bulk_is_made_once(spark, tables, monkeypatch):
     got = sorted((tuple(r) for r in queries.QUERIES["parent_local_bulk"](spark, tables).collect()), key=str)
     assert got == wanted(tables, "parent_local_bulk")
     assert len(made) == 1
+
+
+@pytest.mark.parametrize("name", ["hierarchical_deconvolve_given"])
+def test_the_hierarchy_reads_a_written_bulk(spark, tables, monkeypatch, name):
+    seen = []
+    for module, f in ((tree, "hierarchical_deconvolve"), (weighted, "deconvolve_batch")):
+        monkeypatch.setattr(module, f, lambda *a, own=getattr(module, f), **k: seen.append(a[:2]) or own(*a, **k))
+    df = queries.QUERIES[name](spark, tables)
+    for read in seen[0]:
+        plan = read._jdf.queryExecution().optimizedPlan().toString()
+        assert "parquet" in plan and not any(word in plan for word in ("Join", "Aggregate", "Generate"))
+    keys = [c for c in ("tissue", "mixture", "method", "node") if c in df.columns]
+    got = {tuple(r[k] for k in keys): r for r in df.collect()}
+    assert got and (name not in oracles.ORACLES or {k[:2] for k in got} == {k[:2] for k in wanted(tables, name)})
