@@ -59,7 +59,7 @@ def test_the_tissue_bulk_is_made_once(spark, tables, monkeypatch):
     assert len(made) == 1
 
 
-@pytest.mark.parametrize("name", ["hierarchical_deconvolve_given", "hierarchical_deconvolve"])
+@pytest.mark.parametrize("name", ["hierarchical_deconvolve_given", "hierarchical_deconvolve", "deconvolve_batch_tree"])
 def test_the_hierarchy_reads_a_written_bulk(spark, tables, monkeypatch, name):
     seen = []
     for module, f in ((tree, "hierarchical_deconvolve"), (weighted, "deconvolve_batch")):
